@@ -64,7 +64,7 @@ def _normal_histograms(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         _, t, v = _series(g, f)
         first, length = runs(v)
         whole = slice(1, -1)
-        out += [(f, "run", int(k), int(n)) for k, n in zip(*np.unique(length[whole], return_counts=True))]
+        out += [("any", "run", int(k), int(n)) for k, n in zip(*np.unique(length[whole], return_counts=True))]
         ft, fv = t[first], v[first]
         step = np.median(np.diff(ft)) if len(ft) > 1 else 0
         for width in WIDTHS:
@@ -85,18 +85,18 @@ def source_normals(placed: DataFrame) -> DataFrame:
     """Per flight: ``hold`` (usual readings per new value), ``scale_*`` (robust scatter) and ``speed_*`` (high speed)."""
     h = placed.groupBy("flight", "block").applyInPandas(_normal_histograms, "flight string, field string, stat string, bin long, n long")
     h = h.groupBy("flight", "field", "stat", "bin").agg(F.sum("n").alias("n"))
-    hold = h.where("stat = 'run'").groupBy("flight", "bin").agg(F.sum("n").alias("n")).groupBy("flight").agg(F.max_by("bin", F.struct("n", "bin")).alias("hold"))
     w = Window.partitionBy("flight", "field", "stat").orderBy("bin")
-    ranked = h.where("stat <> 'run'").withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranked = h.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     value = F.when(F.col("bin") <= -100000, 0.0).otherwise(F.pow(F.lit(2.0), F.col("bin") / _PER_OCTAVE))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.struct("bin", value.alias("x"))))["x"]
     # the deviation of a normal distribution with this median, or half that of one with this 80 % point
-    q = ranked.groupBy("flight", "field", "stat").agg(at(0.95).alias("high"), F.greatest(at(0.5) / 0.6745, at(0.8) / 1.2816 / 2).alias("scale"))
-    wide = q.groupBy("flight").agg(
-        *[F.max(F.when((F.col("field") == f) & (F.col("stat") == f"detail{k}"), F.col("scale"))).alias(f"scale_{f}_{k}") for f in FIELDS for k in WIDTHS],
-        *[F.max(F.when((F.col("field") == f) & (F.col("stat") == "speed"), F.col("high"))).alias(f"speed_{f}") for f in FIELDS],
+    q = ranked.groupBy("flight", "field", "stat").agg(F.max(F.struct("n", "bin"))["bin"].alias("usual"), at(0.95).alias("high"), F.greatest(at(0.5) / 0.6745, at(0.8) / 1.2816 / 2).alias("scale"))
+    pick = lambda f, stat, c: F.max(F.when((F.col("field") == f) & (F.col("stat") == stat), F.col(c)))
+    return q.groupBy("flight").agg(
+        pick("any", "run", "usual").alias("hold"),
+        *[pick(f, f"detail{k}", "scale").alias(f"scale_{f}_{k}") for f in FIELDS for k in WIDTHS],
+        *[pick(f, "speed", "high").alias(f"speed_{f}") for f in FIELDS],
     )
-    return hold.join(wide, "flight", "left")
 
 
 def spikes(t: np.ndarray, v: np.ndarray, scales: list[float], speed: float, times: float, longest_s: float, widest: int) -> np.ndarray:
