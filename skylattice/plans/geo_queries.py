@@ -361,5 +361,5 @@ round(least(2000.0, greatest(40.0, 15.0 * k) * pow(1.5, k % 5)), 6) AS radius, r
     "step_classes": f"""WITH {E}, c AS (SELECT *, (t - lag(t) OVER w) / 86400 AS dt, abs(value - lag(value) OVER w) AS step FROM e WHERE topic = 'click' WINDOW w AS (PARTITION BY run ORDER BY t)),
 g AS (SELECT *, greatest(0.0, dt - 0.5) AS gap FROM c)
 SELECT event_id, CASE WHEN dt IS NULL THEN 'none' WHEN event_id % 60 > 55 OR value <= 0 OR step > 15 + 15 * gap OR step / 2 > 45 + 90 * gap THEN 'bad' WHEN gap > 0 THEN 'resume' ELSE 'ok' END AS class FROM g""",
-    "position_fixes": f"SELECT row_id, round({_MX} - 26000000.0, 3) AS px, round({_MY} - 14000000.0, 3) AS py FROM vehicle_global_position WHERE lat BETWEEN -85 AND 85 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon) AND eph < 5",
+    "position_fixes": f"SELECT row_id, round({_MX} - 26000000.0, 3) AS px, round({_MY} - 14000000.0, 3) AS py FROM vehicle_global_position WHERE lat BETWEEN -85 AND 85 AND lon BETWEEN -180 AND 180 AND CAST(lat AS VARCHAR) <> 'nan' AND CAST(lon AS VARCHAR) <> 'nan' AND eph < 5",
 }
