@@ -1,8 +1,9 @@
 """Irregular readings onto a regular grid, gaps filled by low-rank factorisation.
 
-Each flight's sources form matrices: a row per channel of a source, a column per slot of time. Missing cells are filled
-from a rank-``rank`` factorisation fitted by alternating least squares to the observed cells. Observed cells are given
-back unchanged; a cell whose column has no reading of any other source, or whose row has too few readings, stays marked.
+Each flight's sources form matrices: a row per channel of a source and lag of a few slots, a column per slot of time.
+Missing cells are filled from a low-rank factorisation fitted by alternating least squares to the observed cells; the
+lagged rows let it carry a source's motion across a gap, where other sources alone say little. Observed cells are given
+back unchanged; a cell with no reading of its own source within the lags, or too few readings in all, stays marked.
 
 Scale: payloads are decoded and reduced to one reading a slot inside each Arrow batch, then by Spark's own partial
 aggregation, before anything is shuffled by time. A matrix covers one flight over ``window`` slots (plus the halo that
@@ -15,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ SLOT_NS = 500_000_000
 MAX_GAP_NS = 10_000_000_000
 
 
-def als_complete(x: np.ndarray, rank: int = 3, ridge: float = 0.1, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def als_complete(x: np.ndarray, rank: int = 4, ridge: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Complete a matrix (rows: channels, columns: slots; NaN: missing).
 
     Returns the completed matrix and a mask of supported cells. Observed cells are exactly those of ``x``. A missing
@@ -36,29 +36,54 @@ def als_complete(x: np.ndarray, rank: int = 3, ridge: float = 0.1, rounds: int =
     per_row = seen.sum(axis=1)
     support = seen | ((per_row > rank)[:, None] & seen.any(axis=0)[None, :])
     out = np.where(seen, x, np.nan)
-    if seen.all() or not (support & ~seen).any():
+    if not (support & ~seen).any():
         return out, support
     count = np.maximum(per_row, 1)[:, None]
     mean = np.where(seen, x, 0).sum(axis=1, keepdims=True) / count
-    scale = np.sqrt(np.where(seen, x - mean, 0.0).__pow__(2).sum(axis=1, keepdims=True) / count)
+    scale = np.sqrt((np.where(seen, x - mean, 0.0) ** 2).sum(axis=1, keepdims=True) / count)
     scale[scale < 1e-9] = 1.0
-    m = seen.astype(float)
-    z = np.where(seen, (x - mean) / scale, 0.0)
-    r, eye = min(rank, x.shape[0]), ridge * np.eye(min(rank, x.shape[0]))
+    m, z = seen.astype(float), np.where(seen, (x - mean) / scale, 0.0)
+    r = min(rank, x.shape[0])
+    eye = ridge * np.eye(r)
+
+    def solve(mask: np.ndarray, basis: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """All least-squares problems of one side at once: row ``k`` uses the basis rows where ``mask[k]`` is set."""
+        squares = (basis[:, :, None] * basis[:, None, :]).reshape(len(basis), -1)
+        return np.linalg.solve((mask @ squares).reshape(-1, r, r) + eye, target[..., None])[..., 0]
+
     u = np.cos(np.outer(np.arange(1, x.shape[0] + 1), np.arange(1, r + 1)))  # a fixed start: the result is repeatable
-    v = np.zeros((x.shape[1], r))
+    v = solve(m.T, u, z.T @ u)
     for _ in range(rounds):
-        v = np.linalg.solve(np.einsum("rc,ri,rj->cij", m, u, u, optimize=True) + eye, (z.T @ u)[..., None])[..., 0]
-        u_next = np.linalg.solve(np.einsum("rc,ci,cj->rij", m, v, v, optimize=True) + eye, (z @ v)[..., None])[..., 0]
-        done = np.abs(u_next - u).max() < 1e-7
-        u = u_next
-        if done:
+        last, u = u, solve(m, v, z @ v)
+        v = solve(m.T, u, z.T @ u)
+        if np.abs(u - last).max() < 1e-6:
             break
     fit = mean + scale * (u @ v.T)
     out[support & ~seen] = fit[support & ~seen]
     return out, support
 
 
+def complete_series(x: np.ndarray, lags: int = 4, rank: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Complete several sources' series, shape (sources, channels, slots), through lagged copies of their rows.
+
+    Returns the completed series and a mask of supported cells: observed, or with a reading of the same source within
+    ``lags`` slots and enough readings in all to fit the rank.
+    """
+    sources, channels, slots = x.shape
+    used = np.isfinite(x).any(axis=2).ravel()
+    rows = x.reshape(-1, slots)[used]
+    lagged = np.full((2 * lags + 1, *rows.shape), np.nan)
+    for k, lag in enumerate(range(-lags, lags + 1)):
+        lagged[k, :, max(0, lag) : slots + min(0, lag)] = rows[:, max(0, -lag) : slots + min(0, -lag)]
+    done, support = als_complete(lagged.reshape(-1, slots), rank)
+    done, support = (a.reshape(lagged.shape)[lags] for a in (done, support))
+    own = np.isfinite(x).any(axis=1)
+    near = np.array([np.convolve(o, np.ones(2 * lags + 1), "same") > 0 for o in own]).repeat(channels, axis=0)[used]
+    out, good = np.full_like(x, np.nan).reshape(-1, slots), np.zeros((sources * channels, slots), bool)
+    out[used], good[used] = np.where(support & near, done, np.nan), support & near
+    return out.reshape(x.shape), good.reshape(x.shape)
+
+
 def _first_of_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decode payloads; per batch keep a slot's first usable reading and its last time (a map-side combine)."""
     for b in batches:
@@ -104,7 +129,7 @@ def slot_readings(messages: DataFrame, topics: DataFrame) -> DataFrame:
     return cells.groupBy("flight", "topic_id", "kind", "slot").agg(best.alias("b"), F.max("last_ts").alias("last_ts")).select("flight", "topic_id", "kind", "slot", "b.first_ts", "last_ts", "b.vals")
 
 
-def regular_series(messages: DataFrame, topics: DataFrame, window: int = 512, rank: int = 3) -> DataFrame:
+def regular_series(messages: DataFrame, topics: DataFrame, window: int = 512, rank: int = 4, lags: int = 4) -> DataFrame:
     """The regular half-second series of every source: ``flight, topic_id, slot, status, vals``.
 
     ``status`` is ``observed`` (``vals`` is the slot's first usable reading, exactly), ``filled`` (from the
@@ -115,40 +140,49 @@ def regular_series(messages: DataFrame, topics: DataFrame, window: int = 512, ra
     halo = MAX_GAP_NS // SLOT_NS + 1
     cells = slot_readings(messages, topics)
     bucket = F.floor(F.col("slot") / window)
-    early = F.col("slot") - bucket * window < halo
-    placed = cells.withColumn("bucket", F.explode(F.when(early, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))))
+    at = F.col("slot") - bucket * window
+    near = F.array(bucket, F.when(at < halo, bucket - 1), F.when(at >= window - lags, bucket + 1))
+    placed = cells.withColumn("bucket", F.explode(F.filter(near, lambda b: b.isNotNull())))
 
-    def fill(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        start = int(key[1]) * window
-        g = g.sort_values(["topic_id", "slot"], kind="stable")
+    def fill(key: tuple, g: pa.Table) -> pa.Table:
+        start = int(key[1].as_py()) * window
+        g = g.sort_by([("topic_id", "ascending"), ("slot", "ascending")]).combine_chunks()
         topic, slot = g["topic_id"].to_numpy(), g["slot"].to_numpy() - start
-        kind, vals = g["kind"].to_numpy(), np.stack(g["vals"].to_numpy())
+        kind, vals = g["kind"].to_numpy(), g["vals"].combine_chunks().flatten().to_numpy().reshape(-1, 6)
         sources, row = np.unique(topic, return_inverse=True)
-        x = np.full((len(sources), 6, window + halo), np.nan)
-        x[row, :, slot] = vals
-        used = np.isfinite(x).any(axis=2)
-        done = np.full_like(x, np.nan)
-        done[used], support = als_complete(x[used], rank)
-        good = np.zeros(x.shape, bool)
-        good[used] = support
         first, last = g["first_ts"].to_numpy(), g["last_ts"].to_numpy()
         same = np.zeros(len(g), bool)
         same[:-1] = (topic[1:] == topic[:-1]) & (first[1:] - last[:-1] <= MAX_GAP_NS)
-        own = slot < window
+        own = (slot >= 0) & (slot < window)
         gap = np.where(same & own, np.r_[slot[1:], 0] - slot - 1, 0).clip(min=0)
         at = np.repeat(np.arange(len(g)), gap)
         inside = slot[at] + 1 + np.arange(len(at)) - np.repeat(np.cumsum(gap) - gap, gap)
         width = np.where(kind == 0, 6, 3)
-        out_row, out_slot = np.r_[row[own], row[at]], np.r_[slot[own], inside]
-        wide = np.r_[width[own], width[at]]
-        whole = np.array([good[r, :w, s].all() for r, w, s in zip(out_row, wide, out_slot)], bool)
-        seen = np.r_[np.ones(own.sum(), bool), np.zeros(len(at), bool)]
-        exact = [v[:w] for v, w in zip(vals[own], width[own])]
-        filled = [done[r, :w, s] if k else None for r, w, s, k in zip(row[at], width[at], inside, whole[own.sum() :])]
-        status = np.where(seen, "observed", np.where(whole, "filled", "unsupported"))
-        return pd.DataFrame({"flight": key[0], "topic_id": sources[out_row], "slot": out_slot + start, "status": status, "vals": pd.Series(exact + filled, dtype=object)})
-
-    return placed.groupBy("flight", "bucket").applyInPandas(fill, "flight string, topic_id int, slot long, status string, vals array<double>")
+        wide, whole = np.full((len(at), 6), np.nan), np.zeros(len(at), bool)
+        if len(at):
+            x = np.full((len(sources), 6, lags + window + halo), np.nan)
+            x[row, :, slot + lags] = vals
+            done, good = complete_series(x, lags, rank)
+            wide = done[row[at], :, inside + lags]
+            whole = (good[row[at], :, inside + lags] | (np.arange(6) >= width[at][:, None])).all(axis=1)
+        seen = int(own.sum())
+        wide = np.concatenate([vals[own], wide])
+        keep = np.where(np.r_[np.ones(seen, bool), whole], np.r_[width[own], width[at]], 0)
+        flat = pa.array(wide[np.arange(6) < keep[:, None]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)), flat, mask=pa.array(keep == 0))
+        status = np.r_[np.zeros(seen, np.int8), np.where(whole, 1, 2).astype(np.int8)]
+        named = pa.DictionaryArray.from_arrays(pa.array(status), pa.array(["observed", "filled", "unsupported"])).cast(pa.string())
+        return pa.table(
+            {
+                "flight": pa.array([key[0].as_py()] * len(keep), pa.string()),
+                "topic_id": pa.array(sources[np.r_[row[own], row[at]]].astype(np.int32)),
+                "slot": pa.array((np.r_[slot[own], inside] + start).astype(np.int64)),
+                "status": named,
+                "vals": lists,
+            }
+        )
+
+    return placed.groupBy("flight", "bucket").applyInArrow(fill, "flight string, topic_id int, slot long, status string, vals array<double>")
 
 
 def missing_slots(series: DataFrame) -> DataFrame:
