@@ -54,7 +54,7 @@ _TERM = r"[\p{SB=STerm}\p{SB=ATerm}…‥;\u037e]"
 _CANDIDATE = regex.compile(_TERM + "+")
 _SPACE_END = regex.compile(r"(?<=\S)\s+(?=\S)")
 _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
-_WORD_BEFORE = regex.compile(r"[^\s(\[{\"“„«»”「『（]*$")
+_OPENS_WORD = frozenset("([{\"“„«»”「『（")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "«": "»", "‹": "›"}
 _CLOSERS = frozenset(")]}）］】」』》〉”»›\"’'“")
 _QUOTE_ENDS = frozenset("」』”»›\"“")
@@ -78,37 +78,44 @@ def _script(c: str) -> str:
     return "other" if c.isalpha() else "sign"
 
 
+def _word_before(text: str, begin: int, end: int, most: int = 80) -> str:
+    """What stands before a position without a space or opening mark, no more than ``most`` characters of it."""
+    at, low = end, max(begin, end - most)
+    while at > low and not text[at - 1].isspace() and text[at - 1] not in _OPENS_WORD:
+        at -= 1
+    return text[at:end]
+
+
+_MARKS = regex.compile(r"[\"()\[\]{}（）［］【】「」『』《》〈〉“”„«»‹›]")
+
+
 def _enclosures(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]], set[int]]:
     """(outermost spans in quotation marks or brackets, positions of all closing marks) of a segment; what never closes is no span."""
     spans: list[tuple[int, int]] = []
     closing: set[int] = set()
     stack: list[tuple[str, int]] = []
-    for m in regex.finditer(r"[\"()\[\]{}（）［］【】「」『』《》〈〉“”„«»‹›]", text, pos=begin, endpos=end):
+    waits: dict[str, int] = {}  # how many open marks wait for each closing one
+    for m in _MARKS.finditer(text, begin, end):
         c, i = m[0], m.start()
-        if c == '"':
-            shut = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            want = '"'
-        elif c == "“" and any(s[0] == "“" for s in stack):
-            shut, want = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "“"), "“"
-        elif c == "„":
-            shut, want = None, "“"
-        elif c in _PAIRS:
-            shut, want = None, _PAIRS[c]
-        else:
-            shut, want = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None), None
-        if shut is not None:
-            start = stack[shut][1]
-            del stack[shut:]
+        if waits.get(c):
+            while True:
+                want, start = stack.pop()
+                waits[want] -= 1
+                if want == c:
+                    break
             closing.add(i)
-            spans = [s for s in spans if s[0] < start] + [(start, i)]
-        elif want is not None:
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, i))
+        elif (want := "“" if c == "„" else '"' if c == '"' else _PAIRS.get(c)) is not None:
             stack.append((want, i))
+            waits[want] = waits.get(want, 0) + 1
     return spans, closing
 
 
 def _abbreviated(text: str, begin: int, dot: int, nxt: str, spaced: bool, after: str) -> bool:
     """Whether the full stop at ``dot`` belongs to an abbreviation, initial or ordinal, given what follows."""
-    raw = _WORD_BEFORE.search(text, begin, dot)[0]
+    raw = _word_before(text, begin, dot)
     word = raw.lower()
     if not word:
         return False
@@ -145,7 +152,7 @@ def _ends(text: str, begin: int, end: int, a: int, b: int, j: int) -> int | None
         return None
     nxt, spaced, after = text[s], s > j, text[s : s + 24]
     if ";" in terms or "\u037e" in terms:
-        letter = next((c for c in reversed(text[max(begin, a - 40) : a]) if c.isalpha()), "")
+        letter = next((c for c in reversed(text[max(begin, a - 40) : a]) if c.isalpha()), "")  # the script it is written in
         if not letter or _script(letter) != "greek":
             return None
     if nxt in _CONTINUES and not (nxt in "-–—" and spaced and text[s + 1 : s + 2].isspace() is False and nxt == "-"):
@@ -179,12 +186,12 @@ def _ends(text: str, begin: int, end: int, a: int, b: int, j: int) -> int | None
         if nxt.isdigit() or not last:
             return None
         if kind in ("cased", "greek") or nxt in "\"“«„(":
-            word = _WORD_BEFORE.search(text, begin, a)[0]
+            word = _word_before(text, begin, a)
             unit = len(word) == 1 and text[max(begin, a - 12) : a - 1].rstrip()[-1:].isdigit()
             ok = nxt.isupper() and (after[1:2].islower() or after[1:2].isspace()) and (last.islower() or last.isdigit() or last in ")°%") or nxt in "\"“«„(" and len(word) > 2
             ok = ok and (len(word) != 1 or unit or last == "%")
             return j if ok and not _abbreviated(text, begin, a, nxt, False, after) else None
-        return j if kind in ("other", "cjk") and _script(last) == kind and len(_WORD_BEFORE.search(text, begin, a)[0]) > 2 else None
+        return j if kind in ("other", "cjk") and _script(last) == kind and len(_word_before(text, begin, a)) > 2 else None
     if _abbreviated(text, begin, a, nxt, True, after):
         return None
     if _lower(nxt) and not _code(after):
@@ -230,14 +237,17 @@ def _split_run(text: str, begin: int, end: int, title: bool) -> list[tuple[int,
             continue
         if title and text[a:b] == ".":
             continue
-        if (at := _ends(text, begin, end, a, b, j)) is not None:
+        if (at := _ends(text, cuts[-1] if cuts else begin, end, a, b, j)) is not None:
             cuts.append(at)
     if _THAI.search(text, begin, end):
+        k = 0
         for m in _SPACE_END.finditer(text, begin, end):
-            if any(s < m.start() <= e for s, e in spans):
+            while k < len(spans) and spans[k][1] < m.start():
+                k += 1
+            if k < len(spans) and spans[k][0] < m.start():
                 continue
-            left = regex.search(r"\S+$", text[max(begin, m.start() - 400) : m.start()])[0]
-            right = regex.match(r"\S+(?:\s+\S+)?", text[m.end() : min(end, m.end() + 200)])[0].split()
+            left = text[max(begin, m.start() - 200) : m.start()].rsplit(maxsplit=1)[-1]
+            right = text[m.end() : min(end, m.end() + 200)].split(maxsplit=2)[:2]
             if not _THAI.search(left) or left[-1] in "ๆฯ" or left[-1] in _CONTINUES or right[0][0] in _CONTINUES:
                 continue
             here = bool(_THAI.search(right[0]))
