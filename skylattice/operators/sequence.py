@@ -19,7 +19,11 @@ WEEK_S = 604800.0
 
 
 def neighbours(df: DataFrame, keys: list[str], columns: list[str], order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
-    """Rows with ``before`` and ``after``: structs of ``columns`` of the rows next to them, null at the ends."""
+    """Rows with ``before`` and ``after``: structs of ``columns`` of the rows next to them, null at the ends.
+
+    Columns of those names are replaced.
+    """
+    df = df.drop("before", "after")
     b = df.withColumn("_b", F.floor(F.col(order[0]) / width)).withColumn("_s", F.struct(*columns))
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     rows = b.withColumn("_p", F.lag("_s").over(w)).withColumn("_n", F.lead("_s").over(w))

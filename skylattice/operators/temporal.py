@@ -17,9 +17,10 @@ def bracket_join(left: DataFrame, right: DataFrame, keys: list[str], values: lis
     """Left rows with ``prev`` (last right row at or before ``t``) and ``next`` (first at or after), structs of ``t`` and ``values``.
 
     Rows of either side with a null time are treated as absent on the right and come without neighbours on the left.
-    At equal right times the row whose values are least in order is taken. Column names of the two sides may clash.
+    At equal right times the row whose values are least in order is taken. Column names of the two sides may clash;
+    left columns called ``prev`` or ``next`` are replaced.
     """
-    columns = left.columns
+    columns = [c for c in left.columns if c not in ("prev", "next")]
     r = right.where(F.col(t).isNotNull()).groupBy(*keys, t).agg(F.min(F.struct(*values)).alias("v"))
     r = r.select(*keys, F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), *[F.col("v")[c].alias(c) for c in values]).alias("_r"), F.lit(None).alias("_l"), F.lit(0).alias("_side"))
     el = left.select(*keys, F.col(t).alias("_t"), F.lit(None).alias("_r"), F.struct(*columns).alias("_l"), F.lit(1).alias("_side"))
