@@ -9,6 +9,7 @@ units; a single line break in running text is a space.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -116,13 +117,15 @@ def _enclosures(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]],
 def _abbreviated(text: str, begin: int, dot: int, nxt: str, spaced: bool, after: str) -> bool:
     """Whether the full stop at ``dot`` belongs to an abbreviation, initial or ordinal, given what follows."""
     raw = _word_before(text, begin, dot)
+    size = len(raw)
+    raw = unicodedata.normalize("NFC", raw)
     word = raw.lower()
     if not word:
         return False
-    before = text[max(begin, dot - len(raw) - 40) : dot - len(raw)].split()
-    prev = before[-1].strip("(（\"“„«").lower() if before else ""
+    before = text[max(begin, dot - size - 40) : dot - size].split()
+    prev = unicodedata.normalize("NFC", before[-1]).strip("(（\"“„«").lower() if before else ""
     counted = bool(prev) and prev[-1].isdigit()
-    capital = nxt.isupper() and after[1:2].islower()
+    capital = _capitalised(after)
     tail = regex.split(r"[-’'/\u200b-\u200d\ufeff]", word)[-1]
     if regex.fullmatch(r"\p{Lu}(?:\.\p{Lu})+", raw):  # initials written together
         return True
@@ -174,7 +177,7 @@ def _ends(text: str, begin: int, end: int, a: int, b: int, j: int) -> int | None
         if not all(c in "!?;" for c in full):
             return j
         if not spaced and (kind == "cased" or kind == "sign"):
-            return j if (nxt.isupper() and after[1:2].islower()) or nxt in "\"“«„(（¿¡「『" and text[a - 1 : a].isalpha() else None
+            return j if _capitalised(after) or nxt in "\"“«„(（¿¡「『" and text[a - 1 : a].isalpha() else None
         return None if _lower(nxt) and spaced and not _code(after) and full != [";"] else j
     ellipsis = len(terms) > 1 or terms in "…‥"
     if ellipsis:
@@ -188,7 +191,7 @@ def _ends(text: str, begin: int, end: int, a: int, b: int, j: int) -> int | None
         if kind in ("cased", "greek") or nxt in "\"“«„(":
             word = _word_before(text, begin, a)
             unit = len(word) == 1 and text[max(begin, a - 12) : a - 1].rstrip()[-1:].isdigit()
-            ok = nxt.isupper() and (after[1:2].islower() or after[1:2].isspace()) and (last.islower() or last.isdigit() or last in ")°%") or nxt in "\"“«„(" and len(word) > 2
+            ok = (_capitalised(after) or nxt.isupper() and after[1:2].isspace()) and (last.islower() or last.isdigit() or last in ")°%") or nxt in "\"“«„(" and len(word) > 2
             ok = ok and (len(word) != 1 or unit or last == "%")
             return j if ok and not _abbreviated(text, begin, a, nxt, False, after) else None
         return j if kind in ("other", "cjk") and _script(last) == kind and len(_word_before(text, begin, a)) > 2 else None
@@ -199,6 +202,12 @@ def _ends(text: str, begin: int, end: int, a: int, b: int, j: int) -> int | None
     return j
 
 
+def _capitalised(after: str) -> bool:
+    """Whether a capital and then a small letter follow, combining marks aside."""
+    rest = next((c for c in after[1:4] if not unicodedata.combining(c)), "")
+    return after[:1].isupper() and rest.islower()
+
+
 def _code(after: str) -> bool:
     """Whether what follows begins with an identifier, which may open a sentence in lower case."""
     word = after.split(maxsplit=1)[0]

@@ -21,7 +21,7 @@ CASES = [
     "It held no. 26 of Tab. 40. | After that rev. 21 was used, vs. the old one.",
     "The link dropped ... then it came back. | It is on the card… | According to Ray it is.",
     '"Is it on?" asked Ray. | "It came back." | He said "Stop. Wait here." and waited. | The note read: "Stay. Do not go." | Then we left.',
-    '(It had been restarted.) | The file log_3.ulg is 4.1 MB (see p. 7). | mcl_node printed nothing.',
+    '(It had been restarted.) | The file log_3.ulg is 4.1 MB (see p. 7). | flt_node printed nothing.',
     "It passed over Pad C. | Wind was low. | T. Ray signed it.",
     "Am 3. Oktober flog er, d. h. fast. | Im 2. Anlauf, z. B. die Probe, bzw. er. | Um 12 Uhr.",
     "„Halt. Sofort!“, rief er. | Er nannte das „ein Problem“. | Nichts … | Der Rest.",
@@ -47,6 +47,7 @@ CASES = [
     "It is outside.|Ver. 2 took 3 s.|Near it all.",
     "Health said {\"k\":3,\"s\":\"A. B\"} up to the end. |Next.",
     "Why did it win?! |为什么？！|No.",
+    "La Dra. Paz, nu\u0301m. 51. | E\u0301l vino.",
 ]
 
 
