@@ -78,6 +78,6 @@ def frames(messages: DataFrame, topics: DataFrame) -> DataFrame:
 
 def health(messages: DataFrame, topics: DataFrame) -> DataFrame:
     """Health snapshots: the payload is a length and JSON text. What isn't JSON gives nulls."""
-    m = of_topic(messages, topics, "/mcl/health").where("data is not null and octet_length(data) > 8")
+    m = of_topic(messages, topics, "/health").where("data is not null and octet_length(data) > 8")
     text = F.rtrim(F.expr("try_to_binary(hex(substring(data, 9)), 'hex')").cast("string"), F.lit("\x00"))
     return m.select("msg_id", "flight", "timestamp", F.from_json(text, HEALTH).alias("h")).select("msg_id", "flight", "timestamp", "h.*")

@@ -30,7 +30,7 @@ def test_decoders(spark):
         (10, "f", 4, 18, header() + b"", 0), (11, "f", 4, 19, b"\0\1\0\0" + struct.pack("<I", 19) + b'{"k":3,"score":0.5}\0', 0),
     ]
     m = spark.createDataFrame(rows, MSG)
-    t = spark.createDataFrame([("f", 1, "/imu0", ""), ("f", 2, "/x/local_position/pose", ""), ("f", 3, "/cam0/image_raw", ""), ("f", 4, "/mcl/health", "")], TOP)
+    t = spark.createDataFrame([("f", 1, "/imu0", ""), ("f", 2, "/x/local_position/pose", ""), ("f", 3, "/cam0/image_raw", ""), ("f", 4, "/x/health", "")], TOP)
     got = {r.msg_id: r for r in decoders.imu(m, t).collect()}
     assert [got[1][c] for c in ("gx", "gy", "gz", "ax", "ay", "az")] == [1, 2, 3, 4, 5, 6] and got[1].stamp == pytest.approx(5 + 7e-9)
     assert set(got) == {1, 2, 3, 4} and not any(got[k].ok for k in (2, 3, 4)) and got[2].gx is None
