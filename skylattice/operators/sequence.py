@@ -34,13 +34,43 @@ def neighbours(df: DataFrame, keys: list[str], columns: list[str], order: tuple[
     return rows.join(carried, [*keys, "_b"]).select(*df.columns, F.coalesce("_p", "_cp").alias("before"), F.coalesce("_n", "_cn").alias("after"))
 
 
-def running_sum(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` up to and with each row; nulls count as nothing."""
-    b = df.withColumn("_b", F.floor(F.col(order[0]) / width)).withColumn("_v", F.coalesce(F.col(value), F.lit(0)))
+def _running(df: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, ...], width: float, combine: Callable[[Column | str], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
+    b = df.withColumn("_b", F.floor(F.col(order[0]) / width)).withColumn("_v", value)
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     e = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).withColumn("_c", F.coalesce(F.sum("_t").over(e), F.lit(0))).drop("_t")
-    return b.withColumn("_r", F.sum("_v").over(w)).join(sums, [*keys, "_b"]).select(*df.columns, (F.col("_r") + F.col("_c")).alias(name))
+    totals = b.groupBy(*keys, "_b").agg(combine("_v").alias("_t")).withColumn("_c", combine("_t").over(e)).drop("_t")
+    return b.withColumn("_r", combine("_v").over(w)).join(totals, [*keys, "_b"]).select(*df.columns, add(F.col("_r"), F.col("_c")).alias(name))
+
+
+def running_sum(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` up to and with each row; nulls count as nothing."""
+    return _running(df, keys, F.coalesce(F.col(value), F.lit(0)), name, order, width, F.sum, lambda r, c: r + F.coalesce(c, F.lit(0)))
+
+
+def running_max(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
+    """Adds ``name``: the largest ``value`` up to and with each row."""
+    return _running(df, keys, F.col(value), name, order, width, F.max, lambda r, c: F.greatest(r, c))
+
+
+def index_in_order(df: DataFrame, keys: list[str], name: str = "k", order: tuple[str, ...] = ("t", "event_id"), width: float = WEEK_S) -> DataFrame:
+    """Adds ``name``: the row's place in its key's order, from 0."""
+    return _running(df, keys, F.lit(1), name, order, width, F.sum, lambda r, c: (r + F.coalesce(c, F.lit(0)) - 1).cast("int"))
+
+
+def rolling(df: DataFrame, keys: list[str], reach: float, columns: dict[str, Callable[[Window], Column]], on: str = "t", width: float | None = None) -> DataFrame:
+    """Adds columns computed over the rows of the last ``reach`` units of ``on`` (this one counted).
+
+    Rows are placed in buckets, those near a bucket's end also in the next, so the window of a long key is many small
+    ones. ``columns`` maps a name to a function from the window to its expression.
+    """
+    width = width or 20 * reach
+    at = F.floor(F.col(on) / width)
+    spread = F.filter(F.array(at, F.when(F.col(on) >= (at + 1) * width - reach, at + 1)), lambda b: b.isNotNull())
+    placed = df.withColumn("_home", at).withColumn("_b", F.explode(spread))
+    fine = F.round(F.col(on) * 1e6).cast("long")
+    w = Window.partitionBy(*keys, "_b").orderBy(fine).rangeBetween(-round(reach * 1e6), 0)
+    out = placed.select("*", *[f(w).alias(n) for n, f in columns.items()])
+    return out.where("_b = _home").drop("_b", "_home")
 
 
 def gradient(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -89,11 +119,12 @@ def persistence(df: DataFrame, keys: list[str], flag: str, hold: float) -> DataF
     return out.withColumn("breach", F.coalesce(F.col("elapsed") > hold, F.lit(False))).drop("_t0", "island")
 
 
-def streaks(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
+def streaks(df: DataFrame, keys: list[str], flag: str, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """Adds ``streak``: how many rows in a row the flag has been set, this one counted."""
-    i = islands(df, keys, flag)
-    w = Window.partitionBy(*keys, "island").orderBy("t")
-    return i.withColumn("streak", F.when(F.col(flag), F.row_number().over(w)).otherwise(0)).drop("island")
+    i = index_in_order(islands(df, keys, flag), keys, "_k", order)
+    starts = i.where(F.col(flag)).groupBy(*keys, "island").agg(F.min("_k").alias("_k0"))
+    out = i.join(starts, [*keys, "island"], "left")
+    return out.withColumn("streak", F.when(F.col(flag), F.col("_k") - F.col("_k0") + 1).otherwise(0).cast("int")).drop("island", "_k", "_k0")
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]], schema: str) -> DataFrame:

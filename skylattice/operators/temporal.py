@@ -87,9 +87,9 @@ def two_stage(left: DataFrame, right: DataFrame, keys: list[str], values: list[s
 
 def velocity_pairs(samples: DataFrame, keys: list[str], reach: float, low: float, high: float, value: str = "value") -> DataFrame:
     """Each sample with the oldest one within ``reach`` before it, if their distance lies in [low, high]: ``dt, rate``."""
-    w = Window.partitionBy(*keys).orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-round(reach * 1e6), 0)
-    old = F.first(F.struct("t", value)).over(w)
-    out = samples.withColumn("_o", old).withColumn("dt", F.col("t") - F.col("_o.t"))
+    from skylattice.operators.sequence import rolling
+
+    out = rolling(samples, keys, reach, {"_o": lambda w: F.first(F.struct("t", value)).over(w)}).withColumn("dt", F.col("t") - F.col("_o.t"))
     return out.where(F.col("dt").between(low, high)).withColumn("rate", (F.col(value) - F.col(f"_o.{value}")) / F.col("dt")).drop("_o")
 
 

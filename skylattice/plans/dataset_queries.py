@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.scalars import file_month
 from skylattice.operators import training as tr
+from skylattice.operators.sequence import index_in_order
 from skylattice.plans.common import E, events, r6, uniform_duck
 from skylattice.plans.scan_queries import _norm
 from skylattice.session import load_table
@@ -98,10 +99,7 @@ def composite_key_join(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_log_join(spark: SparkSession, d: str) -> DataFrame:
     """Frames met with log rows by index and run; what has no partner is dropped."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run").orderBy("t", "event_id")
-    idx = lambda topic, name: events(spark, d, topic).withColumn("k", F.row_number().over(w)).select("run", "k", F.col("event_id").alias(name))
+    idx = lambda topic, name: index_in_order(events(spark, d, topic), ["run"]).select("run", "k", F.col("event_id").alias(name))
     return idx("click", "frame").join(idx("view", "log"), ["run", "k"]).select("frame", "log")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, rotation, scalars
+from skylattice.operators.sequence import neighbours
 from skylattice.plans.common import E, events, r6
 from skylattice.session import load_table
 
@@ -241,8 +242,6 @@ def mission_plan_parse(spark: SparkSession, d: str) -> DataFrame:
     js = F.concat(F.lit('{"mission":{"items":['), F.concat_ws(",", F.lit(item(22, 0, 30, 100, 50)), F.concat(F.lit('{"command":178,"frame":2,"params":[1,'), (F.col("event_id") % 7 + 3).cast("string"), F.lit(",0,0,0,0,0]}")), F.lit(item(16, 0, 30.1, 100.1, 60)), F.lit(item(16, 0, 30.2, 100.2, 0.2)), F.lit(item(21, 0, 0, 0, 0))), F.lit("]}}"))
     schema = "mission struct<items: array<struct<command: int, frame: int, params: array<double>>>>"
     e = load_table(spark, d, "events").where("event_type = 'signup'").select("event_id", F.from_json(js, schema).alias("p")).select("event_id", F.posexplode("p.mission.items").alias("seq", "i"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("event_id").orderBy("seq")
     speed = F.last(F.when(F.col("i.command") == 178, F.element_at("i.params", 2)), ignorenulls=True).over(w)
     out = e.withColumn("speed", F.least(F.lit(8.0), F.coalesce(speed, F.lit(8.0)))).where("i.command = 16")
@@ -277,11 +276,8 @@ def schedules(spark: SparkSession, d: str) -> DataFrame:
 
 def step_classes(spark: SparkSession, d: str) -> DataFrame:
     """Motion steps classed by plausibility."""
-    from pyspark.sql import Window
-
-    e = events(spark, d, "click")
-    w = Window.partitionBy("run").orderBy("t")
-    s = e.withColumn("dt", (F.col("t") - F.lag("t").over(w)) / 86400).withColumn("step", F.abs(F.col("value") - F.lag("value").over(w)))
+    s = neighbours(events(spark, d, "click"), ["run"], ["t", "value"])
+    s = s.withColumn("dt", (F.col("t") - F.col("before.t")) / 86400).withColumn("step", F.abs(F.col("value") - F.col("before.value")))
     return s.select("event_id", scalars.vio_class(F.col("value"), F.pmod("event_id", F.lit(60)).cast("double"), F.col("step"), F.col("step") / 2, F.col("dt")).alias("class"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.operators import particles as pf
 from skylattice.operators import peaks as pk
 from skylattice.operators import scoring
+from skylattice.operators import sequence as seq
 from skylattice.plans.common import E, events, r6, uniform_duck
 from skylattice.session import load_table
 
@@ -164,18 +165,17 @@ def rotation_sweep(spark: SparkSession, d: str) -> DataFrame:
 def consensus_motion(spark: SparkSession, d: str) -> DataFrame:
     """Motion agreed on by the last seven frames: resultant over mean length at least 0.6 from four frames on."""
     e = events(spark, d, "view").withColumn("dx", F.cos(F.col("value") / 30) * 5).withColumn("dy", F.sin(F.col("value") / 30) * 5)
-    w = Window.partitionBy("run").orderBy("t").rowsBetween(-6, 0)
-    n = F.count("*").over(w)
-    agree = F.sqrt(F.avg("dx").over(w) ** 2 + F.avg("dy").over(w) ** 2) / F.avg(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)).over(w)
-    med = lambda c: F.percentile(c, F.lit(0.5)).over(w)
-    out = e.withColumn("n", n).withColumn("agree", F.round(agree, 9)).withColumn("mx", med("dx")).withColumn("my", med("dy"))
+    agree = lambda w: F.sqrt(F.avg("dx").over(w) ** 2 + F.avg("dy").over(w) ** 2) / F.avg(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)).over(w)
+    med = lambda c: lambda w: F.percentile(c, F.lit(0.5)).over(w)
+    # the last seven rows are the last six units of the row's index
+    out = seq.rolling(seq.index_in_order(e, ["run"]), ["run"], 6, {"n": lambda w: F.count("*").over(w), "agree": lambda w: F.round(agree(w), 9), "mx": med("dx"), "my": med("dy")}, on="k", width=1024)
     return out.where("n >= 4 and agree >= 0.6").select("event_id", r6("agree").alias("agree"), r6("mx").alias("dx"), r6("my").alias("dy"))
 
 
 def linspace_frames(spark: SparkSession, d: str) -> DataFrame:
     """At most nine frames of each run, evenly spaced, both ends included."""
-    w = Window.partitionBy("run").orderBy("t", "event_id")
-    e = events(spark, d, "click").withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("run")))
+    e = seq.index_in_order(events(spark, d, "click"), ["run"])
+    e = e.join(e.groupBy("run").agg(F.count("*").alias("n")), "run")
     marks = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.bround(i * (F.col("n") - 1) / 8.0).cast("long"))
     return e.where(F.array_contains(marks, F.col("k").cast("long"))).select("event_id", "run")
 
@@ -276,8 +276,7 @@ def filter_step_once(spark: SparkSession, d: str) -> DataFrame:
 def waypoint_progress(spark: SparkSession, d: str) -> DataFrame:
     """How many waypoints each run has reached in order, several at a time allowed."""
     e = events(spark, d, "view").withColumn("reached", F.floor(F.col("value") / 25))
-    w = Window.partitionBy("run").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("wp", F.max("reached").over(w)).select("event_id", F.col("wp").cast("int").alias("wp"))
+    return seq.running_max(e, ["run"], "reached", "wp").select("event_id", F.col("wp").cast("int").alias("wp"))
 
 
 def _dot(a: str, b: str) -> str:

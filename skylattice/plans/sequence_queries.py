@@ -67,16 +67,12 @@ def loss_streaks(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_rescan_count(spark: SparkSession, d: str) -> DataFrame:
     """Errors of the last three days, and whether there are four."""
-    us = F.round(F.col("t") * 1e6).cast("long")
-    w = Window.partitionBy("run").orderBy(us).rangeBetween(-round(3 * DAY * 1e6), 0)
-    return events(spark, d, "error").withColumn("n", F.count("*").over(w)).select("event_id", "n", (F.col("n") >= 4).alias("escalate"))
+    return seq.rolling(events(spark, d, "error"), RUN, 3 * DAY, {"n": lambda w: F.count("*").over(w)}).select("event_id", "n", (F.col("n") >= 4).alias("escalate"))
 
 
 def sliding_buffer_span(spark: SparkSession, d: str) -> DataFrame:
     """Span of the samples of the last five days."""
-    us = F.round(F.col("t") * 1e6).cast("long")
-    w = Window.partitionBy("run").orderBy(us).rangeBetween(-round(5 * DAY * 1e6), 0)
-    return _views(spark, d).withColumn("span", F.col("t") - F.min("t").over(w)).select("event_id", r6("span").alias("span_s"))
+    return seq.rolling(_views(spark, d), RUN, 5 * DAY, {"span": lambda w: F.col("t") - F.min("t").over(w)}).select("event_id", r6("span").alias("span_s"))
 
 
 def staleness(spark: SparkSession, d: str) -> DataFrame:

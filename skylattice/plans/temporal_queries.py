@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators.sequence import index_in_order
 from skylattice.operators.temporal import WEEK_S, age, bracket_join, clock_offset, forward_clamped, lerp, nearest, two_stage, velocity_pairs
 from skylattice.plans.common import E, events, r6
 
@@ -21,14 +22,12 @@ def _bracketed(spark: SparkSession, d: str) -> DataFrame:
 
 def stride_sample_frames(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth frame of each run in time order, with its index."""
-    w = Window.partitionBy("run").orderBy("t", "event_id")
-    return events(spark, d, "click").withColumn("k", F.row_number().over(w) - 1).where("pmod(k, 10) = 0").select("event_id", "run", "k")
+    return index_in_order(events(spark, d, "click"), ["run"]).where("pmod(k, 10) = 0").select("event_id", "run", "k")
 
 
 def frame_range_gate(spark: SparkSession, d: str) -> DataFrame:
     """Frames [2, 8) of each run."""
-    w = Window.partitionBy("run").orderBy("t", "event_id")
-    return events(spark, d, "click").withColumn("k", F.row_number().over(w) - 1).where("k >= 2 and k < 8").select("event_id", "run", "k")
+    return index_in_order(events(spark, d, "click"), ["run"]).where("k >= 2 and k < 8").select("event_id", "run", "k")
 
 
 def camera_times(spark: SparkSession, d: str) -> DataFrame:
