@@ -39,8 +39,8 @@ LABELS = frozenset("pad grid gate area zone plan step point section stage site r
 BEFORE_ORDINAL = frozenset("am im zum vom dem den der des das die beim bis ab seit ein einen einem eines ihrem seinem zur".split())
 #: How a sentence goes on after a closed quotation, in scripts without capitals.
 GOES_ON = (
-    "と って という などと 然后 然後 接着 接著 随后 隨後 于是 但 而 并 並 便 就 又 才 的 地 后 後 之后 等 और फिर तो लेकिन व तथा कहा कहकर "
-    "ثم و ف لكن بل قال قالت وقال اور پھر لیکن کہا کہہ 라고 이라고 하고 라며 고 แล้ว และ"
+    "と って という などと 然后 然後 接着 接著 随后 隨後 于是 但 而 并 並 便 的 और फिर तो लेकिन व तथा कहा कहकर "
+    "ثم و ف لكن بل اور پھر لیکن کہا کہہ 라고 이라고 하고 라며 고 แล้ว และ"
 ).split()
 
 _NEWLINE = r"(?>\r\n|[\n\r\x0b\x0c\x85\u2028])"
@@ -124,7 +124,7 @@ def _abbreviated(text: str, begin: int, dot: int, nxt: str, spaced: bool, after:
         return False
     before = text[max(begin, dot - size - 40) : dot - size].split()
     prev = unicodedata.normalize("NFC", before[-1]).strip("(（\"“„«").lower() if before else ""
-    counted = bool(prev) and prev[-1].isdigit()
+    counted = bool(regex.fullmatch(r"[\d.,٫:/±~≥<>$-]*\d", prev))
     capital = _capitalised(after)
     tail = regex.split(r"[-’'/\u200b-\u200d\ufeff]", word)[-1]
     if regex.fullmatch(r"\p{Lu}(?:\.\p{Lu})+", raw):  # initials written together
@@ -190,8 +190,9 @@ def _ends(text: str, begin: int, end: int, a: int, b: int, j: int) -> int | None
             return None
         if kind in ("cased", "greek") or nxt in "\"“«„(":
             word = _word_before(text, begin, a)
-            unit = len(word) == 1 and text[max(begin, a - 12) : a - 1].rstrip()[-1:].isdigit()
-            ok = (_capitalised(after) or nxt.isupper() and after[1:2].isspace()) and (last.islower() or last.isdigit() or last in ")°%") or nxt in "\"“«„(" and len(word) > 2
+            unit = len(word) <= 2 and text[max(begin, a - 12) : a - 1].rstrip()[-1:].isdigit()
+            shouted = (unit or word.isalpha() and len(word) > 2) and regex.match(r"\p{Lu}{2,}\s+\p{Ll}", after)
+            ok = (_capitalised(after) or shouted or nxt.isupper() and after[1:2].isspace()) and (last.islower() or last.isdigit() or last in ")°%") or nxt in "\"“«„(" and len(word) > 2
             ok = ok and (len(word) != 1 or unit or last == "%")
             return j if ok and not _abbreviated(text, begin, a, nxt, False, after) else None
         return j if kind in ("other", "cjk") and _script(last) == kind and len(_word_before(text, begin, a)) > 2 else None
@@ -244,7 +245,7 @@ def _split_run(text: str, begin: int, end: int, title: bool) -> list[tuple[int,
             k += 1
         if k < len(spans) and spans[k][0] < j <= spans[k][1]:
             continue
-        if title and text[a:b] == ".":
+        if title and text[a:b] == "." and regex.fullmatch(r"\p{Lu}|\d{1,3}|[IVXLC]+", _word_before(text, begin, a)):
             continue
         if (at := _ends(text, cuts[-1] if cuts else begin, end, a, b, j)) is not None:
             cuts.append(at)

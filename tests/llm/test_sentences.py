@@ -44,7 +44,9 @@ CASES = [
     "[12:00:01.5] WARN a: b 1.3! resetting\n|[12:00:02.0] INFO x. y Z",
     "It was rev.\n21. |Near it, all of p.\n31 was lost.",
     "One.\r\n\r\n|Two\r\nthree. \n \n|Four.",
-    "It is outside.|Ver. 2 took 3 s.|Near it all.",
+    "It is outside.|Ver. 2 took 3 s.|Near it all.|VIO drifted off.",
+    'ระบบหาไม่เจอหลังจากเฟรมที่3807 | Dr. Ray asked. | "It came back." | قال الطيار: «قف. هنا.» ثم ذهب.',
+    "착륙했다. | 그림 9를 보시오",
     "Health said {\"k\":3,\"s\":\"A. B\"} up to the end. |Next.",
     "Why did it win?! |为什么？！|No.",
     "La Dra. Paz, nu\u0301m. 51. | E\u0301l vino.",
