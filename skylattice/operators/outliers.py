@@ -99,33 +99,53 @@ def source_normals(placed: DataFrame) -> DataFrame:
     )
 
 
-def spikes(t: np.ndarray, v: np.ndarray, scales: list[float], speed: float, times: float, longest_s: float, widest: int) -> np.ndarray:
-    """Mask of the values of excursions: runs whose details all exceed ``times`` x the scale of their span (and what the usual
-    high speed covers between two values) on one side, and that return. ``scales`` are those of ``WIDTHS``.
-
-    ``t, v`` are successive different values. The path has returned if the values around the run differ by less than
-    three quarters of the least detail. A run must also
-    lie off the median of the few values on either side, so that what lies between two spikes isn't taken for one.
+def spikes(t: np.ndarray, v: np.ndarray, held: np.ndarray, hold: float, scales: list[float], speed: float, times: float, longest_s: float, widest: int) -> np.ndarray:
+    """Mask of the values of excursions: runs whose details all lie on one side, all exceed ``times`` x the scale of their
+    span and what the usual high speed covers since the neighbours, and that return.
+
+    ``t, v`` are successive different values, ``held`` how many readings each stood for, ``hold`` how many they usually
+    do; ``scales`` are those of ``WIDTHS``. The path has returned if the values around the run differ by less than three
+    quarters of the least detail. Of overlapping runs the one farthest off counts, one whose values were held as usual
+    half as much (a wrong reading replaces single readings); then the rest is searched again without it. A run must
+    also lie off the median of the few values on either side, so that what lies between two spikes isn't taken for one.
     """
-    bad, step = np.zeros(len(v), bool), np.median(np.diff(t)) if len(t) > 1 else 0.0
-    for width in range(1, widest + 1):
+    bad = np.zeros(len(v), bool)
+    for _ in range(8):
         live = np.flatnonzero(~bad)
         tt, vv = t[live], v[live]
-        d, change, span = details(tt, vv, width)
-        if not len(d):
+        if len(tt) < 3:
+            break
+        dt = np.diff(tt)
+        step = np.median(dt)
+        lasted = np.r_[0.0, np.cumsum(np.minimum(dt, 2 * step))]  # gaps of the recording don't count
+        readings = np.r_[0, np.cumsum(held[live])]
+        found = []
+        for width in range(1, widest + 1):
+            d, change, span = details(tt, vv, width)
+            if not len(d):
+                break
+            n = len(d)
+            least = np.where((d > 0).all(axis=1) | (d < 0).all(axis=1), np.abs(d).min(axis=1), 0.0)
+            # natural details grow with the time between the neighbours, so that time picks the scale
+            usual = np.clip(np.ceil(span / max(step, 1e-9) - 1.5), 1, WIDTHS[-1])
+            scale = np.asarray(scales)[np.searchsorted(WIDTHS, np.minimum(usual, width))]
+            edge = np.minimum(step, np.minimum(dt[:n], dt[width : width + n]))
+            off = (least > np.maximum(times * scale, 1.3 * speed * edge)) & (np.abs(change) <= 0.75 * least)
+            off &= lasted[width : width + n] - lasted[1 : 1 + n] <= longest_s
+            side = 3 + width // 2
+            for k in np.flatnonzero(off):
+                i, j = k + 1, k + 1 + width
+                around = np.r_[vv[max(0, i - side) : i], vv[j : j + side]]
+                if abs(np.median(vv[i:j]) - np.median(around)) > 0.5 * least[k]:
+                    usual_hold = hold >= 2 and readings[j] - readings[i] >= 0.75 * hold * width
+                    found.append((least[k] * (0.5 if usual_hold else 1.0), -i, j))
+        if not found:
             break
-        least = np.where((d > 0).all(axis=1) | (d < 0).all(axis=1), np.abs(d).min(axis=1), 0.0)
-        # natural details grow with the time between the neighbours, so that time picks the scale
-        usual = np.clip(np.ceil(span / max(step, 1e-9) - 1.5), 1, WIDTHS[-1])
-        scale = np.asarray(scales)[np.searchsorted(WIDTHS, np.minimum(usual, width))]
-        back = np.abs(change) <= 0.75 * least
-        side = 3 + width // 2
-        within = tt[width : len(tt) - 1] - tt[1 : len(tt) - width] <= longest_s
-        for k in np.flatnonzero((least > np.maximum(times * scale, 1.3 * speed * np.minimum(step, span))) & back & within):
-            i, j = k + 1, k + 1 + width
-            around = np.r_[vv[max(0, i - side) : i], vv[j : j + side]]
-            if abs(np.median(vv[i:j]) - np.median(around)) > 0.5 * least[k] and not bad[live[i:j]].any():
-                bad[live[i:j]] = True
+        taken = np.zeros(len(vv), bool)
+        for _, i, j in sorted(found, reverse=True):
+            if not taken[-i - 1 : j + 1].any():  # nor may its neighbours be spikes themselves
+                taken[-i:j] = True
+        bad[live[taken]] = True
     return bad
 
 
@@ -159,7 +179,8 @@ def flag_implausible(
             which = np.repeat(np.arange(len(first)), length_)
             scales = [max(LEAST_SCALE[f], x if np.isfinite(x) else 0.0) for x in (n[f"scale_{f}_{k}"] for k in WIDTHS)]
             speed = n[f"speed_{f}"] if np.isfinite(n[f"speed_{f}"]) else 0.0
-            spike = spikes(t[first], v[first], scales, speed, times, longest_spike_s, widest_spike)[which]
+            hold = n["hold"] if np.isfinite(n["hold"]) else 1.0
+            spike = spikes(t[first], v[first], length_, hold, scales, speed, times, longest_spike_s, widest_spike)[which]
             rest = np.flatnonzero(~spike)
             first, length_ = runs(v[rest])
             stuck = np.zeros(len(v), bool)

@@ -68,6 +68,6 @@ def test_empty_and_short(spark):
 def test_a_step_is_no_spike():
     t = np.arange(40.0)
     v = np.r_[np.zeros(20), np.full(20, 50.0)] + np.random.default_rng(0).normal(0, 0.1, 40)
-    assert not spikes(t, v, [0.1] * 7, 0.2, 8.5, 3.0, 14).any()
+    assert not spikes(t, v, np.ones(40, int), 1, [0.1] * 7, 0.2, 8.5, 8.0, 14).any()
     v[10] += 50
-    assert np.flatnonzero(spikes(t, v, [0.1] * 7, 0.2, 8.5, 3.0, 14)).tolist() == [10]
+    assert np.flatnonzero(spikes(t, v, np.ones(40, int), 1, [0.1] * 7, 0.2, 8.5, 8.0, 14)).tolist() == [10]
