@@ -116,12 +116,12 @@ def _first_of_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def slot_readings(messages: DataFrame, topics: DataFrame) -> DataFrame:
     """One row per source and slot with a usable reading: the slot's first reading, its time, and the slot's last time.
 
-    ``messages`` needs ``msg_id, flight, topic_id, timestamp, data``; other columns are ignored. Rows with a null key,
-    a time that is null or 0, or an unusable payload are left out.
+    ``messages`` needs ``msg_id, flight, topic_id, timestamp, data``; other columns are ignored. Rows with a null
+    flight or topic, a time that is null or 0, or an unusable payload are left out; a null id comes last among equals.
     """
     kind = F.when(F.col("name").endswith("/imu0"), 0).when(F.col("name").endswith("/local_position/pose"), 1)
     sources = topics.select("flight", F.col("id").alias("topic_id"), kind.alias("kind")).where("kind is not null").dropDuplicates(["flight", "topic_id"])
-    rows = messages.select("msg_id", "flight", "topic_id", "timestamp", "data").where("timestamp is not null and timestamp <> 0 and data is not null and msg_id is not null")
+    rows = messages.select(F.coalesce("msg_id", F.lit(2**63 - 1)).alias("msg_id"), "flight", "topic_id", "timestamp", "data").where("timestamp is not null and timestamp <> 0 and data is not null")
     decoded = rows.join(sources, ["flight", "topic_id"]).select("flight", "topic_id", "kind", "timestamp", "msg_id", "data")
     schema = "flight string, topic_id int, kind int, slot long, first_ts long, msg_id long, last_ts long, vals array<double>"
     cells = decoded.mapInArrow(_first_of_slot, schema)

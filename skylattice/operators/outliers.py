@@ -155,7 +155,7 @@ def flag_implausible(
     """Implausible values as rows ``row_id, flight, field, reason``; every delivered copy of a value has its own row.
 
     ``positions`` needs ``row_id, flight, t_us, alt, lat, lon``. ``reason`` is ``bounds``, ``spike`` or ``stuck``. Null
-    and NaN values are missing and never flagged. Rows without a time or flight are held against the bounds alone. A
+    and NaN values are missing and never flagged. Rows without a time, flight or id are held against the bounds alone. A
     series with fewer than three values has no spikes. An empty table gives an empty result.
     """
     p = positions.select("row_id", "flight", "t_us", *[F.col(f).cast("double").alias(f) for f in FIELDS])
@@ -163,7 +163,7 @@ def flag_implausible(
     length, halo = block_s * 1_000_000, halo_s * 1_000_000
     block, t = F.floor(F.col("t_us") / length), F.col("t_us")
     near = F.array(block, F.when(t - block * length < halo, block - 1), F.when(t - block * length >= length - halo, block + 1))
-    placed = p.where("t_us is not null and flight is not null").withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull())))
+    placed = p.where("t_us is not null and flight is not null and row_id is not null").withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull())))
     normals = source_normals(placed)
 
     def flag(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

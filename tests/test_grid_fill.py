@@ -95,6 +95,14 @@ def test_long_gap_stays_marked_and_stop_ends_the_series(spark):
     assert out[16] == "unsupported" and all(out[s] == "observed" for s in slots)
 
 
+def test_null_ids_and_names_still_count(spark):
+    rows = [(None if s % 2 else s, "f", 2, (9000 + s) * S, pose([float(s), 1, 2]), None) for s in range(40) if s != 20]
+    m = spark.createDataFrame(rows + [(5, "f", None, S, pose([0, 0, 0]), None)], MSG)
+    t = spark.createDataFrame([("f", 2, "/local_position/pose", None), ("f", None, "/imu0", None), (None, 2, "/imu0", None), ("f", 7, None, None)], TOP)
+    out = regular_series(m, t).collect()
+    assert len(out) == 40 and [r.slot - 9000 for r in out if r.status != "observed"] == [20]
+
+
 def test_empty_tables(spark):
     assert regular_series(*build(spark, [])).count() == 0
     assert regular_series(*build(spark, [("f", 2, S, pose([1, 2, 3]))], topics=())).count() == 0

@@ -41,8 +41,8 @@ def test_planted_cases(spark):
         rows += rows_of(f, base)
         rows.append((base + 9000, *rows_of(f, base)[400][1:]))  # a case delivered twice, and late
         want |= {(base + 9000, "lat"), (base + 9000, "alt")}
-    rows += [(77_777, "f0", None, 999.0, 1.0, 1.0, 1.0, 0, ""), (77_778, None, 5, 1.0, 500.0, None, None, None, None)]
-    want |= {(77_777, "lat"), (77_778, "lon")}
+    rows += [(77_777, "f0", None, 999.0, 1.0, 1.0, 1.0, 0, ""), (77_778, None, 5, 1.0, 500.0, None, None, None, None), (None, "f0", 50, 1.0, 1.0, 9e9, None, None, None)]
+    want |= {(77_777, "lat"), (77_778, "lon"), (None, "alt")}
     rng.shuffle(rows)
     got = flag_implausible(spark.createDataFrame(rows, SCHEMA)).select("row_id", "field").distinct().collect()
     assert {tuple(r) for r in got} == want
