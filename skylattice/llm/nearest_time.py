@@ -71,8 +71,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, bucket: i
     the smallest topic. A left row with no right row within ``tolerance`` has no pair. Empty sides give no pairs.
     """
     width = bucket or max(400 * tolerance, 4)
-    b = F.floor(F.col("t") / width)
-    offset = F.col("t") - b * width
+    offset = F.pmod("t", F.lit(width))
+    b = F.expr(f"(t - pmod(t, {width}L)) div {width}L")  # whole numbers: nanoseconds don't fit a double
     ok = "id is not null and entity is not null and t is not null"
     lrows = left.where(ok).select("entity", b.alias("bucket"), "t", F.coalesce("topic", F.lit(-1)).alias("topic"), "id", F.lit(False).alias("right"))
     spread = F.filter(F.array(b, F.when(offset <= tolerance, b - 1), F.when(offset >= width - tolerance, b + 1)), lambda x: x.isNotNull())
