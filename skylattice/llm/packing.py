@@ -121,4 +121,8 @@ def pack(sizes: DataFrame, classes: DataFrame, items: int | None = None, group_i
         part = pd.Series(start).groupby(item).rank(method="first").astype("int64") - 1 if len(item) else pd.Series([], dtype="int64")
         return pd.DataFrame({"pack_class": key[0], "container": int(key[1]) * (1 << 32) + box, "doc_id": g["doc_id"].to_numpy()[item], "part": part.to_numpy(), "start_token": start, "tokens": n, "loss_tokens": loss})
 
+    # packing is slow for its few bytes: a fixed number of parts, or AQE would join them into one or two tasks
+    spark = sizes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(min(parts, max(1, groups * len(limits))), "pack_class", "group")
     return dealt.groupBy("pack_class", "group").applyInPandas(run, "pack_class string, container long, doc_id long, part long, start_token long, tokens long, loss_tokens long")
