@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors' Python workers import this package, wherever they run: once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="skylattice-"), "skylattice.zip")  # the driver serves it to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("skylattice", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def build_session(app: str = "skylattice", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every plan here relies on (UTC clock, AQE, Arrow)."""
@@ -22,11 +43,14 @@ def build_session(app: str = "skylattice", master: str | None = None, **conf: st
     }
     for k, v in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; column pruning and predicates reach this scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
