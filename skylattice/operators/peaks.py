@@ -42,12 +42,21 @@ def local_maxima(grid: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(spread, [*keys, "i", "j"]).where("score = _m").drop("_m")
 
 
-def bilinear(grid: DataFrame, points: DataFrame, keys: list[str], rows: int, cols: int) -> DataFrame:
-    """The grid's value at fractional ``r, c``, held at the edges: adds ``value``. Four equi-joins in one."""
+def bilinear(grid: DataFrame, points: DataFrame, keys: list[str], rows: Column | int, cols: int, last: Column | None = None) -> DataFrame:
+    """The grid's value at fractional ``r, c``, held at the edges: adds ``value``. Four equi-joins in one.
+
+    ``rows`` may be a column of the points; ``last`` is the last column of the last row, if that row isn't full.
+    """
     clip = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n)).cast("int")
     r0, c0 = clip(F.floor("r"), rows - 1), clip(F.floor("c"), cols - 1)
     fr, fc = F.least(F.greatest(F.col("r") - r0, F.lit(0.0)), F.lit(1.0)), F.least(F.greatest(F.col("c") - c0, F.lit(0.0)), F.lit(1.0))
-    corner = lambda dr, dc, w: F.struct(F.least(r0 + dr, F.lit(rows - 1)).alias("i"), F.least(c0 + dc, F.lit(cols - 1)).alias("j"), w.alias("w"))
+
+    def corner(dr: int, dc: int, w: Column) -> Column:
+        i, j = F.least(r0 + dr, F.lit(rows - 1)), F.least(c0 + dc, F.lit(cols - 1))
+        if last is not None:
+            j = F.when(i == rows - 1, F.least(j, last)).otherwise(j)
+        return F.struct(i.alias("i"), j.alias("j"), w.alias("w"))
+
     corners = F.array(corner(0, 0, (1 - fr) * (1 - fc)), corner(0, 1, (1 - fr) * fc), corner(1, 0, fr * (1 - fc)), corner(1, 1, fr * fc))
     p = points.withColumn("_k", F.explode(corners)).select(*points.columns, "_k.*")
     return p.join(grid, [*keys, "i", "j"]).groupBy(*points.columns).agg(F.sum(F.col("w") * F.col("score")).alias("value"))

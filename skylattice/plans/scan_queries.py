@@ -94,10 +94,12 @@ def multi_frame_median_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bilinear_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Scores between cells, held at the edges."""
-    g = _grid(spark, d).where("i < 20").select("i", "j", "score", F.lit(0).alias("g"))
-    p = events(spark, d, "click").select("event_id", F.lit(0).alias("g"), (F.pmod("value", F.lit(22.0)) - 1).alias("r"), (F.pmod(F.col("value") * 3, F.lit(27.0)) - 1).alias("c"))
-    return pk.bilinear(g, p, ["g"], 20, 25).select("event_id", r6("value").alias("value"))
+    """Scores between cells of the whole grid, held at the edges; the points are spread over the grid's rows and a cell beyond."""
+    g = _grid(spark, d).select("i", "j", "score", F.lit(0).alias("g"))
+    extent = g.agg(F.max(F.struct("i", "j")).alias("m")).select((F.col("m.i") + 1).alias("rows"), F.col("m.j").alias("last"))
+    e = events(spark, d, "click").join(F.broadcast(extent))  # one row
+    p = e.select("event_id", F.lit(0).alias("g"), (F.pmod("value", F.col("rows") + 2.0) - 1).alias("r"), (F.pmod(F.col("value") * 3, F.lit(27.0)) - 1).alias("c"), "rows", "last")
+    return pk.bilinear(g, p, ["g"], F.col("rows"), 25, F.col("last")).select("event_id", r6("value").alias("value"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:

@@ -77,6 +77,27 @@ def test_bilinear(spark):
     assert got == pytest.approx([3 * np.clip(c, 0, 4) + 5 * np.clip(r, 0, 3) for r, c in at])
 
 
+def test_bilinear_reads_the_whole_grid(spark, tmp_path):
+    from skylattice.plans.scan_queries import bilinear_grid
+
+    n, rows, last = 733, 30, 7  # 29 full rows and one of 8 cells
+    rng = np.random.default_rng(1)
+    vec = rng.normal(size=(n, 4)).astype(np.float32) * 0.3
+    spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(vec)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    value = rng.uniform(0, 100, 300).round(3)
+    spark.createDataFrame([(i, 1, "click", float(v)) for i, v in enumerate(value)], "event_id long, user_id long, event_type string, value double").selectExpr("*", "TIMESTAMP_NTZ'2020-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    score = np.round(1 / (1 + np.exp(-5.0 * (vec.astype(np.float64) @ vec[0].astype(np.float64)))), 9)
+    cell = lambda i, j: score[i * 25 + (min(j, last) if i == rows - 1 else j)]
+    want = []
+    for v in value:
+        r, c = np.clip(v % (rows + 2) - 1, 0, rows - 1), np.clip(v * 3 % 27 - 1, 0, 24)
+        i, j = int(r), int(c)
+        k, m = min(i + 1, rows - 1), min(j + 1, 24)
+        want.append((cell(i, j) * (1 - c + j) + cell(i, m) * (c - j)) * (1 - r + i) + (cell(k, j) * (1 - c + j) + cell(k, m) * (c - j)) * (r - i))
+    got = {r.event_id: r.value for r in bilinear_grid(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(300)] == pytest.approx(want, abs=2e-6)
+
+
 def test_search_in_blocks(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 8))
