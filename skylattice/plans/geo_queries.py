@@ -75,6 +75,11 @@ def tile_window(spark: SparkSession, d: str) -> DataFrame:
     return geo.tile_window(places(spark, d).where("id % 20 = 0"), ZOOM, 300.0).select("id", "tx", "ty")
 
 
+def tile_window_all(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles around every place."""
+    return geo.tile_window(places(spark, d), ZOOM, 300.0).select("id", "tx", "ty")
+
+
 def missing_tiles_anti(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of the rectangle of each zoom's tiles for which there is no file."""
     have = _tiles(spark, d).where(F.lower(F.trim(F.coalesce("scheme", F.lit("xyz")))) == "xyz").select("z", "x", "y").distinct()
@@ -298,7 +303,7 @@ _PK = "(CAST(z AS BIGINT) << 52) | (CAST(x AS BIGINT) << 26) | CAST(y AS BIGINT)
 QUERIES = {
     f.__name__: f
     for f in (
-        mercator_forward, mercator_inverse, ground_sample, tile_bounds_xyz, tile_bounds_tms, tile_pk, tile_window, missing_tiles_anti, missing_tile_fraction,
+        mercator_forward, mercator_inverse, ground_sample, tile_bounds_xyz, tile_bounds_tms, tile_pk, tile_window, tile_window_all, missing_tiles_anti, missing_tile_fraction,
         bbox_tiles, tile_counts_union_bbox, tile_index_upsert, tile_extension_choice, enu_equirect, map_px_metres, latlon_map_metres, margin_report, wrap_angle,
         quat_yaw, quat_mul_frames, gravity_tilt, compass_yaw_residual, rotate_deltas, footprint_corners, yaw_cal_parse, file_date_parse, waypoint_parse,
         mission_plan_parse, health_json_roundtrip, schedules, step_classes, position_fixes,

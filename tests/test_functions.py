@@ -103,3 +103,17 @@ def test_parsers(spark):
 def test_rounding_is_half_to_even(spark):
     df = spark.createDataFrame([(26.0,), (30.0,), (500.0,), (1.0,)], "c double")
     assert [r[0] for r in df.select(scalars.coverage_step(df.c)).collect()] == [24.0, 32.0, 96.0, 24.0]
+
+
+def test_window_of_every_place(spark, data):
+    from skylattice.plans.geo_queries import tile_window_all
+
+    ids = [r[0] for r in spark.read.parquet(f"{data}/customer.parquet").select("c_custkey").collect()]
+    want, world = set(), 256.0 * 2**17
+    for i in ids:
+        lat, lon = 30.0 + i % 97 / 100.0, 100.0 + i * 7 % 89 / 100.0
+        px, py = (lon + 180.0) / 360.0 * world, (1.0 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2.0 * world
+        span = lambda c: range(math.floor((c - 300) / 256), math.floor((c + 300) / 256) + 1)
+        want |= {(i, x, y) for x in span(px) for y in span(py)}
+    got = [tuple(r) for r in tile_window_all(spark, data).collect()]
+    assert set(got) == want and len(got) == len(want) and {g[0] for g in got} == set(ids)
