@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from skylattice.operators import sequence as seq
 from skylattice.plans.common import E, events, r6, uniform_duck
 from skylattice.session import load_table
 
+Particles = Callable[[SparkSession, str], DataFrame]
+
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
@@ -29,6 +33,11 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.floor(F.col("row_id") / 25).cast("int").alias("i"), F.pmod("row_id", F.lit(25)).cast("int").alias("j"), "label", F.round("score", 9).alias("score"))
 
 
+def _grids(spark: SparkSession, d: str) -> DataFrame:
+    """The same grid for each of the stated queries, ``query_id`` being its key."""
+    return _scores(spark, d).select("query_id", F.floor(F.col("row_id") / 25).cast("int").alias("i"), F.pmod("row_id", F.lit(25)).cast("int").alias("j"), F.round("score", 9).alias("score"))
+
+
 def similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors nearest to every fiftieth."""
     v = _vectors(spark, d)
@@ -86,6 +95,11 @@ def grid_local_maxima(spark: SparkSession, d: str) -> DataFrame:
     return pk.local_maxima(_grid(spark, d).select("i", "j", "score", F.lit(0).alias("g")), ["g"]).select("i", "j", r6("score").alias("score"))
 
 
+def grid_local_maxima_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the scans of all stated queries."""
+    return pk.local_maxima(_grids(spark, d), ["query_id"]).select("query_id", "i", "j", r6("score").alias("score"))
+
+
 def multi_frame_median_grid(spark: SparkSession, d: str) -> DataFrame:
     """Per coarse cell the median over frames of the best score over headings."""
     s = _scores(spark, d).withColumn("cell", F.floor(F.col("row_id") / 25).cast("int"))
@@ -102,6 +116,15 @@ def bilinear_grid(spark: SparkSession, d: str) -> DataFrame:
     return pk.bilinear(g, p, ["g"], F.col("rows"), 25, F.col("last")).select("event_id", r6("value").alias("value"))
 
 
+def bilinear_grid_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the grids of all stated queries."""
+    g = _grids(spark, d)
+    extent = g.groupBy("query_id").agg(F.max(F.struct("i", "j")).alias("m")).select("query_id", (F.col("m.i") + 1).alias("rows"), F.col("m.j").alias("last"))
+    e = events(spark, d, "click").crossJoin(F.broadcast(extent))  # one row a stated query
+    p = e.select("event_id", "query_id", (F.pmod("value", F.col("rows") + 2.0) - 1).alias("r"), (F.pmod(F.col("value") * 3, F.lit(27.0)) - 1).alias("c"), "rows", "last")
+    return pk.bilinear(g, p, ["query_id"], F.col("rows"), 25, F.col("last")).select("query_id", "event_id", r6("value").alias("value"))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     own = _vectors(spark, d).select(F.col("id").alias("query_id"), F.col("label").alias("own"))
     return _scores(spark, d).join(own, "query_id").where("query_id <> row_id").withColumn("kind", F.when(F.col("label") == F.col("own"), "truth").when(F.abs(F.col("label") - F.col("own")) == 1, "near").otherwise("far"))
@@ -198,44 +221,52 @@ def _particles(spark: SparkSession, d: str) -> DataFrame:
     """Ten runs of particles: the label is the run, scores against the first vector are the likelihoods."""
     v = _vectors(spark, d)
     s = scoring.score_pairs(v.where("id = 0").select("id", "vec"), v, ["label"])
-    s = s.select(F.col("label").alias("run"), F.col("row_id").alias("pid"), "score")
+    return _placed(s.select(F.col("label").alias("run"), F.col("row_id").alias("pid"), "score"))
+
+
+def _scan_particles(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the scans of all stated queries: a run is a query and a label."""
+    return _placed(_scores(spark, d).select(F.struct("query_id", "label").alias("run"), F.col("row_id").alias("pid"), "score"))
+
+
+def _placed(s: DataFrame) -> DataFrame:
     u = lambda k: pf.uniform(k, F.col("run"), F.col("pid"))
     return s.select("run", "pid", "score", (u("x") * 200 - 100).alias("x"), (u("y") * 200 - 100).alias("y"), (u("yaw") * 6 - 3).alias("yaw"), (0.8 + u("s") * 0.4).alias("scale"))
 
 
-def _weighed(spark: SparkSession, d: str) -> DataFrame:
-    return pf.softmax(_particles(spark, d), ["run"], "score", 0.05)
+def _weighed(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+    return pf.softmax(particles(spark, d), ["run"], "score", 0.05)
 
 
-def softmax_weights(spark: SparkSession, d: str) -> DataFrame:
+def softmax_weights(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """Likelihoods as weights."""
-    return _weighed(spark, d).select("run", "pid", r6("w", 9).alias("w"))
+    return _weighed(spark, d, particles).select("run", "pid", r6("w", 9).alias("w"))
 
 
-def ess_by_run(spark: SparkSession, d: str) -> DataFrame:
+def ess_by_run(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """Effective sample sizes."""
-    return pf.estimate(_weighed(spark, d)).select("run", r6("neff").alias("neff"))
+    return pf.estimate(_weighed(spark, d, particles)).select("run", r6("neff").alias("neff"))
 
 
-def weighted_pose(spark: SparkSession, d: str) -> DataFrame:
+def weighted_pose(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """Weighted positions, headings and spreads."""
-    return pf.estimate(_weighed(spark, d)).select("run", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread")])
+    return pf.estimate(_weighed(spark, d, particles)).select("run", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread")])
 
 
-def systematic_resample(spark: SparkSession, d: str) -> DataFrame:
+def systematic_resample(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """Particles drawn in proportion to their weights."""
-    return pf.resample(_weighed(spark, d), 1.1).select("run", "pid", r6("x").alias("x"), r6("w", 9).alias("w"))
+    return pf.resample(_weighed(spark, d, particles), 1.1).select("run", "pid", r6("x").alias("x"), r6("w", 9).alias("w"))
 
 
-def predict_step(spark: SparkSession, d: str) -> DataFrame:
+def predict_step(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """Particles moved by a body motion, without noise."""
-    p = pf.predict(_weighed(spark, d), F.lit(4.0), F.lit(-1.0), F.lit(0.1), (0.0, 0.0, 0.0))
+    p = pf.predict(_weighed(spark, d, particles), F.lit(4.0), F.lit(-1.0), F.lit(0.1), (0.0, 0.0, 0.0))
     return p.select("run", "pid", r6("x").alias("x"), r6("y").alias("y"), r6("yaw").alias("yaw"))
 
 
-def roughen_step(spark: SparkSession, d: str) -> DataFrame:
+def roughen_step(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """Particles jittered by hashed normals."""
-    p = pf.roughen(_weighed(spark, d), (2.0, 2.0, 0.05, 0.01), 0.5)
+    p = pf.roughen(_weighed(spark, d, particles), (2.0, 2.0, 0.05, 0.01), 0.5)
     return p.select("run", "pid", r6("x").alias("x"), r6("scale").alias("scale"))
 
 
@@ -267,14 +298,23 @@ def dr_filter_peaks(spark: SparkSession, d: str) -> DataFrame:
     return g.select("query_id", F.col("rank").cast("int").alias("rank"), "ok", (F.col("passed") == 0).alias("blocked"))
 
 
-def filter_step_once(spark: SparkSession, d: str) -> DataFrame:
+def filter_step_once(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
     """A whole step of the filter without noise: the estimate before resampling."""
-    p = _particles(spark, d).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("run")))
+    p = particles(spark, d).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("run")))
     zero = (0.0, 0.0, 0.0)
     _, est = pf.step(p.drop("score"), p.select("run", "pid", "score"), (F.lit(4.0), F.lit(-1.0), F.lit(0.1)), zero, 0.05, 0.3, (2.0, 2.0, 0.05, 0.01), 1.0, "s")
     return est.select("run", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread", "neff")])
 
 
+def _of_scans(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d, _scan_particles)
+        return df.select("run.query_id", "run.label", *[c for c in df.columns if c != "run"])
+
+    run.__name__, run.__doc__ = f"{f.__name__}_scans", f"{f.__doc__} For the scans of all stated queries."
+    return run
+
+
 def waypoint_progress(spark: SparkSession, d: str) -> DataFrame:
     """How many waypoints each run has reached in order, several at a time allowed."""
     e = events(spark, d, "view").withColumn("reached", F.floor(F.col("value") / 25))
@@ -318,7 +358,8 @@ QUERIES = {
         similarity_topk, embedding_distance, best_per_yaw, nms_peaks_100m, nms_peaks_yaw, nms_peaks_1m, grid_local_maxima, multi_frame_median_grid, bilinear_grid,
         truth_vs_false_gate, cross_flight_gate, profile_groups, bce_rank_accuracy, black_patch_gate, rotation_sweep, consensus_motion, linspace_frames, alignment_vote,
         softmax_weights, ess_by_run, weighted_pose, systematic_resample, predict_step, roughen_step, particle_init, mixture_init, refined_union, dr_filter_peaks,
-        filter_step_once, waypoint_progress,
+        filter_step_once, waypoint_progress, grid_local_maxima_scans, bilinear_grid_scans,
+        *map(_of_scans, (softmax_weights, ess_by_run, weighted_pose, systematic_resample, predict_step, roughen_step, filter_step_once)),
     )
 }
 ORACLES = {

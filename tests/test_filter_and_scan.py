@@ -98,6 +98,37 @@ def test_bilinear_reads_the_whole_grid(spark, tmp_path):
     assert [got[i] for i in range(300)] == pytest.approx(want, abs=2e-6)
 
 
+def test_scans_of_all_stated_queries(spark, data):
+    from skylattice.plans.scan_queries import QUERIES
+
+    e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding", "label").orderBy("vec_id").collect()
+    v, label = np.array([r.embedding for r in e], np.float64), np.array([r.label for r in e])
+    stated = [k for k in range(len(e)) if k % 50 == 0]
+    peaks, weights, cells = set(), {}, {}
+    for q in stated:
+        s = 1 / (1 + np.exp(-5.0 * (v @ v[q])))
+        g = cells[q] = np.round(s, 9).reshape(-1, 25)
+        around = np.pad(g, 1, constant_values=-1)
+        best = np.max([around[a : a + len(g), b : b + 25] for a in range(3) for b in range(3)], axis=0)
+        peaks |= {(q, int(i), int(j)) for i, j in np.argwhere(g == best)}
+        for run in set(label):
+            own = np.flatnonzero(label == run)
+            w = np.exp((s[own] - s[own].max()) / 0.05)
+            weights |= {(q, int(run), int(k)): x for k, x in zip(own, w / w.sum())}
+    got = [(r.query_id, r.i, r.j) for r in QUERIES["grid_local_maxima_scans"](spark, data).collect()]
+    assert set(got) == peaks and len(got) == len(peaks)
+    got = {(r.query_id, r.label, r.pid): r.w for r in QUERIES["softmax_weights_scans"](spark, data).collect()}
+    assert got.keys() == weights.keys() and [got[k] for k in weights] == pytest.approx(list(weights.values()), abs=2e-9)
+    neff = {(q, int(run)): 1 / sum(w * w for (a, b, _), w in weights.items() if (a, b) == (q, run)) for q in stated for run in set(label)}
+    got = {(r.query_id, r.label): r.neff for r in QUERIES["ess_by_run_scans"](spark, data).collect()}
+    assert got.keys() == neff.keys() and [got[k] for k in neff] == pytest.approx(list(neff.values()), abs=2e-6)
+    one = {r.event_id: r.value for r in QUERIES["bilinear_grid"](spark, data).collect()}
+    got = QUERIES["bilinear_grid_scans"](spark, data).collect()
+    assert {r.event_id: r.value for r in got if r.query_id == 0} == one and len(got) == len(one) * len(stated)
+    for name in ("weighted_pose", "systematic_resample", "predict_step", "roughen_step", "filter_step_once"):
+        assert {(r.query_id, r.label) for r in QUERIES[f"{name}_scans"](spark, data).select("query_id", "label").distinct().collect()} == set(neff)
+
+
 def test_search_in_blocks(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 8))
