@@ -187,6 +187,16 @@ def rotation_sweep(spark: SparkSession, d: str) -> DataFrame:
     return fine.select("id", r6("a").alias("angle"), r6("s").alias("score"))
 
 
+def rotation_sweep_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every vector; both stages choose inside the row, nothing is shuffled."""
+    s = _vectors(spark, d).select("id", F.pmod(F.col("id") * 37, F.lit(720)).cast("double").alias("true2"))
+    # the best score, the smallest angle at equal scores
+    best = lambda angles: F.array_max(F.transform(angles, lambda a: F.struct(F.round(F.cos(F.radians(a - F.col("true2") / 2)), 9).alias("s"), (-a).alias("n"))))
+    coarse = s.withColumn("a0", -best(F.transform(F.sequence(F.lit(0), F.lit(358), F.lit(2)), lambda i: i.cast("double")))["n"])
+    fine = coarse.withColumn("b", best(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.col("a0") + i * 0.5)))
+    return fine.select("id", r6(-F.col("b.n")).alias("angle"), r6("b.s").alias("score"))
+
+
 def consensus_motion(spark: SparkSession, d: str) -> DataFrame:
     """Motion agreed on by the last seven frames: resultant over mean length at least 0.6 from four frames on."""
     e = events(spark, d, "view").withColumn("dx", F.cos(F.col("value") / 30) * 5).withColumn("dy", F.sin(F.col("value") / 30) * 5)
@@ -356,7 +366,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         similarity_topk, embedding_distance, best_per_yaw, nms_peaks_100m, nms_peaks_yaw, nms_peaks_1m, grid_local_maxima, multi_frame_median_grid, bilinear_grid,
-        truth_vs_false_gate, cross_flight_gate, profile_groups, bce_rank_accuracy, black_patch_gate, rotation_sweep, consensus_motion, linspace_frames, alignment_vote,
+        truth_vs_false_gate, cross_flight_gate, profile_groups, bce_rank_accuracy, black_patch_gate, rotation_sweep, rotation_sweep_all, consensus_motion, linspace_frames, alignment_vote,
         softmax_weights, ess_by_run, weighted_pose, systematic_resample, predict_step, roughen_step, particle_init, mixture_init, refined_union, dr_filter_peaks,
         filter_step_once, waypoint_progress, grid_local_maxima_scans, bilinear_grid_scans,
         *map(_of_scans, (softmax_weights, ess_by_run, weighted_pose, systematic_resample, predict_step, roughen_step, filter_step_once)),

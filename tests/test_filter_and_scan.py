@@ -129,6 +129,20 @@ def test_scans_of_all_stated_queries(spark, data):
         assert {(r.query_id, r.label) for r in QUERIES[f"{name}_scans"](spark, data).select("query_id", "label").distinct().collect()} == set(neff)
 
 
+def test_sweep_of_every_vector(spark, data):
+    from skylattice.plans.scan_queries import rotation_sweep, rotation_sweep_all
+
+    want = {}
+    for (i,) in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect():
+        score = lambda a, i=i: round(float(np.cos(np.radians(a - i * 37 % 720 / 2))), 9)
+        a0 = max(range(0, 360, 2), key=lambda a: (score(a), -a))
+        a = max((a0 + k * 0.5 for k in range(-8, 9)), key=lambda a: (score(a), -a))
+        want[i] = (a, round(score(a), 6))
+    rows = [(r.id, r.angle, r.score) for r in rotation_sweep_all(spark, data).collect()]
+    assert {i: (a, s) for i, a, s in rows} == want and len(rows) == len(want)
+    assert {(r.id, r.angle, r.score) for r in rotation_sweep(spark, data).collect()} == {r for r in rows if r[0] % 50 == 0}
+
+
 def test_search_in_blocks(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 8))
