@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo, rotation, scalars
 from skylattice.operators.sequence import neighbours
+from skylattice.operators.tile_paths import tile_of
 from skylattice.plans.common import E, events, r6
 from skylattice.session import load_table
 
@@ -95,6 +96,50 @@ def missing_tile_fraction(spark: SparkSession, d: str) -> DataFrame:
     return g.select("z", r6(1 - F.col("n") / F.col("cells")).alias("missing"), (1 - F.col("n") / F.col("cells") > 0.02).alias("warn"))
 
 
+def _placed_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Files with the tile ``z, x, y``, counted from the north, that the path names or else the columns."""
+    t = load_table(spark, d, "tiles")
+    south = F.coalesce(F.lower(F.trim("scheme")) == "tms", F.lit(False))
+    y = F.when(south, F.pow(F.lit(2.0), t.z).cast("long") - 1 - t.y).otherwise(t.y.cast("long"))
+    told = F.when(t.z.isNotNull() & t.x.isNotNull() & t.y.isNotNull(), F.struct(t.z.alias("z"), t.x.cast("long").alias("x"), y.alias("y")))
+    return t.select("file_id", "rel_path", "mtime", F.coalesce(tile_of(t.rel_path, t.scheme), told).alias("t")).where("t is not null").select("file_id", "rel_path", "mtime", "t.*")
+
+
+def missing_tiles_anti_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the files' places, of either scheme."""
+    have = _placed_tiles(spark, d).select("z", "x", "y").distinct()
+    box = have.groupBy("z").agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = box.select("z", F.explode(F.sequence("lox", "hix")).alias("x"), "loy", "hiy").select("z", "x", F.explode(F.sequence("loy", "hiy")).alias("y"))
+    return cells.join(have, ["z", "x", "y"], "left_anti")
+
+
+def missing_tile_fraction_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the files' places, of either scheme."""
+    have = _placed_tiles(spark, d).select("z", "x", "y").distinct()
+    g = have.groupBy("z").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).alias("cells"))
+    return g.select("z", r6(1 - F.col("n") / F.col("cells")).alias("missing"), (1 - F.col("n") / F.col("cells") > 0.02).alias("warn"))
+
+
+def tile_counts_union_bbox_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the files' places, bounds included."""
+    t = _placed_tiles(spark, d)
+    b = t.select("z", *[c.alias(k) for k, c in geo.tile_bounds(t.z, t.x, t.y).items()])
+    return b.groupBy("z").agg(F.count("*").alias("n"), r6(F.max("top_lat"), 7).alias("north"), r6(F.min("left_lon"), 7).alias("west"), r6(F.min("bottom_lat"), 7).alias("south"), r6(F.max("right_lon"), 7).alias("east"))
+
+
+def tile_index_upsert_paths(spark: SparkSession, d: str) -> DataFrame:
+    """One row per place: the newest file. A packed key has no room for every zoom that a path may name."""
+    return _placed_tiles(spark, d).groupBy("z", "x", "y").agg(F.max_by("file_id", F.struct("mtime", "file_id")).alias("file_id"))
+
+
+def tile_extension_choice_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The same by place, the suffix in any case."""
+    ext = F.lower(F.regexp_extract(F.trim("rel_path"), r"\.(\w+)$", 1))
+    rank = F.when(ext == "jpg", 0).when(ext == "png", 1).when(ext == "jpeg", 2)
+    t = _placed_tiles(spark, d).withColumn("r", rank).where("r is not null")
+    return t.groupBy("z", "x", "y").agg(F.min_by("rel_path", F.struct("r", "file_id")).alias("rel_path"))
+
+
 def bbox_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of zooms 16 to 18 that meet a box."""
     t = _tiles(spark, d).where("z between 16 and 18")
@@ -307,6 +352,7 @@ QUERIES = {
         bbox_tiles, tile_counts_union_bbox, tile_index_upsert, tile_extension_choice, enu_equirect, map_px_metres, latlon_map_metres, margin_report, wrap_angle,
         quat_yaw, quat_mul_frames, gravity_tilt, compass_yaw_residual, rotate_deltas, footprint_corners, yaw_cal_parse, file_date_parse, waypoint_parse,
         mission_plan_parse, health_json_roundtrip, schedules, step_classes, position_fixes,
+        missing_tiles_anti_paths, missing_tile_fraction_paths, tile_counts_union_bbox_paths, tile_index_upsert_paths, tile_extension_choice_paths,
     )
 }
 _K = "k AS (SELECT event_id, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
