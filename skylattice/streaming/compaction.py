@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 from skylattice.operators.tile_paths import tile_of
 
 KEY = ["z", "x", "y", "digest"]
+#: A stream forgets files older than a week against the newest it saw; tiles may arrive with any time of change.
+EVER = "36500d"
 
 
 def _put_batch(batch: DataFrame, batch_id: int, out: str, target_bytes: int) -> None:
@@ -51,7 +53,7 @@ def compact_tiles(spark: SparkSession, source: str, out: str, target_bytes: int
     columns are ignored. An empty source gives two empty tables.
     """
     schema = schema or spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_batch)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_batch).option("maxFileAge", EVER)
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream reads a folder
         stream, source = stream.option("pathGlobFilter", path.getName()), path.getParent().toString()

@@ -55,6 +55,21 @@ def test_records_once_and_incremental(spark, tmp_path):
     assert again.count() == len(want)  # nothing new
 
 
+def test_files_with_old_times_are_taken_up_too(spark, tmp_path):
+    src, out = f"file://{tmp_path}/src", f"file://{tmp_path}/out"
+    all_rows = []
+    for run, days in enumerate((0, 30, 4000, 0)):
+        before = set(os.listdir(tmp_path / "src")) if run else set()
+        some = [(1000 * run + i, "xyz", f"9/{run}/{i}.png", b"%d" % i, None, "") for i in range(30)]
+        spark.createDataFrame(some, SCHEMA).repartition(2).write.mode("append").parquet(src)
+        for f in set(os.listdir(tmp_path / "src")) - before:
+            t = os.stat(tmp_path / "src" / f).st_mtime - days * 86400
+            os.utime(tmp_path / "src" / f, (t, t))
+        all_rows += some
+        rec, mem = compact_tiles(spark, src, out)
+        assert rec.count() == mem.count() == len(all_rows)
+
+
 def test_a_retried_batch_replaces(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     df = spark.createDataFrame(rows(100), SCHEMA)
