@@ -38,8 +38,8 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files that hold one and the same record."""
-    _, members = compact_tiles(spark, f"{d}/tiles.parquet", shared_dir(spark, "compact"))
-    return copies(members)
+    records, members = compact_tiles(spark, f"{d}/tiles.parquet", shared_dir(spark, "compact"))
+    return copies(members, records)
 
 
 _TILES = r"""
