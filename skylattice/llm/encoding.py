@@ -81,6 +81,16 @@ class PairMerger:
         return tuple(ranks[p] for p in part if p is not None)
 
 
+_MERGERS: dict[tuple[str, str], PairMerger] = {}
+
+
+def merger(name: str, folder: str, ranks: dict[bytes, int]) -> PairMerger:
+    """The worker's own merger of a vocabulary, which keeps its cache from task to task."""
+    if (name, folder) not in _MERGERS:
+        _MERGERS[name, folder] = PairMerger(ranks)
+    return _MERGERS[name, folder]
+
+
 def encode_texts(texts: list[str], merge: PairMerger) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ids per text, code-point offset of each slice, ids per slice, slices per text) of all texts in order."""
     data, start, stop, offset, per_text = slices(texts)
@@ -128,7 +138,7 @@ def encode_corpus(documents: DataFrame, name: str = "byte_bpe_50k", folder: str
     ranks = spark.sparkContext.broadcast(read_ranks(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = PairMerger(ranks.value)
+        merge = merger(name, folder, ranks.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in portions(texts):

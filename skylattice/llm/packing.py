@@ -1,9 +1,11 @@
 """Filling containers of fixed capacity by vector bin packing.
 
 An item has three sizes: tokens, segments (one) and loss-bearing tokens. A container has a limit on each. The container
-in hand takes, of all items that still fit it, the one whose sizes have the largest dot product with the room left,
-each dimension counted as a share of its limit; when none fits, the next container is opened. Items of equal sizes are
-interchangeable, so the search runs over different sizes, not items.
+in hand takes, of all items that still fit it, the one whose sizes have the largest dot product with the room left, each
+dimension counted as a share of its limit. The product is scaled down for large items, so that the direction counts as
+well: what the container has most of is used up first, short and long, asking and answering texts are mixed and none of
+the limits is met early. When none fits, the next
+container is opened. Items of equal sizes are interchangeable, so the search runs over different sizes, not items.
 
 Scale: items are dealt by hash into groups of bounded size, each packed on its own; every group leaves at most one
 container part-filled for want of items. No item is ever divided unless it alone exceeds a limit.
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.encoding import FOLDER, PairMerger, encode_texts, portions, read_ranks, spread
+from skylattice.llm.encoding import FOLDER, encode_texts, merger, portions, read_ranks, spread
+from skylattice.session import ensure_checkpoint_dir
 
 
 def prompt_length(text: str) -> int:
@@ -37,7 +40,7 @@ def token_sizes(documents: DataFrame, name: str = "byte_bpe_50k", folder: str =
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = PairMerger(ranks.value)
+        merge = merger(name, folder, ranks.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in portions(texts):
@@ -50,79 +53,107 @@ def token_sizes(documents: DataFrame, name: str = "byte_bpe_50k", folder: str =
     return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, tokens long, prompt long")
 
 
-def cut(tokens: np.ndarray, prompt: np.ndarray, capacity: int, loss_limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, start, tokens, loss-bearing tokens) of all parts: whole items where they fit, else the fewest parts in order."""
-    item, start, left = np.arange(len(tokens)), np.zeros(len(tokens), np.int64), tokens.astype(np.int64)
-    out = []
-    while len(item):
-        end = np.minimum(start + capacity, np.maximum(start, prompt[item]) + loss_limit)
-        end = np.minimum(end, tokens[item])
-        out.append((item, start, end - start, np.maximum(0, end - np.maximum(start, prompt[item]))))
-        more = end < tokens[item]
-        item, start, left = item[more], end[more], left[more]
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (item, start, start, start)
+def cut(tokens: np.ndarray, prompt: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, tokens, loss-bearing tokens) of all parts in order: one of each item that fits, else the fewest there can be."""
+    parts = np.maximum(1, -(-tokens // capacity))
+    item = np.repeat(np.arange(len(tokens)), parts)
+    start = (np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+    end = np.minimum(start + capacity, tokens[item])
+    return item, start, end - start, np.maximum(0, end - np.maximum(start, prompt[item]))
 
 
-def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, segment_limit: int, loss_limit: int) -> np.ndarray:
-    """The container (0, 1, ...) of each item, by the dot-product rule. Items must fit an empty container."""
+def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, segment_limit: int, loss_limit: int, balance: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """(container of each item, what closed each container), by the dot-product rule. No item may exceed ``capacity``.
+
+    An item of more loss-bearing tokens than their limit is never divided for that: it counts as the whole limit. What
+    closed a container is the limit that the items left don't fit, or ``items`` if there were none. With ``balance`` 0 the
+    products count as they are and long items go first, which leaves short ones that meet the segment limit at the end;
+    with 1 only the direction counts and the last room is filled badly.
+    """
+    loss = np.minimum(loss, loss_limit)
     order = np.lexsort((loss, tokens))[::-1]
     t, w = tokens[order], loss[order]
     if not len(t):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, "U8")
     new = np.r_[True, (t[1:] != t[:-1]) | (w[1:] != w[:-1])]
     first = np.flatnonzero(new)
     size_t, size_w, count = t[first].astype(float), w[first].astype(float), np.diff(np.r_[first, len(t)])
     taken = np.zeros(len(first), np.int64)
-    out = np.empty(len(t), np.int64)
+    out, closed = np.empty(len(t), np.int64), []
     box, room, room_s, room_w, rest = 0, float(capacity), segment_limit, float(loss_limit), len(t)
-    share_t, share_w = size_t / capacity, size_w / loss_limit
+    share_t, share_s, share_w = size_t / capacity, 1.0 / segment_limit, size_w / loss_limit
+    norm = (share_t**2 + share_s**2 + share_w**2) ** (balance / 2)
     alive = count > 0
     while rest:
         lo = np.searchsorted(-size_t, -room)  # sizes run down; those before are too large
-        fits = alive[lo:] & (size_w[lo:] <= room_w)
-        if room_s and fits.any():
-            score = np.where(fits, room / capacity * share_t[lo:] + room_w / loss_limit * share_w[lo:], -1.0)
-            k = lo + int(score.argmax())
+        fits = alive[lo:] & (size_w[lo:] <= room_w) if room_s else alive[:0]
+        if fits.any():
+            dot = room / capacity * share_t[lo:] + room_s / segment_limit * share_s + room_w / loss_limit * share_w[lo:]
+            k = lo + int(np.where(fits, dot / norm[lo:], -1.0).argmax())
             out[first[k] + taken[k]] = box
             taken[k] += 1
             alive[k] = taken[k] < count[k]
             room, room_s, room_w, rest = room - size_t[k], room_s - 1, room_w - size_w[k], rest - 1
             if rest and not alive.all() and alive.sum() < 0.6 * len(alive):  # forget sizes that are used up
-                size_t, size_w, count, first, taken, share_t, share_w = (x[alive] for x in (size_t, size_w, count, first, taken, share_t, share_w))
+                size_t, size_w, count, first, taken, share_t, share_w, norm = (x[alive] for x in (size_t, size_w, count, first, taken, share_t, share_w, norm))
                 alive = np.ones(len(size_t), bool)
         else:
+            closed.append("tokens" if not alive[lo:].any() else "segments" if not room_s else "loss")
             box, room, room_s, room_w = box + 1, float(capacity), segment_limit, float(loss_limit)
+    closed.append("items" if room > 0 and room_s and room_w > 0 else "tokens" if room <= 0 else "segments" if not room_s else "loss")
     res = np.empty(len(t), np.int64)
     res[order] = out
-    return res
+    return res, np.array(closed)
+
+
+def limits(capacity: int, items: int, tokens: int, loss: int, segment_slack: float, loss_slack: float) -> tuple[int, int]:
+    """(segments, loss-bearing tokens) a container of so many tokens may hold: what a full one holds on average, and so much more."""
+    if tokens <= 0:
+        return max(1, capacity), max(1, capacity)
+    return max(1, math.ceil(segment_slack * capacity * items / tokens)), max(1, min(capacity, math.ceil(loss_slack * capacity * loss / tokens)))
 
 
-def pack(sizes: DataFrame, classes: DataFrame, items: int | None = None, group_items: int = 8000, segments_per_token: float = 1 / 8, loss_share: float = 1.0) -> DataFrame:
-    """Every item in a container of each class: ``pack_class, container, doc_id, part, start_token, tokens, loss_tokens``.
+def pack(sizes: DataFrame, classes: DataFrame, group_items: int = 8000, segment_slack: float = 1.5, loss_slack: float = 1.1) -> DataFrame:
+    """Every item in a container of each class: ``pack_class, container, doc_id, part, start_token, tokens, loss_tokens,
+    closed_by``.
 
     ``sizes`` has ``doc_id, tokens, prompt``; ``classes`` has ``pack_class, capacity_tokens`` and is a short list whose
-    length doesn't grow with the data. Limits of a container: ``capacity_tokens`` tokens, that times
-    ``segments_per_token`` segments, that times ``loss_share`` loss-bearing tokens. An item that alone exceeds a limit is
-    cut into as few parts as the limits allow; parts that fill a container stand alone. Items of no tokens take a
-    segment. ``items`` is the number of rows of ``sizes``, where it is known already. Container numbers are unique within a class. Repeated rows are items of their own; empty input, no rows.
+    length doesn't grow with the data. Limits of a container: ``capacity_tokens`` tokens, and as many segments and
+    loss-bearing tokens as a full container of this corpus holds on average, times ``segment_slack`` and ``loss_slack``.
+    An item of more tokens than the capacity is cut into as few parts as can be; parts that fill a container stand alone.
+    No item is divided for its loss-bearing tokens: one that exceeds their limit alone uses it up. Items of no tokens
+    take a segment. ``closed_by`` says what kept a container from taking more: ``tokens``, ``segments``, ``loss``, or
+    ``items`` where none were left in its group. Container numbers are unique within a class. Repeated rows are items of
+    their own; empty input, no rows. Sizes are written to the shared folder once, as they are read twice.
     """
-    limits = {r["pack_class"]: int(r["capacity_tokens"]) for r in classes.where("pack_class is not null and capacity_tokens > 0").select("pack_class", "capacity_tokens").collect()}
-    groups = max(1, math.ceil((sizes.count() if items is None else items) / group_items))
-    names = F.array(*[F.lit(n) for n in sorted(limits)]) if limits else F.array().cast("array<string>")
+    ensure_checkpoint_dir(sizes.sparkSession)
+    capacities = {r["pack_class"]: int(r["capacity_tokens"]) for r in classes.where("pack_class is not null and capacity_tokens > 0").select("pack_class", "capacity_tokens").collect()}
+    sizes = sizes.select("doc_id", "tokens", "prompt").checkpoint()
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    loss_of = F.greatest(F.col("tokens") - F.col("prompt"), F.lit(0))
+    parts_of = [some(F.greatest(F.lit(1), F.ceil(F.col("tokens") / c))) for _, c in sorted(capacities.items())]
+    n, tokens, loss, *parts = sizes.agg(F.count("*"), some("tokens"), some(loss_of), *parts_of).first()
+    bounds = {k: limits(c, m, tokens, loss, segment_slack, loss_slack) for (k, c), m in zip(sorted(capacities.items()), parts)}
+    groups = max(1, math.ceil(n / group_items))
+    names = F.array(*[F.lit(n) for n in sorted(capacities)]) if capacities else F.array().cast("array<string>")
     # equal ids (repeated rows, nulls) must not crowd one group: the sizes are hashed in as well
     dealt = sizes.withColumn("group", F.pmod(F.xxhash64("doc_id", "tokens", "prompt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(groups)).cast("long")).withColumn("pack_class", F.explode(names))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        capacity = limits[key[0]]
-        seg, loss_limit = max(1, int(capacity * segments_per_token)), max(1, int(capacity * loss_share))
+        capacity = capacities[key[0]]
         g = g.sort_values(["doc_id", "tokens", "prompt"], ignore_index=True)
-        item, start, n, loss = cut(g["tokens"].to_numpy(), g["prompt"].to_numpy(), capacity, loss_limit)
-        box = fill(n, loss, capacity, seg, loss_limit)
-        part = pd.Series(start).groupby(item).rank(method="first").astype("int64") - 1 if len(item) else pd.Series([], dtype="int64")
-        return pd.DataFrame({"pack_class": key[0], "container": int(key[1]) * (1 << 32) + box, "doc_id": g["doc_id"].to_numpy()[item], "part": part.to_numpy(), "start_token": start, "tokens": n, "loss_tokens": loss})
+        item, start, n_tokens, n_loss = cut(g["tokens"].to_numpy(), g["prompt"].to_numpy(), capacity)
+        box, closed = fill(n_tokens, n_loss, capacity, *bounds[key[0]])
+        return pd.DataFrame(
+            {
+                "pack_class": key[0], "container": int(key[1]) * (1 << 32) + box, "doc_id": g["doc_id"].to_numpy()[item], "part": start // capacity,
+                "start_token": start, "tokens": n_tokens, "loss_tokens": n_loss, "closed_by": closed[box],
+            }
+        )
 
     # packing is slow for its few bytes: a fixed number of parts, or AQE would join them into one or two tasks
     spark = sizes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    dealt = dealt.repartition(min(parts, max(1, groups * len(limits))), "pack_class", "group")
-    return dealt.groupBy("pack_class", "group").applyInPandas(run, "pack_class string, container long, doc_id long, part long, start_token long, tokens long, loss_tokens long")
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(min(most, max(1, groups * len(capacities))), "pack_class", "group")
+    schema = "pack_class string, container long, doc_id long, part long, start_token long, tokens long, loss_tokens long, closed_by string"
+    return dealt.groupBy("pack_class", "group").applyInPandas(run, schema)

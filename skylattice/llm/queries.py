@@ -53,8 +53,7 @@ def p6_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every document in containers of each capacity."""
-    documents = load_table(spark, d, "documents")
-    return pack(token_sizes(documents), load_table(spark, d, "pack_classes"), items=documents.count())
+    return pack(token_sizes(load_table(spark, d, "documents")), load_table(spark, d, "pack_classes"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skylattice.llm.packing import cut, fill, pack, prompt_length, token_sizes
+from skylattice.llm.packing import cut, fill, limits, pack, prompt_length, token_sizes
 
 SCHEMA = "doc_id long, tokens long, prompt long, container string, part int"
 CLASSES = [("s", 100), ("m", 1000)]
@@ -21,39 +21,86 @@ def test_all_items_whole_and_within_limits(spark):
     rng = np.random.default_rng(1)
     items = [(i, int(t), int(t * p)) for i, (t, p) in enumerate(zip(rng.integers(0, 180, 3000), rng.random(3000)))]
     items += items[:50] + [(None, 5, 0), (None, 5, 0), (9999, 2500, 30)]
-    out = packed(spark, items, group_items=700, loss_share=0.8)
+    out = packed(spark, items, group_items=700)
+    want = pd.DataFrame(items, columns=["doc_id", "tokens", "prompt"])
+    loss = (want.tokens - want.prompt).clip(lower=0).sum()
     for name, cap in CLASSES:
         x = out[out.pack_class == name]
-        g = x.groupby("container").agg(t=("tokens", "sum"), n=("tokens", "size"), w=("loss_tokens", "sum"))
-        assert g.t.max() <= cap and g.n.max() <= max(1, cap // 8) and g.w.max() <= int(cap * 0.8)
-        want = pd.DataFrame(items, columns=["doc_id", "tokens", "prompt"])
-        assert x.tokens.sum() == want.tokens.sum()
-        assert x.loss_tokens.sum() == (want.tokens - want.prompt).sum()
+        segments, loss_limit = limits(cap, len(x), want.tokens.sum(), loss, 1.5, 1.1)
+        g = x.groupby("container").agg(t=("tokens", "sum"), n=("tokens", "size"), w=("loss_tokens", lambda v: np.minimum(v, loss_limit).sum()), why=("closed_by", "nunique"))
+        assert g.t.max() <= cap and g.n.max() <= segments and g.w.max() <= loss_limit < cap and (g.why == 1).all()
+        assert x.tokens.sum() == want.tokens.sum() and x.loss_tokens.sum() == loss
         assert (x.part == 0).sum() == len(items)
-        whole = want[(want.tokens <= cap) & (want.tokens - want.prompt <= int(cap * 0.8))].doc_id
+        whole = want[want.tokens <= cap].doc_id
         assert (x[x.doc_id.isin(whole.dropna())].part == 0).all()
 
 
-def test_little_room_is_left(spark):
+def test_each_limit_binds(spark):
+    rng = np.random.default_rng(2)
+    tokens = np.minimum(rng.lognormal(3.0, 1.4, 6000).astype(int) + 1, 400)
+    asked = np.where(rng.random(6000) < 0.4, rng.random(6000) * 0.9, 0.0)  # four in ten have a prompt
+    out = packed(spark, [(i, int(t), int(t * p)) for i, (t, p) in enumerate(zip(tokens, asked))])
+    for name, cap in CLASSES:
+        x = out[out.pack_class == name]
+        assert {"tokens", "segments", "loss"} <= set(x.closed_by) <= {"tokens", "segments", "loss", "items"}
+
+
+@pytest.mark.parametrize("slack, room", [(100.0, 1.02), (1.5, 1.05)])
+def test_little_room_is_left(spark, slack, room):
     rng = np.random.default_rng(2)
     items = [(i, int(t), 0) for i, t in enumerate(np.minimum(rng.lognormal(3.2, 0.9, 4000).astype(int) + 1, 100))]
-    out = packed(spark, items)
+    out = packed(spark, items, segment_slack=slack)
     for name, cap in CLASSES:
         x = out[out.pack_class == name]
-        assert x.container.nunique() <= 1.02 * math.ceil(x.tokens.sum() / cap) + 1
+        assert x.container.nunique() <= room * math.ceil(x.tokens.sum() / cap) + 1
+
+
+def by_size(tokens, loss, capacity, segments, loss_limit):
+    """Best fit by size: always the largest item that fits all limits."""
+    left, boxes = sorted(zip(tokens.tolist(), np.minimum(loss, loss_limit).tolist()), reverse=True), 0
+    while left:
+        boxes, room, seg, w, rest = boxes + 1, capacity, segments, loss_limit, []
+        for t, v in left:
+            if t <= room and seg and v <= w:
+                room, seg, w = room - t, seg - 1, w - v
+            else:
+                rest.append((t, v))
+        left = rest
+    return boxes
+
+
+def test_the_dot_product_beats_best_fit_by_size():
+    rng = np.random.default_rng(3)
+    tokens = np.minimum(rng.lognormal(4.5, 1.0, 3000).astype(int) + 1, 1000)
+    loss = np.where(rng.random(3000) < 0.4, tokens // 3, tokens)
+    segments, loss_limit = limits(1000, 3000, tokens.sum(), loss.sum(), 1.5, 1.1)
+    box, _ = fill(tokens, loss, 1000, segments, loss_limit)
+    assert box.max() + 1 < 0.95 * by_size(tokens, loss, 1000, segments, loss_limit)
 
 
 def test_cut():
-    item, start, n, loss = cut(np.array([0, 100, 101, 350]), np.array([0, 0, 50, 20]), 100, 60)
-    got = sorted(zip(item.tolist(), start.tolist(), n.tolist(), loss.tolist()))
-    assert got == [(0, 0, 0, 0), (1, 0, 60, 60), (1, 60, 40, 40), (2, 0, 100, 50), (2, 100, 1, 1), (3, 0, 80, 60), (3, 80, 60, 60), (3, 140, 60, 60), (3, 200, 60, 60), (3, 260, 60, 60), (3, 320, 30, 30)]
+    item, start, n, loss = cut(np.array([0, 100, 101, 350]), np.array([0, 0, 50, 120]), 100)
+    got = list(zip(item.tolist(), start.tolist(), n.tolist(), loss.tolist()))
+    assert got == [(0, 0, 0, 0), (1, 0, 100, 100), (2, 0, 100, 50), (2, 100, 1, 1), (3, 0, 100, 0), (3, 100, 100, 80), (3, 200, 100, 100), (3, 300, 50, 50)]
 
 
 def test_fill_prefers_what_fills():
-    box = fill(np.array([60, 50, 40, 30, 20]), np.zeros(5, int), 100, 10, 100)
-    assert box.max() == 1 and sorted(np.bincount(box, weights=[60, 50, 40, 30, 20])) == [100, 100]
-    assert len(fill(np.array([], int), np.array([], int), 10, 1, 10)) == 0
-    assert fill(np.zeros(20, int), np.zeros(20, int), 10, 6, 10).max() == 3  # the segment limit
+    sizes = np.array([60, 50, 40, 30, 20])
+    box, _ = fill(sizes, np.zeros(5, int), 100, 10, 100)
+    assert box.max() == 1 and sorted(np.bincount(box, weights=sizes)) == [100, 100]
+    assert len(fill(np.array([], int), np.array([], int), 10, 1, 10)[0]) == 0
+    box, why = fill(np.zeros(20, int), np.zeros(20, int), 10, 6, 10)
+    assert box.max() == 3 and why.tolist() == ["segments"] * 3 + ["items"]
+    box, why = fill(np.full(4, 50), np.full(4, 50), 100, 9, 60)  # more than half the loss limit each, but whole
+    assert box.max() == 3 and why.tolist() == ["loss"] * 3 + ["items"]
+    box, why = fill(np.array([90, 10, 10]), np.array([90, 0, 10]), 100, 9, 60)  # more than the loss limit: it uses that up
+    assert box.tolist() == [0, 0, 1]
+
+
+def test_limits():
+    assert limits(1000, 20, 2000, 1000, 1.5, 1.1) == (15, 550)
+    assert limits(1000, 20, 2000, 2000, 1.5, 1.1) == (15, 1000)
+    assert limits(10, 5, 0, 0, 1.5, 1.1) == (10, 10)
 
 
 def test_prompt_length():
