@@ -81,24 +81,29 @@ def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, segment_limit: int
     taken = np.zeros(len(first), np.int64)
     out, closed = np.empty(len(t), np.int64), []
     box, room, room_s, room_w, rest = 0, float(capacity), segment_limit, float(loss_limit), len(t)
-    share_t, share_s, share_w = size_t / capacity, 1.0 / segment_limit, size_w / loss_limit
-    norm = (share_t**2 + share_s**2 + share_w**2) ** (balance / 2)
-    alive = count > 0
+    shares = np.stack([size_t / capacity, np.full(len(first), 1.0 / segment_limit), size_w / loss_limit])
+    # one row a dimension, scaled; the last is far below any product where a size is used up
+    rows = np.ascontiguousarray(np.vstack([shares / (shares**2).sum(axis=0) ** (balance / 2), np.zeros(len(first))]))
+    used_up, gone = -1e9, 0
     while rest:
-        lo = np.searchsorted(-size_t, -room)  # sizes run down; those before are too large
-        fits = alive[lo:] & (size_w[lo:] <= room_w) if room_s else alive[:0]
-        if fits.any():
-            dot = room / capacity * share_t[lo:] + room_s / segment_limit * share_s + room_w / loss_limit * share_w[lo:]
-            k = lo + int(np.where(fits, dot / norm[lo:], -1.0).argmax())
+        lo = int(np.searchsorted(-size_t, -room))  # sizes run down; those before are too large
+        k, best = lo, used_up
+        if room_s and lo < len(size_t):
+            score = np.array([room / capacity, room_s / segment_limit, room_w / loss_limit, 1.0]) @ rows[:, lo:]
+            score[size_w[lo:] > room_w] = used_up
+            k = lo + int(score.argmax())
+            best = score[k - lo]
+        if best > used_up / 2:
             out[first[k] + taken[k]] = box
             taken[k] += 1
-            alive[k] = taken[k] < count[k]
+            if taken[k] == count[k]:
+                rows[3, k], gone = used_up, gone + 1
             room, room_s, room_w, rest = room - size_t[k], room_s - 1, room_w - size_w[k], rest - 1
-            if rest and not alive.all() and alive.sum() < 0.6 * len(alive):  # forget sizes that are used up
-                size_t, size_w, count, first, taken, share_t, share_w, norm = (x[alive] for x in (size_t, size_w, count, first, taken, share_t, share_w, norm))
-                alive = np.ones(len(size_t), bool)
+            if rest and gone > 0.3 * len(first):  # forget sizes that are used up
+                alive, gone = rows[3] == 0, 0
+                size_t, size_w, count, first, taken, rows = size_t[alive], size_w[alive], count[alive], first[alive], taken[alive], np.ascontiguousarray(rows[:, alive])
         else:
-            closed.append("tokens" if not alive[lo:].any() else "segments" if not room_s else "loss")
+            closed.append("tokens" if not (rows[3, lo:] == 0).any() else "segments" if not room_s else "loss")
             box, room, room_s, room_w = box + 1, float(capacity), segment_limit, float(loss_limit)
     closed.append("items" if room > 0 and room_s and room_w > 0 else "tokens" if room <= 0 else "segments" if not room_s else "loss")
     res = np.empty(len(t), np.int64)

@@ -86,7 +86,7 @@ def test_cut():
 
 def test_fill_prefers_what_fills():
     sizes = np.array([60, 50, 40, 30, 20])
-    box, _ = fill(sizes, np.zeros(5, int), 100, 10, 100)
+    box, _ = fill(sizes, np.zeros(5, int), 100, 10, 100, balance=0)
     assert box.max() == 1 and sorted(np.bincount(box, weights=sizes)) == [100, 100]
     assert len(fill(np.array([], int), np.array([], int), 10, 1, 10)[0]) == 0
     box, why = fill(np.zeros(20, int), np.zeros(20, int), 10, 6, 10)
