@@ -60,6 +60,38 @@ def test_cases(case):
     assert parts(text) == want if "10. Not next" not in case else len(parts(text)) >= 3
 
 
+#: One form, an abbreviation in one language and a word or unit in another.
+LANGUAGES = [
+    ("fr", "Le vol est fini et M. Ray a vu le M. Il part."),
+    ("en", "The answer to that was no. 26 of them left the pad and it was over."),
+    ("es", "El piloto dijo que no. 26 de los drones y una antena se fueron."),
+    ("de", "Der Flug war am 3. Oktober und die Karte ist alt."),
+    ("en", "It was on the 3. October came and the map was old."),
+]
+
+
+def test_abbreviations_count_in_their_language():
+    n = [len(parts(t)) for _, t in LANGUAGES]
+    assert n[1] == 1 and n[2] == 2  # "no." is a number sign in English, a word in Spanish
+    assert n[3] == 1 and n[4] == 2  # ordinals take a full stop in German
+
+
+def test_a_label_counts_where_the_text_says_nothing():
+    text = "Vgl. Nr. 5 Oktober."
+    assert len(sentence_units("Pág. 5.", "es")) == len(sentence_units("Pág. 5.", "es-MX")) == len(sentence_units("Pág. 5.")) == 1
+    assert len(sentence_units("Pág. 5.", "en")) == 2
+    assert len(sentence_units(text, "GER")) == len(sentence_units(text, None)) == 1
+    assert len(sentence_units("Der Nr. 5 war nicht da.", "en")) == 1  # a wrong label changes nothing where the text tells
+
+
+def test_nothing_is_looked_at_only_in_part():
+    far = "x" * 500
+    assert parts(f"It is on. {far}_name is set.") == ["It is on.", f"{far}_name is set."]
+    assert parts("α" + " 1" * 300 + "; Ναι.") == ["α" + " 1" * 300 + ";", "Ναι."]
+    assert len(parts("ก" * 300 + " " + "ข" * 300)) == 2
+    assert len(parts("A." * 200 + " Ray left. Then it ended.")) == 2
+
+
 @given(st.lists(st.sampled_from([*"aB. !?\n\r\"“”«»()[]-。！？「」ก 1;…", "Mr.", "\n\n", "​", "　", "\U0001f600"]), max_size=60).map("".join))
 @settings(max_examples=400, deadline=None)
 def test_units_cover_all_but_white_space(text):
@@ -74,12 +106,16 @@ def test_long_text():
     text = "This is one. " * 60_000
     assert len(sentence_units(text)) == 60_000
     assert len(sentence_units("word " * 200_000)) == 1
+    for piece in ("a.b", "; ", "A.", "a_b.", "。", "ก ", "1;", "x! ", ".\n"):
+        sentence_units(piece * 50_000)
     assert len(sentence_units('"' * 3001 + "(" * 3000)) >= 1
 
 
 def test_table(spark):
     rows = [(1, "A b. C d.", "x"), (1, "A b. C d.", "x"), (2, None, "x"), (3, "", None), (4, " \n ", "x"), (None, "No id.", "x"), (5, "😀 ok. Fine.", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sentence string")
+    labelled = df.selectExpr("doc_id", "text", "case when doc_id = 2 then null else 7 end as lang")
+    assert split_sentences(labelled).count() == 7
     got = sorted((r.doc_id or 0, r.sent_start, r.sent_end, r.sentence) for r in split_sentences(df, with_text=True).collect())
     assert got == [(0, 0, 6, "No id."), (1, 0, 4, "A b."), (1, 0, 4, "A b."), (1, 5, 9, "C d."), (1, 5, 9, "C d."), (5, 0, 5, "😀 ok."), (5, 6, 11, "Fine.")]
     assert split_sentences(df.limit(0)).count() == 0
