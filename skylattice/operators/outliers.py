@@ -1,30 +1,32 @@
 """Implausible readings per source, relative to that source's normal behaviour.
 
-Three kinds are flagged: values out of physical bounds; spikes, found as runs of wavelet details (see
-``functions.lifting``) above a threshold that is scaled robustly per source; and sticking, found as runs of zero detail
-far longer than the source's usual time between new values.
+Three kinds are flagged: values out of physical bounds; spikes, whose coefficients in a wavelet decomposition (see
+``functions.lifting``) lie above a threshold scaled robustly per source and level; and sticking, found as runs of zero
+detail far longer than the source's usual time between new values. The decomposition says where an excursion may lie
+and how wide it is; an exact check of its first and last reading against the path around it follows.
 
-Scale: rows are placed into blocks of time with a halo wide enough for any spike and for the longest run that need be
-told from normal, so a source with a third of all rows is many bounded blocks. What is normal for a source comes from
-mergeable log-scale histograms of the blocks' details, added up per source; no source is ever gathered.
+Scale: rows are placed into blocks of time with a halo, so a source with a third of all rows is many bounded blocks, and
+shuffled once. What is normal for a source comes from mergeable log-scale histograms of the blocks' details, added up
+per source and sent back to its blocks; no source is ever gathered.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.lifting import details, runs
+from skylattice.functions.lifting import decompose, details, predict, runs
 
 FIELDS = ("alt", "lat", "lon")
 #: Physical bounds of each field, and the least scatter that counts (about the resolution of the recording).
 BOUNDS = {"alt": (-500.0, 20000.0), "lat": (-90.0, 90.0), "lon": (-180.0, 180.0)}
 LEAST_SCALE = {"alt": 0.05, "lat": 5e-7, "lon": 5e-7}
 _PER_OCTAVE = 16
-#: Widths (in values) at which the scatter of the details is measured; a run takes the next width that is no smaller.
-WIDTHS = (1, 2, 3, 4, 6, 9, 14)
+#: Most levels kept of a source's scatter: 2**20 values between renewals; wider spans take the last one's.
+LEVELS = 20
 
 
 def out_of_bounds(field: str) -> F.Column:
@@ -36,127 +38,182 @@ def out_of_bounds(field: str) -> F.Column:
     return F.coalesce(bad & ~F.isnan(c), F.lit(False))
 
 
-def _series(g: pd.DataFrame, field: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _series(g: dict[str, np.ndarray], field: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions in g, seconds, values) of the field in order of time: one copy of each delivery, present and possible."""
-    v = g[field].to_numpy(np.float64)
+    v = g[field]
     low, high = BOUNDS[field]
-    ok = np.isfinite(v) & (v >= low) & (v <= high)
+    with np.errstate(invalid="ignore"):
+        ok = np.isfinite(v) & (v >= low) & (v <= high)
     if field != "alt":
-        ok &= ~((g["lat"].to_numpy(np.float64) == 0) & (g["lon"].to_numpy(np.float64) == 0))
+        ok &= ~((g["lat"] == 0) & (g["lon"] == 0))
     at = np.flatnonzero(ok)
-    t = g["t_us"].to_numpy()[at]
-    order = np.lexsort((g["row_id"].to_numpy()[at], t))
+    t = g["t_us"][at]
+    order = np.lexsort((g["row_id"][at], t))
     at, t = at[order], t[order]
     v = v[at]
     once = np.r_[True, (np.diff(t) != 0) | (v[1:] != v[:-1])] if len(at) else np.zeros(0, bool)
     return at[once], t[once] / 1e6, v[once]
 
 
-def _bins(x: np.ndarray) -> np.ndarray:
+def _columns(g: pa.Table) -> dict[str, np.ndarray]:
+    """Rows of a block as arrays, null values as NaN."""
+    return {c: g[c].to_numpy() for c in ("row_id", "t_us", *FIELDS)}
+
+
+def _histogram(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bins of the logarithms of sizes, their counts)."""
     x = np.abs(x)
-    return np.where(x > 0, np.round(_PER_OCTAVE * np.log2(np.where(x > 0, x, 1.0))), -100000).astype(np.int64)
+    return np.unique(np.where(x > 0, np.round(_PER_OCTAVE * np.log2(np.where(x > 0, x, 1.0))), -100000).astype(np.int64), return_counts=True)
 
 
-def _normal_histograms(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """Histograms of one block: run lengths ('run'), details at each width ('detail1' ...), speeds ('speed')."""
-    out = []
+def _normal_histograms(key: tuple, g: pa.Table) -> pa.Table:
+    """Histograms of one block: run lengths ('run'), coefficients ('level0' ...), scatter over spans ('span0' ...), speeds ('speed')."""
+    found: list[tuple[str, str, np.ndarray, np.ndarray]] = []
+    columns = _columns(g)
     for f in FIELDS:
-        _, t, v = _series(g, f)
+        _, t, v = _series(columns, f)
         first, length = runs(v)
-        whole = slice(1, -1)
-        out += [("any", "run", int(k), int(n)) for k, n in zip(*np.unique(length[whole], return_counts=True))]
+        found.append(("any", "run", *np.unique(length[1:-1], return_counts=True)))
         ft, fv = t[first], v[first]
-        step = np.median(np.diff(ft)) if len(ft) > 1 else 0
-        for width in WIDTHS:
-            d, _, span = details(ft, fv, width)
-            near = span <= (width + 4) * step
-            out += [(f, f"detail{width}", int(k), int(n)) for k, n in zip(*np.unique(_bins(d[near, width // 2]), return_counts=True))]
-        if len(ft) > 1:
-            dt = np.diff(ft)
-            usual = (dt > 0.6 * step) & (dt <= 2.5 * step)
-            speed = np.diff(fv)[usual] / dt[usual]
-            out += [(f, "speed", int(k), int(n)) for k, n in zip(*np.unique(_bins(speed), return_counts=True))]
-    res = pd.DataFrame(out, columns=["field", "stat", "bin", "n"])
-    res.insert(0, "flight", key[0])
-    return res
-
-
-def source_normals(placed: DataFrame) -> DataFrame:
-    """Per flight: ``hold`` (usual readings per new value), ``scale_*`` (robust scatter) and ``speed_*`` (high speed)."""
-    h = placed.groupBy("flight", "block").applyInPandas(_normal_histograms, "flight string, field string, stat string, bin long, n long")
-    h = h.groupBy("flight", "field", "stat", "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("flight", "field", "stat").orderBy("bin")
+        if len(ft) < 3:
+            continue
+        dt = np.diff(ft)
+        step = np.median(dt)
+        for k, d in enumerate(decompose(ft, fv, LEVELS)):
+            at = np.arange(2**k, len(ft) - 2**k)  # with both neighbours
+            near = ft[at + 2**k] - ft[at - 2**k] <= (2 ** (k + 1) + 3) * step
+            found.append((f, f"level{k}", *_histogram(d[at][near])))
+            d, span = details(ft, fv, 2**k)
+            found.append((f, f"span{k}", *_histogram(d[span <= (2**k + 4) * step])))
+        usual = (dt > 0.6 * step) & (dt <= 2.5 * step)
+        found.append((f, "speed", *_histogram(np.diff(fv)[usual] / dt[usual])))
+    size = [len(b) for *_, b, _ in found]
+    names = lambda i: pa.array(np.repeat(np.array([x[i] for x in found], object), size), pa.string())
+    put = lambda i: pa.array(np.concatenate([x[i] for x in found]).astype(np.int64))
+    return pa.table({"flight": pa.array([key[0].as_py()] * sum(size), pa.string()), "field": names(0), "stat": names(1), "bin": put(2), "n": put(3)})
+
+
+def source_normals(histograms: DataFrame) -> DataFrame:
+    """Per flight ``stats``, an array of ``field, stat, usual, high, scale``: the commonest bin, the value that 95 % stay
+    below, and the robust scatter. It has an entry for each field and statistic, whatever the size of a flight."""
+    h = histograms.groupBy("flight", "field", "stat", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("flight", "field", "stat").orderBy("bin")  # a few hundred bins, whatever the size of a flight
     ranked = h.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     value = F.when(F.col("bin") <= -100000, 0.0).otherwise(F.pow(F.lit(2.0), F.col("bin") / _PER_OCTAVE))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.struct("bin", value.alias("x"))))["x"]
     # the deviation of a normal distribution with this median, or half that of one with this 80 % point
     q = ranked.groupBy("flight", "field", "stat").agg(F.max(F.struct("n", "bin"))["bin"].alias("usual"), at(0.95).alias("high"), F.greatest(at(0.5) / 0.6745, at(0.8) / 1.2816 / 2).alias("scale"))
-    pick = lambda f, stat, c: F.max(F.when((F.col("field") == f) & (F.col("stat") == stat), F.col(c)))
-    return q.groupBy("flight").agg(
-        pick("any", "run", "usual").alias("hold"),
-        *[pick(f, f"detail{k}", "scale").alias(f"scale_{f}_{k}") for f in FIELDS for k in WIDTHS],
-        *[pick(f, "speed", "high").alias(f"speed_{f}") for f in FIELDS],
-    )
+    return q.groupBy("flight").agg(F.collect_list(F.struct("field", "stat", "usual", "high", "scale")).alias("stats"))
+
+
+def _normals(stats: list[dict]) -> tuple[float, np.ndarray, np.ndarray, dict[str, float]]:
+    """(hold, scales of the levels, scales of the spans, speeds) of a flight; a row of scales for each field."""
+    by = {(s["field"], s["stat"]): s for s in stats}
+    of = lambda kind: np.array([[by[f, f"{kind}{k}"]["scale"] if (f, f"{kind}{k}") in by else np.nan for k in range(LEVELS)] for f in FIELDS])
+    hold = float(by["any", "run"]["usual"]) if ("any", "run") in by else np.inf
+    return hold, of("level"), of("span"), {f: by[f, "speed"]["high"] if (f, "speed") in by else 0.0 for f in FIELDS}
+
+
+def _scales(x: np.ndarray, least: float) -> np.ndarray:
+    """A scale for each level: the measured one, at least ``least``, never below that of a finer level."""
+    return np.maximum.accumulate(np.where(np.isfinite(x), np.maximum(x, least), least))
 
 
-def spikes(t: np.ndarray, v: np.ndarray, held: np.ndarray, hold: float, scales: list[float], speed: float, times: float, longest_s: float, widest: int) -> np.ndarray:
-    """Mask of the values of excursions: runs whose details all lie on one side, all exceed ``times`` x the scale of their
-    span and what the usual high speed covers since the neighbours, and that return.
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number in it) of every whole number from low up to, not including, high."""
+    size = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(low)), size)
+    return which, low[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _candidates(t: np.ndarray, v: np.ndarray, levels: np.ndarray, times: float) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [i, j) that the decomposition allows to be excursions: a coefficient of the level of their width stands out
+    in their middle, and those of the finest level at both edges."""
+    ds = decompose(t, v, len(levels))
+    out_i, out_j = [], []
+    if not ds:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    d0 = np.nan_to_num(ds[0])
+    hot = np.abs(d0) > times * levels[0]
+    edge = np.flatnonzero(hot[1:] | hot[:-1]) + 1  # between a value and the one before it
+    begin, end = edge[edge < len(v)], edge
+    for k, d in enumerate(ds):
+        stands = np.abs(np.nan_to_num(d)) > times * levels[k]
+        if not stands.any():
+            continue
+        narrow, wide = (2 ** (k - 1) if k else 0), 2**k  # widths over narrow, up to wide
+        low = np.searchsorted(end, begin + narrow, side="right")
+        which, at = _ranges(low, np.searchsorted(end, begin + wide, side="right"))
+        i, j = begin[which], end[at]
+        keep = stands[(i + j - 1) // 2] | stands[(i + j) // 2]
+        out_i.append(i[keep])
+        out_j.append(j[keep])
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def spikes(t: np.ndarray, v: np.ndarray, held: np.ndarray, hold: float, levels: np.ndarray, spans: np.ndarray, speed: float, times: float = 8.5, standing: float = 3.0) -> np.ndarray:
+    """Mask of the values of excursions: runs whose coefficients stand out, all of whose readings lie on one side of the
+    path by more than ``times`` x the scatter over such a span and than the usual high speed covers since the neighbours,
+    and that return.
 
     ``t, v`` are successive different values, ``held`` how many readings each stood for, ``hold`` how many they usually
-    do; ``scales`` are those of ``WIDTHS``. The path has returned if the values around the run differ by less than three
-    quarters of the least detail. Of overlapping runs the one farthest off counts, one whose values were held as usual
-    half as much (a wrong reading replaces single readings); then the rest is searched again without it. A run must
-    also lie off the median of the few values on either side, so that what lies between two spikes isn't taken for one.
+    do; ``levels`` and ``spans`` are scales by level, ``standing`` x those of the levels is what a candidate needs. The
+    path has returned if the values around the run differ by less than three quarters of the least distance. Of
+    overlapping runs the one farthest off counts, one whose values were held as usual half as much (a wrong reading
+    replaces single readings); then the rest is searched again without it, until nothing is found. A run must also lie
+    off the median of the few values on either side, so that what lies between two spikes isn't taken for one.
     """
     bad = np.zeros(len(v), bool)
-    for _ in range(8):
+    while True:
         live = np.flatnonzero(~bad)
         tt, vv = t[live], v[live]
         if len(tt) < 3:
-            break
+            return bad
+        i, j = _candidates(tt, vv, levels, standing)
+        inside = (i > 0) & (j < len(vv)) & (j > i)
+        i, j = i[inside], j[inside]
+        if not len(i):
+            return bad
         dt = np.diff(tt)
         step = np.median(dt)
-        lasted = np.r_[0.0, np.cumsum(np.minimum(dt, 2 * step))]  # gaps of the recording don't count
         readings = np.r_[0, np.cumsum(held[live])]
+        # natural details grow with the time between the neighbours, so that time picks the scale
+        span = np.ceil((tt[j] - tt[i - 1]) / max(step, 1e-9) - 1.5)
+        level = np.ceil(np.log2(np.clip(np.minimum(span, j - i), 1, None))).astype(np.int64)
+        scale = spans[np.minimum(level, len(spans) - 1)]
+        need = np.maximum(times * scale, 1.3 * speed * np.minimum(dt[i - 1], dt[j - 1]))
+        # the ends and the middle first: few runs need all their values looked at
+        ends = np.stack([vv[m] - predict(tt, vv, m, i - 1, j) for m in (i, (i + j - 1) // 2, j - 1)])
+        least = np.abs(ends).min(axis=0)
+        keep = ((ends > 0).all(axis=0) | (ends < 0).all(axis=0)) & (least > need) & (np.abs(vv[j] - vv[i - 1]) <= 0.75 * least)
+        i, j, need = i[keep], j[keep], need[keep]
         found = []
-        for width in range(1, widest + 1):
-            d, change, span = details(tt, vv, width)
-            if not len(d):
-                break
-            n = len(d)
-            least = np.where((d > 0).all(axis=1) | (d < 0).all(axis=1), np.abs(d).min(axis=1), 0.0)
-            # natural details grow with the time between the neighbours, so that time picks the scale
-            usual = np.clip(np.ceil(span / max(step, 1e-9) - 1.5), 1, WIDTHS[-1])
-            scale = np.asarray(scales)[np.searchsorted(WIDTHS, np.minimum(usual, width))]
-            edge = np.minimum(step, np.minimum(dt[:n], dt[width : width + n]))
-            off = (least > np.maximum(times * scale, 1.3 * speed * edge)) & (np.abs(change) <= 0.75 * least)
-            off &= lasted[width : width + n] - lasted[1 : 1 + n] <= longest_s
-            side = 3 + width // 2
-            for k in np.flatnonzero(off):
-                i, j = k + 1, k + 1 + width
-                around = np.r_[vv[max(0, i - side) : i], vv[j : j + side]]
-                if abs(np.median(vv[i:j]) - np.median(around)) > 0.5 * least[k]:
-                    usual_hold = hold >= 2 and readings[j] - readings[i] >= 0.75 * hold * width
-                    found.append((least[k] * (0.5 if usual_hold else 1.0), -i, j))
+        for a, b, n in zip(i.tolist(), j.tolist(), need.tolist()):
+            d = vv[a:b] - predict(tt, vv, np.arange(a, b), np.full(b - a, a - 1), np.full(b - a, b))
+            least = np.abs(d).min()
+            if not ((d > 0).all() or (d < 0).all()) or least <= n or abs(vv[b] - vv[a - 1]) > 0.75 * least:
+                continue
+            width, side = b - a, 3 + (b - a) // 2
+            around = np.r_[vv[max(0, a - side) : a], vv[b : b + side]]
+            if abs(np.median(vv[a:b]) - np.median(around)) > 0.5 * least:
+                usual_hold = hold >= 2 and readings[b] - readings[a] >= 0.75 * hold * width
+                found.append((least * (0.5 if usual_hold else 1.0), -a, b))
         if not found:
-            break
+            return bad
         taken = np.zeros(len(vv), bool)
-        for _, i, j in sorted(found, reverse=True):
-            if not taken[-i - 1 : j + 1].any():  # nor may its neighbours be spikes themselves
-                taken[-i:j] = True
+        for _, a, b in sorted(found, reverse=True):
+            if not taken[-a - 1 : b + 1].any():  # nor may its neighbours be spikes themselves
+                taken[-a:b] = True
         bad[live[taken]] = True
-    return bad
 
 
-def flag_implausible(
-    positions: DataFrame, times: float = 8.5, stuck_times: float = 5.5, block_s: int = 600, halo_s: int = 60, longest_spike_s: float = 3.0, widest_spike: int = 14
-) -> DataFrame:
+def flag_implausible(positions: DataFrame, times: float = 8.5, stuck_times: float = 5.5, block_s: int = 1800, halo_s: int = 120) -> DataFrame:
     """Implausible values as rows ``row_id, flight, field, reason``; every delivered copy of a value has its own row.
 
     ``positions`` needs ``row_id, flight, t_us, alt, lat, lon``. ``reason`` is ``bounds``, ``spike`` or ``stuck``. Null
     and NaN values are missing and never flagged. Rows without a time, flight or id are held against the bounds alone. A
-    series with fewer than three values has no spikes. An empty table gives an empty result.
+    series with fewer than three values has no spikes. Blocks of ``block_s`` see ``halo_s`` beyond their edges: an
+    excursion or run that crosses an edge is judged by what lies within that. An empty table gives an empty result.
     """
     p = positions.select("row_id", "flight", "t_us", *[F.col(f).cast("double").alias(f) for f in FIELDS])
     bounds = p.select("row_id", "flight", F.explode(F.filter(F.array(*[F.when(out_of_bounds(f), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())).alias("field"), F.lit("bounds").alias("reason"))
@@ -164,35 +221,40 @@ def flag_implausible(
     block, t = F.floor(F.col("t_us") / length), F.col("t_us")
     near = F.array(block, F.when(t - block * length < halo, block - 1), F.when(t - block * length >= length - halo, block + 1))
     placed = p.where("t_us is not null and flight is not null and row_id is not null").withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull())))
-    normals = source_normals(placed)
-
-    def flag(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        start, n = int(key[1]) * length, g.iloc[0]
-        own = (g["t_us"].to_numpy() >= start) & (g["t_us"].to_numpy() < start + length)
-        ids, out = g["row_id"].to_numpy(), []
-        keys = {f: pd.MultiIndex.from_arrays([g["t_us"], g[f]]) for f in FIELDS}
-        for f in FIELDS:
-            at, t, v = _series(g, f)
-            if len(at) < 3:
-                continue
-            first, length_ = runs(v)
-            which = np.repeat(np.arange(len(first)), length_)
-            scales = [max(LEAST_SCALE[f], x if np.isfinite(x) else 0.0) for x in (n[f"scale_{f}_{k}"] for k in WIDTHS)]
-            speed = n[f"speed_{f}"] if np.isfinite(n[f"speed_{f}"]) else 0.0
-            hold = n["hold"] if np.isfinite(n["hold"]) else 1.0
-            spike = spikes(t[first], v[first], length_, hold, scales, speed, times, longest_spike_s, widest_spike)[which]
-            rest = np.flatnonzero(~spike)
-            first, length_ = runs(v[rest])
-            stuck = np.zeros(len(v), bool)
-            limit = max(6.0, stuck_times * n["hold"]) if np.isfinite(n["hold"]) else np.inf
-            for a, k in zip(first[length_ > limit], length_[length_ > limit]):
-                stuck[rest[a + 1 : a + k]] = True
-            for mask, why in ((spike, "spike"), (stuck, "stuck")):
-                hit = keys[f].isin(keys[f][at[mask]]) & own  # all delivered copies
-                out += [(i, f, why) for i in ids[hit]]
-        res = pd.DataFrame(out, columns=["row_id", "field", "reason"])
-        res.insert(1, "flight", key[0])
-        return res
-
-    joined = placed.join(normals, "flight", "left")
-    return bounds.unionByName(joined.groupBy("flight", "block").applyInPandas(flag, "row_id long, flight string, field string, reason string"))
+    blocks = placed.groupBy("flight", "block")
+    histograms = blocks.applyInArrow(_normal_histograms, "flight string, field string, stat string, bin long, n long")
+    # the rows are shuffled once, by flight and block: the normals, few and small, are brought to the blocks
+    keys = placed.select(F.col("flight").alias("source"), F.col("block").alias("part")).distinct()
+    normals = keys.join(source_normals(histograms).withColumnRenamed("flight", "source"), "source")
+
+    def flag(key: tuple, g: pa.Table, normal: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, str, str]] = []
+        if len(normal) and len(g):
+            hold, levels, spans, speeds = _normals(normal["stats"][0].as_py())
+            columns, start = _columns(g), int(key[1].as_py()) * length
+            own = (columns["t_us"] >= start) & (columns["t_us"] < start + length)
+            for k, f in enumerate(FIELDS):
+                at, t, v = _series(columns, f)
+                if len(at) < 3:
+                    continue
+                first, length_ = runs(v)
+                which = np.repeat(np.arange(len(first)), length_)
+                scales = (_scales(x[k], LEAST_SCALE[f]) for x in (levels, spans))
+                spike = spikes(t[first], v[first], length_, hold if np.isfinite(hold) else 1.0, *scales, speeds[f], times)[which]
+                rest = np.flatnonzero(~spike)
+                _, length_ = runs(v[rest])
+                stuck = np.zeros(len(v), bool)
+                begins = np.zeros(len(rest), bool)
+                begins[np.cumsum(length_) - length_] = True
+                stuck[rest[np.repeat(length_ > max(6.0, stuck_times * hold), length_) & ~begins]] = True
+                for mask, why in ((spike, "spike"), (stuck, "stuck")):
+                    if mask.any():  # all delivered copies: equal in time and value
+                        hit = pd.MultiIndex.from_arrays([columns["t_us"], columns[f]]).isin(pd.MultiIndex.from_arrays([columns["t_us"][at[mask]], v[mask]]))
+                        out.append((columns["row_id"][hit & own], f, why))
+        size = [len(ids) for ids, _, _ in out]
+        repeat = lambda i: pa.array([x[i] for x, m in zip(out, size) for _ in range(m)], pa.string())
+        ids = np.concatenate([x[0] for x in out]) if out else np.zeros(0)
+        return pa.table({"row_id": pa.array(ids.astype(np.int64)), "flight": pa.array([key[0].as_py()] * sum(size), pa.string()), "field": repeat(1), "reason": repeat(2)})
+
+    flags = blocks.cogroup(normals.groupBy("source", "part")).applyInArrow(flag, "row_id long, flight string, field string, reason string")
+    return bounds.unionByName(flags)

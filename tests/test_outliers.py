@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from skylattice.functions.lifting import decompose, details
 from skylattice.operators.outliers import flag_implausible, spikes
 
 SCHEMA = "row_id long, flight string, t_us long, lat double, lon double, alt float, eph float, block int, field string"
@@ -68,6 +69,41 @@ def test_empty_and_short(spark):
 def test_a_step_is_no_spike():
     t = np.arange(40.0)
     v = np.r_[np.zeros(20), np.full(20, 50.0)] + np.random.default_rng(0).normal(0, 0.1, 40)
-    assert not spikes(t, v, np.ones(40, int), 1, [0.1] * 7, 0.2, 8.5, 8.0, 14).any()
+    scales = np.full(6, 0.1)
+    assert not spikes(t, v, np.ones(40, int), 1, scales, scales, 0.2).any()
     v[10] += 50
-    assert np.flatnonzero(spikes(t, v, np.ones(40, int), 1, [0.1] * 7, 0.2, 8.5, 8.0, 14)).tolist() == [10]
+    assert np.flatnonzero(spikes(t, v, np.ones(40, int), 1, scales, scales, 0.2)).tolist() == [10]
+
+
+def test_excursions_of_any_width_and_number():
+    """Neither the number of values or seconds of an excursion nor that of excursions is bounded."""
+    rng = np.random.default_rng(1)
+    for rate in (5, 50):
+        t = np.cumsum(rng.uniform(0.9, 1.1, 30000)) / rate
+        v = 2 * np.sin(t / 300) + rng.normal(0, 0.1, 30000)
+        want = np.zeros(30000, bool)
+        for at, width in ((300, 1), (500, 15), (900, 60), (1500, 200), (2600, 700)):
+            v[at : at + width] += 40
+            want[at : at + width] = True
+        for at in range(4000, 4400, 4):  # a hundred, closer to each other than they are wide at coarse levels
+            v[at] += 30 + at % 7 * 5
+            want[at] = True
+        ds = decompose(t, v, 20)
+        levels, spans = (np.array([np.nanmedian(np.abs(d)) / 0.6745 for d in x]) for x in (ds, [details(t, v, 2**k)[0] for k in range(len(ds) - 1)]))
+        got = spikes(t, v, np.ones(30000, int), 1, np.maximum.accumulate(levels), np.maximum.accumulate(spans), 0.4)
+        assert np.array_equal(got, want), (rate, np.flatnonzero(got != want))
+
+
+def test_decomposition():
+    rng = np.random.default_rng(2)
+    t = np.cumsum(rng.uniform(0.1, 3, 500))
+    assert all(np.nanmax(np.abs(d)) < 1e-9 for d in decompose(t, 3 * t - 7))
+    v = np.zeros(500)
+    v[200] = 8
+    ds = decompose(t, v)
+    assert len(ds) == 9 and all(np.isnan(d[[0, -1]]).all() and np.isfinite(d[1:-1]).all() for d in ds)
+    assert ds[0][200] == 8 and np.count_nonzero(np.nan_to_num(ds[0])) == 3
+    even = np.arange(500.0)
+    assert [decompose(even, v)[k][200] for k in (0, 1)] == [8, 6 + 1]  # updated by a quarter of both details of -4; at a distance of two by one of them
+    for n in range(4):
+        assert len(decompose(t[:n], v[:n])) == (n > 2) * 2
