@@ -13,7 +13,6 @@ per source and sent back to its blocks; no source is ever gathered.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +23,10 @@ FIELDS = ("alt", "lat", "lon")
 #: Physical bounds of each field, and the least scatter that counts (about the resolution of the recording).
 BOUNDS = {"alt": (-500.0, 20000.0), "lat": (-90.0, 90.0), "lon": (-180.0, 180.0)}
 LEAST_SCALE = {"alt": 0.05, "lat": 5e-7, "lon": 5e-7}
-_PER_OCTAVE = 16
+_PER_OCTAVE = 4
+_ZERO = -100000
+#: Statistics by number; those by level add the level.
+_RUN, _SPEED, _LEVEL, _SPAN = 0, 1, 100, 200
 #: Most levels kept of a source's scatter: 2**20 values between renewals; wider spans take the last one's.
 LEVELS = 20
 
@@ -38,8 +40,9 @@ def out_of_bounds(field: str) -> F.Column:
     return F.coalesce(bad & ~F.isnan(c), F.lit(False))
 
 
-def _series(g: dict[str, np.ndarray], field: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions in g, seconds, values) of the field in order of time: one copy of each delivery, present and possible."""
+def _series(g: dict[str, np.ndarray], field: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seconds, values, rows, place of each row) of the field in order of time: one entry for all copies of a delivery,
+    of what is present and possible; rows are those of ``g`` that stand for an entry."""
     v = g[field]
     low, high = BOUNDS[field]
     with np.errstate(invalid="ignore"):
@@ -47,12 +50,10 @@ def _series(g: dict[str, np.ndarray], field: str) -> tuple[np.ndarray, np.ndarra
     if field != "alt":
         ok &= ~((g["lat"] == 0) & (g["lon"] == 0))
     at = np.flatnonzero(ok)
-    t = g["t_us"][at]
-    order = np.lexsort((g["row_id"][at], t))
-    at, t = at[order], t[order]
-    v = v[at]
+    at = at[np.lexsort((v[at], g["t_us"][at]))]
+    t, v = g["t_us"][at], v[at]
     once = np.r_[True, (np.diff(t) != 0) | (v[1:] != v[:-1])] if len(at) else np.zeros(0, bool)
-    return at[once], t[once] / 1e6, v[once]
+    return t[once] / 1e6, v[once], at, np.cumsum(once) - 1
 
 
 def _columns(g: pa.Table) -> dict[str, np.ndarray]:
@@ -63,34 +64,38 @@ def _columns(g: pa.Table) -> dict[str, np.ndarray]:
 def _histogram(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bins of the logarithms of sizes, their counts)."""
     x = np.abs(x)
-    return np.unique(np.where(x > 0, np.round(_PER_OCTAVE * np.log2(np.where(x > 0, x, 1.0))), -100000).astype(np.int64), return_counts=True)
+    with np.errstate(divide="ignore"):
+        bins = np.floor(_PER_OCTAVE * np.log2(x))
+    return np.unique(np.where(x > 0, bins, _ZERO).astype(np.int32), return_counts=True)
 
 
 def _normal_histograms(key: tuple, g: pa.Table) -> pa.Table:
-    """Histograms of one block: run lengths ('run'), coefficients ('level0' ...), scatter over spans ('span0' ...), speeds ('speed')."""
-    found: list[tuple[str, str, np.ndarray, np.ndarray]] = []
+    """Histograms of one block: run lengths, coefficients of each level, scatter over spans, speeds."""
+    found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     columns = _columns(g)
-    for f in FIELDS:
-        _, t, v = _series(columns, f)
+    for k, f in enumerate(FIELDS):
+        t, v, _, _ = _series(columns, f)
         first, length = runs(v)
-        found.append(("any", "run", *np.unique(length[1:-1], return_counts=True)))
+        found.append((-1, _RUN, *np.unique(length[1:-1], return_counts=True)))
         ft, fv = t[first], v[first]
         if len(ft) < 3:
             continue
         dt = np.diff(ft)
         step = np.median(dt)
-        for k, d in enumerate(decompose(ft, fv, LEVELS)):
-            at = np.arange(2**k, len(ft) - 2**k)  # with both neighbours
-            near = ft[at + 2**k] - ft[at - 2**k] <= (2 ** (k + 1) + 3) * step
-            found.append((f, f"level{k}", *_histogram(d[at][near])))
-            d, span = details(ft, fv, 2**k)
-            found.append((f, f"span{k}", *_histogram(d[span <= (2**k + 4) * step])))
+        for level, d in enumerate(decompose(ft, fv, LEVELS)):
+            reach = 2**level
+            at = np.arange(reach, len(ft) - reach)  # with both neighbours
+            near = ft[at + reach] - ft[at - reach] <= (2 * reach + 3) * step
+            found.append((k, _LEVEL + level, *_histogram(d[at][near])))
+            d, span = details(ft, fv, reach)
+            found.append((k, _SPAN + level, *_histogram(d[span <= (reach + 4) * step])))
         usual = (dt > 0.6 * step) & (dt <= 2.5 * step)
-        found.append((f, "speed", *_histogram(np.diff(fv)[usual] / dt[usual])))
-    size = [len(b) for *_, b, _ in found]
-    names = lambda i: pa.array(np.repeat(np.array([x[i] for x in found], object), size), pa.string())
-    put = lambda i: pa.array(np.concatenate([x[i] for x in found]).astype(np.int64))
-    return pa.table({"flight": pa.array([key[0].as_py()] * sum(size), pa.string()), "field": names(0), "stat": names(1), "bin": put(2), "n": put(3)})
+        found.append((k, _SPEED, *_histogram(np.diff(fv)[usual] / dt[usual])))
+    size = [len(x[2]) for x in found]
+    put = lambda v: pa.array(np.asarray(v, np.int32))
+    repeat = lambda i: put(np.repeat([x[i] for x in found], size))
+    flight = pa.DictionaryArray.from_arrays(put(np.zeros(sum(size))), pa.array([key[0].as_py()], pa.string())).cast(pa.string())
+    return pa.table({"flight": flight, "field": repeat(0), "stat": repeat(1), "bin": put(np.concatenate([x[2] for x in found])), "n": pa.array(np.concatenate([x[3] for x in found]).astype(np.int64))})
 
 
 def source_normals(histograms: DataFrame) -> DataFrame:
@@ -99,19 +104,29 @@ def source_normals(histograms: DataFrame) -> DataFrame:
     h = histograms.groupBy("flight", "field", "stat", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("flight", "field", "stat").orderBy("bin")  # a few hundred bins, whatever the size of a flight
     ranked = h.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    value = F.when(F.col("bin") <= -100000, 0.0).otherwise(F.pow(F.lit(2.0), F.col("bin") / _PER_OCTAVE))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.struct("bin", value.alias("x"))))["x"]
+
+    def at(q: float) -> F.Column:
+        """The quantile, within its bin by rank."""
+        inside = (q * F.col("total") - (F.col("upto") - F.col("n"))) / F.col("n")
+        value = F.when(F.col("bin") <= _ZERO, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bin") + inside) / _PER_OCTAVE))
+        return F.min(F.when(F.col("upto") >= q * F.col("total"), F.struct("bin", value.alias("x"))))["x"]
+
     # the deviation of a normal distribution with this median, or half that of one with this 80 % point
     q = ranked.groupBy("flight", "field", "stat").agg(F.max(F.struct("n", "bin"))["bin"].alias("usual"), at(0.95).alias("high"), F.greatest(at(0.5) / 0.6745, at(0.8) / 1.2816 / 2).alias("scale"))
     return q.groupBy("flight").agg(F.collect_list(F.struct("field", "stat", "usual", "high", "scale")).alias("stats"))
 
 
-def _normals(stats: list[dict]) -> tuple[float, np.ndarray, np.ndarray, dict[str, float]]:
+def _normals(stats: list[dict]) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
     """(hold, scales of the levels, scales of the spans, speeds) of a flight; a row of scales for each field."""
-    by = {(s["field"], s["stat"]): s for s in stats}
-    of = lambda kind: np.array([[by[f, f"{kind}{k}"]["scale"] if (f, f"{kind}{k}") in by else np.nan for k in range(LEVELS)] for f in FIELDS])
-    hold = float(by["any", "run"]["usual"]) if ("any", "run") in by else np.inf
-    return hold, of("level"), of("span"), {f: by[f, "speed"]["high"] if (f, "speed") in by else 0.0 for f in FIELDS}
+    scales, hold, speeds = np.full((2, len(FIELDS), LEVELS), np.nan), np.inf, [0.0] * len(FIELDS)
+    for s in stats:
+        if s["stat"] == _RUN:
+            hold = float(s["usual"])
+        elif s["stat"] == _SPEED:
+            speeds[s["field"]] = s["high"]
+        else:
+            scales[s["stat"] // 100 - 1, s["field"], s["stat"] % 100] = s["scale"]
+    return hold, *scales, speeds
 
 
 def _scales(x: np.ndarray, least: float) -> np.ndarray:
@@ -222,7 +237,7 @@ def flag_implausible(positions: DataFrame, times: float = 8.5, stuck_times: floa
     near = F.array(block, F.when(t - block * length < halo, block - 1), F.when(t - block * length >= length - halo, block + 1))
     placed = p.where("t_us is not null and flight is not null and row_id is not null").withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull())))
     blocks = placed.groupBy("flight", "block")
-    histograms = blocks.applyInArrow(_normal_histograms, "flight string, field string, stat string, bin long, n long")
+    histograms = blocks.applyInArrow(_normal_histograms, "flight string, field int, stat int, bin int, n long")
     # the rows are shuffled once, by flight and block: the normals, few and small, are brought to the blocks
     keys = placed.select(F.col("flight").alias("source"), F.col("block").alias("part")).distinct()
     normals = keys.join(source_normals(histograms).withColumnRenamed("flight", "source"), "source")
@@ -234,13 +249,13 @@ def flag_implausible(positions: DataFrame, times: float = 8.5, stuck_times: floa
             columns, start = _columns(g), int(key[1].as_py()) * length
             own = (columns["t_us"] >= start) & (columns["t_us"] < start + length)
             for k, f in enumerate(FIELDS):
-                at, t, v = _series(columns, f)
-                if len(at) < 3:
+                t, v, rows, place = _series(columns, f)
+                if len(t) < 3:
                     continue
                 first, length_ = runs(v)
                 which = np.repeat(np.arange(len(first)), length_)
                 scales = (_scales(x[k], LEAST_SCALE[f]) for x in (levels, spans))
-                spike = spikes(t[first], v[first], length_, hold if np.isfinite(hold) else 1.0, *scales, speeds[f], times)[which]
+                spike = spikes(t[first], v[first], length_, hold if np.isfinite(hold) else 1.0, *scales, speeds[k], times)[which]
                 rest = np.flatnonzero(~spike)
                 _, length_ = runs(v[rest])
                 stuck = np.zeros(len(v), bool)
@@ -248,9 +263,8 @@ def flag_implausible(positions: DataFrame, times: float = 8.5, stuck_times: floa
                 begins[np.cumsum(length_) - length_] = True
                 stuck[rest[np.repeat(length_ > max(6.0, stuck_times * hold), length_) & ~begins]] = True
                 for mask, why in ((spike, "spike"), (stuck, "stuck")):
-                    if mask.any():  # all delivered copies: equal in time and value
-                        hit = pd.MultiIndex.from_arrays([columns["t_us"], columns[f]]).isin(pd.MultiIndex.from_arrays([columns["t_us"][at[mask]], v[mask]]))
-                        out.append((columns["row_id"][hit & own], f, why))
+                    hit = rows[mask[place]]  # all delivered copies
+                    out.append((columns["row_id"][hit[own[hit]]], f, why))
         size = [len(ids) for ids, _, _ in out]
         repeat = lambda i: pa.array([x[i] for x, m in zip(out, size) for _ in range(m)], pa.string())
         ids = np.concatenate([x[0] for x in out]) if out else np.zeros(0)
