@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def _histogram(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _normal_histograms(key: tuple, g: pa.Table) -> pa.Table:
     """Histograms of one block: run lengths, coefficients of each level, scatter over spans, speeds."""
     found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    columns = _columns(g)
+    columns = _columns(g) if pc.any(g["home"]).as_py() else {c: np.zeros(0) for c in ("row_id", "t_us", *FIELDS)}  # nothing but a halo
     for k, f in enumerate(FIELDS):
         t, v, _, _ = _series(columns, f)
         first, length = runs(v)
@@ -235,7 +236,7 @@ def flag_implausible(positions: DataFrame, times: float = 8.5, stuck_times: floa
     length, halo = block_s * 1_000_000, halo_s * 1_000_000
     block, t = F.floor(F.col("t_us") / length), F.col("t_us")
     near = F.array(block, F.when(t - block * length < halo, block - 1), F.when(t - block * length >= length - halo, block + 1))
-    placed = p.where("t_us is not null and flight is not null and row_id is not null").withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull())))
+    placed = p.where("t_us is not null and flight is not null and row_id is not null").withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull()))).withColumn("home", F.col("block") == block)
     blocks = placed.groupBy("flight", "block")
     histograms = blocks.applyInArrow(_normal_histograms, "flight string, field int, stat int, bin int, n long")
     # the rows are shuffled once, by flight and block: the normals, few and small, are brought to the blocks
@@ -244,10 +245,9 @@ def flag_implausible(positions: DataFrame, times: float = 8.5, stuck_times: floa
 
     def flag(key: tuple, g: pa.Table, normal: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, str, str]] = []
-        if len(normal) and len(g):
+        if len(normal) and pc.any(g["home"]).as_py():
             hold, levels, spans, speeds = _normals(normal["stats"][0].as_py())
-            columns, start = _columns(g), int(key[1].as_py()) * length
-            own = (columns["t_us"] >= start) & (columns["t_us"] < start + length)
+            columns, own = _columns(g), g["home"].to_numpy()
             for k, f in enumerate(FIELDS):
                 t, v, rows, place = _series(columns, f)
                 if len(t) < 3:
