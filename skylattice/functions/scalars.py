@@ -62,10 +62,10 @@ def file_month(name: Column) -> Column:
     return F.coalesce(y * 12 + m, F.when(date != "", later), F.lit(0))
 
 
-def health_state(age: Column, lost: Column, gated: Column, score: Column) -> Column:
-    """One of six states by priority."""
+def health_state(k: Column, ready: Column, gated: Column, recovering: Column, lost: Column) -> Column:
+    """A tracker's state by priority: no frame yet, not initialised, motion only, recovering, lost frames, else tracking."""
     return (
-        F.when(score.isNull(), "init_wait").when(age > 5, "no_frames").when(lost >= 5, "lost").when(lost > 0, "recovering").when(gated, "gated").otherwise("tracking")
+        F.when(F.coalesce(k, F.lit(-1)) < 0, "no_frames").when(~F.coalesce(ready, F.lit(False)), "init_wait").when(gated, "motion_only").when(recovering, "recovering").when(lost > 0, "lost").otherwise("tracking")
     )
 
 
@@ -74,8 +74,14 @@ def planned_speed(distance: Column, cap: float, gain: float = 0.7) -> Column:
     return F.least(F.lit(cap), gain * distance)
 
 
-def vio_class(alt: Column, tilt_deg: Column, step: Column, yaw_deg: Column, dt: Column) -> Column:
-    """none, bad, resume or ok of a motion step, given the time since the last one."""
+def odometry_sane(alt: Column, roll_deg: Column, pitch_deg: Column) -> Column:
+    """Whether height and tilt are those of a flying vehicle; unknown ones aren't."""
+    return F.coalesce(alt.between(3.0, 400.0) & ~F.isnan(alt) & (F.abs(roll_deg) < 55) & (F.abs(pitch_deg) < 55), F.lit(False))
+
+
+def odometry_class(sane: Column, dx: Column, dy: Column, turn_deg: Column, dt: Column) -> Column:
+    """``bad``: not to be believed; ``resume``: believed, but moved or turned further since the last one believed than the
+    time allows, so only an anchor; ``ok``: to be used, as is a first one (``dt`` null). Limits grow with the gap."""
     gap = F.greatest(F.lit(0.0), dt - 0.5)
-    bad = (tilt_deg > 55) | (alt <= 0) | (step > 15.0 + 15.0 * gap) | (F.abs(yaw_deg) > 45.0 + 90.0 * gap)
-    return F.when(dt.isNull(), "none").when(bad, "bad").when(gap > 0, "resume").otherwise("ok")
+    inside = (F.abs(dx) < 15.0 + 15.0 * gap) & (F.abs(dy) < 15.0 + 15.0 * gap) & (F.abs(turn_deg) < 45.0 + 90.0 * gap)
+    return F.when(~sane, "bad").when(dt.isNull() | inside, "ok").otherwise("resume")

@@ -16,14 +16,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEEK_S = 604800.0
+#: Estimated bytes of input from which it is worth a pass over keys and times to measure how dense they are.
+LARGE = 1 << 30
 
 
-def neighbours(df: DataFrame, keys: list[str], columns: list[str], order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
+def bucket_width(df: DataFrame, keys: list[str], t: str = "t", rows: int = 50_000, large: int = LARGE) -> float:
+    """How much time a bucket may cover so that it holds about ``rows`` rows of the densest key: its rate tells.
+
+    Only times and keys are read, reduced to one number. Keys of fewer rows are no reason to divide. Inputs that Spark
+    estimates below ``large`` bytes aren't measured: there a week does. The width never changes a result.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < large:
+        return WEEK_S
+    c = F.col(t).cast("double")
+    per = df.where(c.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), (F.max(c) - F.min(c)).alias("span"))
+    rate = per.agg(F.max(F.when((F.col("n") > rows) & (F.col("span") > 0), F.col("n") / F.col("span")))).first()[0]
+    return rows / rate if rate else float(1 << 62)
+
+
+def neighbours(df: DataFrame, keys: list[str], columns: list[str], order: tuple[str, ...] = ("t",), width: float | None = None) -> DataFrame:
     """Rows with ``before`` and ``after``: structs of ``columns`` of the rows next to them, null at the ends.
 
     Columns of those names are replaced.
     """
     df = df.drop("before", "after")
+    width = width or bucket_width(df, keys, order[0])
     b = df.withColumn("_b", F.floor(F.col(order[0]) / width)).withColumn("_s", F.struct(*columns))
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     rows = b.withColumn("_p", F.lag("_s").over(w)).withColumn("_n", F.lead("_s").over(w))
@@ -34,7 +51,8 @@ def neighbours(df: DataFrame, keys: list[str], columns: list[str], order: tuple[
     return rows.join(carried, [*keys, "_b"]).select(*df.columns, F.coalesce("_p", "_cp").alias("before"), F.coalesce("_n", "_cn").alias("after"))
 
 
-def _running(df: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, ...], width: float, combine: Callable[[Column | str], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
+def _running(df: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, ...], width: float | None, combine: Callable[[Column | str], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
+    width = width or bucket_width(df, keys, order[0])
     b = df.withColumn("_b", F.floor(F.col(order[0]) / width)).withColumn("_v", value)
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     e = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,17 +60,17 @@ def _running(df: DataFrame, keys: list[str], value: Column, name: str, order: tu
     return b.withColumn("_r", combine("_v").over(w)).join(totals, [*keys, "_b"]).select(*df.columns, add(F.col("_r"), F.col("_c")).alias(name))
 
 
-def running_sum(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` up to and with each row; nulls count as nothing."""
     return _running(df, keys, F.coalesce(F.col(value), F.lit(0)), name, order, width, F.sum, lambda r, c: r + F.coalesce(c, F.lit(0)))
 
 
-def running_max(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float = WEEK_S) -> DataFrame:
+def running_max(df: DataFrame, keys: list[str], value: str, name: str, order: tuple[str, ...] = ("t",), width: float | None = None) -> DataFrame:
     """Adds ``name``: the largest ``value`` up to and with each row."""
     return _running(df, keys, F.col(value), name, order, width, F.max, lambda r, c: F.greatest(r, c))
 
 
-def index_in_order(df: DataFrame, keys: list[str], name: str = "k", order: tuple[str, ...] = ("t", "event_id"), width: float = WEEK_S) -> DataFrame:
+def index_in_order(df: DataFrame, keys: list[str], name: str = "k", order: tuple[str, ...] = ("t", "event_id"), width: float | None = None) -> DataFrame:
     """Adds ``name``: the row's place in its key's order, from 0."""
     return _running(df, keys, F.lit(1), name, order, width, F.sum, lambda r, c: (r + F.coalesce(c, F.lit(0)) - 1).cast("int"))
 
@@ -82,14 +100,15 @@ def gradient(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return n.withColumn("gradient", F.when(p.isNull() & q.isNull(), None).when(p.isNull(), (q[value] - y) / hd).when(q.isNull(), (y - p[value]) / hs).otherwise(inner)).drop("before", "after")
 
 
-def unwrap(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def unwrap(df: DataFrame, keys: list[str], value: str = "value", width: float | None = None) -> DataFrame:
     """Adds ``unwrapped``: the angle with jumps of more than half a turn taken out."""
-    n = neighbours(df, keys, ["t", value])
+    width = width or bucket_width(df, keys)
+    n = neighbours(df, keys, ["t", value], width=width)
     d = F.col(value) - F.col("before")[value]
     # whole turns to add at each row, as whole numbers so that the running sum is exact
     turns = -F.ceil((d - math.pi) / (2 * math.pi))
     n = n.withColumn("_k", F.coalesce(turns, F.lit(0)).cast("long")).drop("before", "after")
-    return running_sum(n, keys, "_k", "_turns").withColumn("unwrapped", F.col(value) + 2 * math.pi * F.col("_turns")).drop("_k", "_turns")
+    return running_sum(n, keys, "_k", "_turns", width=width).withColumn("unwrapped", F.col(value) + 2 * math.pi * F.col("_turns")).drop("_k", "_turns")
 
 
 def trapezoid(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -99,16 +118,18 @@ def trapezoid(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     return n.groupBy(*keys).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("integral"))
 
 
-def gap_sessions(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
+def gap_sessions(df: DataFrame, keys: list[str], gap: float, width: float | None = None) -> DataFrame:
     """Adds ``session``: numbered from 0, a new one after every gap longer than ``gap``."""
-    n = neighbours(df, keys, ["t"]).withColumn("_new", F.when(F.col("t") - F.col("before.t") > gap, 1).otherwise(0)).drop("before", "after")
-    return running_sum(n, keys, "_new", "session").drop("_new")
+    width = width or bucket_width(df, keys)
+    n = neighbours(df, keys, ["t"], width=width).withColumn("_new", F.when(F.col("t") - F.col("before.t") > gap, 1).otherwise(0)).drop("before", "after")
+    return running_sum(n, keys, "_new", "session", width=width).drop("_new")
 
 
-def islands(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], flag: str, width: float | None = None) -> DataFrame:
     """Adds ``island``: runs of equal ``flag`` are numbered."""
-    n = neighbours(df, keys, ["t", flag]).withColumn("_new", F.when(F.col("before").isNull() | F.col("before")[flag].eqNullSafe(F.col(flag)), 0).otherwise(1)).drop("before", "after")
-    return running_sum(n, keys, "_new", "island").drop("_new")
+    width = width or bucket_width(df, keys)
+    n = neighbours(df, keys, ["t", flag], width=width).withColumn("_new", F.when(F.col("before").isNull() | F.col("before")[flag].eqNullSafe(F.col(flag)), 0).otherwise(1)).drop("before", "after")
+    return running_sum(n, keys, "_new", "island", width=width).drop("_new")
 
 
 def persistence(df: DataFrame, keys: list[str], flag: str, hold: float) -> DataFrame:
@@ -121,7 +142,8 @@ def persistence(df: DataFrame, keys: list[str], flag: str, hold: float) -> DataF
 
 def streaks(df: DataFrame, keys: list[str], flag: str, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """Adds ``streak``: how many rows in a row the flag has been set, this one counted."""
-    i = index_in_order(islands(df, keys, flag), keys, "_k", order)
+    width = bucket_width(df, keys)
+    i = index_in_order(islands(df, keys, flag, width), keys, "_k", order, width)
     starts = i.where(F.col(flag)).groupBy(*keys, "island").agg(F.min("_k").alias("_k0"))
     out = i.join(starts, [*keys, "island"], "left")
     return out.withColumn("streak", F.when(F.col(flag), F.col("_k") - F.col("_k0") + 1).otherwise(0).cast("int")).drop("island", "_k", "_k0")
@@ -198,25 +220,72 @@ def lowpass_wrap(df: DataFrame, keys: list[str], alpha: float, order: tuple[str,
     return ordered_fold(df.where("value is not null"), keys, list(order), lambda: 0.0, step, schema)
 
 
-def teleport_gate(df: DataFrame, keys: list[str], rate: float, slack: float) -> DataFrame:
-    """Adds ``delivered``: false where ``value`` jumps more than ``rate`` x time + ``slack`` from the last delivered one.
+def teleport_gate(df: DataFrame, keys: list[str], rate: float, slack: float, position: tuple[str, ...] = ("value",), order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Adds ``delivered``: false where the position is further than ``rate`` x time + ``slack`` from the last delivered one.
 
-    A rejected jump is let through if the next row confirms it (one-shot allowance).
+    Whatever jumps is withheld until it lies inside that bound, which grows with the time since the last delivery, or
+    until a row's ``allowed`` is true: the next position is then let through once, however far. ``df`` needs ``t``, the
+    columns of ``position`` and may have ``allowed``. Rows without time or position are left out.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", delivered boolean"
 
     def step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
         out = np.ones(len(rows), bool)
-        for i, (t, v) in enumerate(zip(rows["t"].to_numpy(float), rows["value"].to_numpy(float))):
-            far = "v" in state and abs(v - state["v"]) > rate * (t - state["t"]) + slack
-            if far and not state.get("pending"):
+        at = rows[list(position)].to_numpy(float)
+        free = rows["allowed"].fillna(False).to_numpy(bool) if "allowed" in rows else np.zeros(len(rows), bool)
+        for i, (t, v) in enumerate(zip(rows["t"].to_numpy(float), at)):
+            state["free"] = state.get("free", False) or free[i]
+            if "v" in state and not state["free"] and np.sqrt(((v - state["v"]) ** 2).sum()) > rate * max(1e-3, t - state["t"]) + slack:
                 out[i] = False
-                state["pending"] = True
-                continue
-            state.update(t=t, v=v, pending=False)
+            else:
+                state.update(t=t, v=v, free=False)
         return state, rows.assign(delivered=out)
 
-    return ordered_fold(df.where("value is not null"), keys, ["t", "event_id"], dict, step, schema)
+    known = " and ".join(f"{c} is not null" for c in ("t", *position))
+    return ordered_fold(df.where(known), keys, list(order), dict, step, schema)
+
+
+def gravity_filter(df: DataFrame, keys: list[str], gain: float = 0.02, mount: np.ndarray | None = None, order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Adds ``roll`` and ``pitch`` (radians) of the camera from turn rates and specific force alone.
+
+    The direction of gravity in the body's frame is turned by the rates over the time since the last sample (0 to 0.05 s),
+    then drawn by ``gain`` towards the opposite of the measured force. ``df`` needs ``t``, ``gx, gy, gz`` and ``ax, ay,
+    az``; ``mount`` turns body vectors into the camera's frame. Samples before the first force that isn't zero have null
+    angles; one with a null or NaN component is left out. Keys are folded one after another in sorted partitions.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", roll double, pitch double"
+    m = np.eye(3) if mount is None else np.asarray(mount, float)
+    names = ["gx", "gy", "gz", "ax", "ay", "az"]
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+        g_out = np.full((len(rows), 3), np.nan)
+        for i, (t, wx, wy, wz, ax, ay, az) in enumerate(zip(rows["t"].to_numpy(float).tolist(), *(rows[c].to_numpy(float).tolist() for c in names))):
+            force = (ax * ax + ay * ay + az * az) ** 0.5
+            if state is None:
+                if force < 1e-6:
+                    continue
+                state = (t, -ax / force, -ay / force, -az / force)
+            else:
+                last, x, y, z = state
+                dt = min(max(t - last, 0.0), 0.05)
+                wx, wy, wz = -wx * dt, -wy * dt, -wz * dt
+                angle = (wx * wx + wy * wy + wz * wz) ** 0.5
+                if angle > 1e-12:  # about the axis: the part along it stays, the rest turns
+                    ux, uy, uz = wx / angle, wy / angle, wz / angle
+                    c, s = np.cos(angle), np.sin(angle)
+                    along = (ux * x + uy * y + uz * z) * (1 - c)
+                    x, y, z = x * c + (uy * z - uz * y) * s + ux * along, y * c + (uz * x - ux * z) * s + uy * along, z * c + (ux * y - uy * x) * s + uz * along
+                if force > 1e-6:
+                    x, y, z = ((1 - gain) * v - gain * a / force for v, a in ((x, ax), (y, ay), (z, az)))
+                    n = (x * x + y * y + z * z) ** 0.5
+                    x, y, z = x / n, y / n, z / n
+                state = (t, x, y, z)
+            g_out[i] = state[1:]
+        c = g_out @ m.T
+        return state, rows.assign(roll=np.arctan2(c[:, 1], c[:, 2]), pitch=-np.arcsin(np.clip(c[:, 0], -1, 1)))
+
+    known = " and ".join(f"{c} is not null and not isnan({c})" for c in ("t", *names))
+    return ordered_fold(df.where(known), keys, list(order), lambda: None, step, schema)
 
 
 def anchored_velocity(df: DataFrame, keys: list[str], low: float, high: float, most: float) -> DataFrame:

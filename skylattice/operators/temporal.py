@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEEK_S = 604800.0
+from skylattice.operators.sequence import bucket_width
 
-
-def bracket_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], width: float = WEEK_S, t: str = "t") -> DataFrame:
+def bracket_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], width: float | None = None, t: str = "t") -> DataFrame:
     """Left rows with ``prev`` (last right row at or before ``t``) and ``next`` (first at or after), structs of ``t`` and ``values``.
 
     Rows of either side with a null time are treated as absent on the right and come without neighbours on the left.
@@ -24,6 +23,8 @@ def bracket_join(left: DataFrame, right: DataFrame, keys: list[str], values: lis
     r = right.where(F.col(t).isNotNull()).groupBy(*keys, t).agg(F.min(F.struct(*values)).alias("v"))
     r = r.select(*keys, F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), *[F.col("v")[c].alias(c) for c in values]).alias("_r"), F.lit(None).alias("_l"), F.lit(0).alias("_side"))
     el = left.select(*keys, F.col(t).alias("_t"), F.lit(None).alias("_r"), F.struct(*columns).alias("_l"), F.lit(1).alias("_side"))
+    if width is None:
+        width = bucket_width(left.select(*keys, F.col(t).alias("t")).unionByName(right.select(*keys, F.col(t).alias("t"))), keys)
     rows = el.unionByName(r).withColumn("_b", F.floor(F.col("_t") / width))
     up = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,7 +73,7 @@ def lerp(value: str, t: str = "t", max_age: float | None = None) -> Column:
     return F.when(best <= max_age, out)
 
 
-def two_stage(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], offset: Column, tolerance: float, width: float = WEEK_S) -> DataFrame:
+def two_stage(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], offset: Column, tolerance: float, width: float | None = None) -> DataFrame:
     """Nearest within the tolerance by raw stamps, else by stamps moved by ``offset`` (if that isn't zero): ``match``, ``stage``."""
     first = bracket_join(left, right, keys, values, width).withColumn("m1", nearest(tolerance=tolerance)).drop("prev", "next")
     moved = first.withColumn("t_raw", F.col("t")).withColumn("t", F.col("t") + offset)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.functions import geo, rotation, scalars
-from skylattice.operators.sequence import neighbours, ordered_fold
+from skylattice.functions import geo, rotation
+from skylattice.operators.sequence import neighbours
 from skylattice.plans.common import E, events, r6
 from skylattice.session import load_table
 
@@ -97,40 +95,12 @@ def motion_between_frames(spark: SparkSession, d: str) -> DataFrame:
     return n.select("event_id", r6(dx).alias("dx"), r6(dy).alias("dy"), r6(rotation.wrap_angle(F.radians(F.col("roll") * 3) - yaw)).alias("dyaw"))
 
 
-def motion_source(spark: SparkSession, d: str) -> DataFrame:
-    """Which source of motion a frame uses, and the noise to add."""
-    k = _track(spark, d)
-    src = F.when(F.abs("roll") < 30, "odometry").when(F.abs("pitch") < 40, "controller").otherwise("hover")
-    return k.select("event_id", src.alias("source"), F.when(src == "hover", 0.6).otherwise(0.2).alias("noise"), r6(scalars.clip(F.col("alt"), 5.0, 120.0)).alias("alt"))
-
-
 def landed_sanity(spark: SparkSession, d: str) -> DataFrame:
     """Runs whose last height is that of a landed vehicle."""
     g = _track(spark, d).groupBy("run").agg(F.max_by("alt", F.struct("t", "event_id")).alias("last"))
     return g.select("run", r6("last").alias("last"), (F.abs("last") <= 20).alias("landed"))
 
 
-def complementary_tilt(spark: SparkSession, d: str) -> DataFrame:
-    """Tilt of each run from turn rates corrected a little by gravity."""
-    import numpy as np
-    import pandas as pd
-
-    rows = _track(spark, d).select("event_id", "run", "t", F.radians("roll").alias("rate"), F.radians("pitch").alias("seen"))
-
-    def step(s: tuple[float, float] | None, b: pd.DataFrame) -> tuple[tuple[float, float], pd.DataFrame]:
-        out = np.empty(len(b))
-        for i, (t, rate, seen) in enumerate(zip(b["t"], b["rate"], b["seen"])):
-            last, tilt = s if s else (t, seen)
-            dt = min(max((t - last) / DAY, 0.0), 0.05)
-            tilt = tilt + rate * dt
-            tilt += 0.02 * ((seen - tilt + math.pi) % (2 * math.pi) - math.pi)
-            s = (t, tilt)
-            out[i] = tilt
-        return s, pd.DataFrame({"event_id": b["event_id"].to_numpy(), "tilt": out})
-
-    return ordered_fold(rows, ["run"], ["t", "event_id"], lambda: None, step, "event_id long, tilt double").select("event_id", r6("tilt").alias("tilt"))
-
-
 def velocity_to_body(spark: SparkSession, d: str) -> DataFrame:
     """World velocities in the body's frame and back."""
     k = _track(spark, d)
@@ -144,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         geometry_envelope, coverage_gate, scan_eligibility, consensus_gate, honest_poses, extent_diagonal, zscore, origin_displacement, camera_tilt_chain,
-        motion_between_frames, motion_source, landed_sanity, complementary_tilt, velocity_to_body,
+        motion_between_frames, landed_sanity, velocity_to_body,
     )
 }
 _PREV = "n AS (SELECT *, lag(t) OVER w AS pt, lag(alt) OVER w AS pa, lag(roll) OVER w AS pr FROM k WINDOW w AS (PARTITION BY run ORDER BY t))"
@@ -166,8 +136,6 @@ SELECT f.flight, round((a - a0) * 111320.0, 3) AS north, round((o - o0) * 111320
 SELECT event_id, round(atan2(-gx, gz), 6) AS roll, round(atan2(-gy, sqrt(gx * gx + gz * gz)), 6) AS pitch FROM g""",
     "motion_between_frames": f"""WITH {E}, {_TRACK}, {_PREV}, m AS (SELECT event_id, alt - pa AS x, roll - pr AS y, -radians(pr * 3) AS a, radians(roll * 3) - radians(pr * 3) AS turn FROM n WHERE pt IS NOT NULL)
 SELECT event_id, round(x * cos(a) - y * sin(a), 6) AS dx, round(x * sin(a) + y * cos(a), 6) AS dy, round({_WRAP.format('turn')}, 6) AS dyaw FROM m""",
-    "motion_source": f"""WITH {E}, {_TRACK}, s AS (SELECT *, CASE WHEN abs(roll) < 30 THEN 'odometry' WHEN abs(pitch) < 40 THEN 'controller' ELSE 'hover' END AS source FROM k)
-SELECT event_id, source, CASE WHEN source = 'hover' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END AS noise, round(greatest(5.0, least(120.0, alt)), 6) AS alt FROM s""",
     "landed_sanity": f"WITH {E}, {_TRACK} SELECT run, round(alt, 6) AS last, abs(alt) <= 20 AS landed FROM k QUALIFY row_number() OVER (PARTITION BY run ORDER BY t DESC, event_id DESC) = 1",
     "velocity_to_body": f"WITH {E}, {_TRACK} SELECT event_id, round(alt * cos(radians(roll)) + coverage * sin(radians(roll)), 6) AS body_x, round(coverage * cos(radians(roll)) - alt * sin(radians(roll)), 6) AS body_y, round(alt, 6) AS world_x, round(coverage, 6) AS world_y FROM k",
 }

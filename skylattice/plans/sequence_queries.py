@@ -154,11 +154,6 @@ def clock_offset_scan(spark: SparkSession, d: str) -> DataFrame:
     return seq.best_lag(s, ["g"], True, 100).select("lag", r6("corr").alias("corr"), (F.abs("corr") >= 0.3).alias("accepted"))
 
 
-def teleport_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Readings delivered and withheld by the jump gate."""
-    return seq.teleport_gate(_all(spark, d), RUN, 35.0 / DAY, 40.0).select("event_id", "delivered")
-
-
 def anchored_velocity(spark: SparkSession, d: str) -> DataFrame:
     """Velocities over a sliding baseline."""
     return seq.anchored_velocity(_all(spark, d), RUN, DAY / 4, 2 * DAY, 1.0).select("event_id", "velocity")
@@ -181,7 +176,7 @@ QUERIES = {
     for f in (
         first_differences, gradient_nonuniform, unwrap_phase, trapezoid_integral, ema_by_run, lowpass_wrap, gap_sessions, loss_streaks, rolling_rescan_count,
         sliding_buffer_span, staleness, energy_window_best, persistence_breach, hold_time, carry_forward, cumulative_motion, dr_displacement, lag_correlations,
-        lag_xcorr_parabolic, clock_offset_scan, teleport_gate, anchored_velocity, takeover_debounce,
+        lag_xcorr_parabolic, clock_offset_scan, anchored_velocity, takeover_debounce,
     )
 }
 ORACLES = {

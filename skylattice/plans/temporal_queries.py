@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.operators.sequence import index_in_order
-from skylattice.operators.temporal import WEEK_S, age, bracket_join, clock_offset, forward_clamped, lerp, nearest, two_stage, velocity_pairs
+from skylattice.operators.temporal import age, bracket_join, clock_offset, forward_clamped, lerp, nearest, two_stage, velocity_pairs
 from skylattice.plans.common import E, events, r6
 
 DAY = 86400.0
@@ -91,7 +91,7 @@ def clock_bridge(spark: SparkSession, d: str) -> DataFrame:
 def track_error_report(spark: SparkSession, d: str) -> DataFrame:
     """How far each run's estimates are from interpolated truth: median, mean, 90 % point, worst, share beyond 30."""
     frames, truth = events(spark, d, "click"), events(spark, d, "view").drop("event_id")
-    b = bracket_join(frames.withColumnRenamed("value", "estimate"), truth, ["run"], ["value"], WEEK_S)
+    b = bracket_join(frames.withColumnRenamed("value", "estimate"), truth, ["run"], ["value"])
     e = b.withColumn("err", F.abs(F.col("estimate") - lerp("value"))).where("err is not null")
     return e.groupBy("run").agg(
         F.count("*").alias("n"),

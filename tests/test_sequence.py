@@ -82,3 +82,66 @@ def test_persistence_and_streaks(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert seq.gradient(none, ["run"]).count() == seq.ema(none, ["run"], 0.1).count() == seq.trapezoid(none, ["run"]).count() == 0
+
+
+def test_bucket_width(spark):
+    t, _, df = data(spark, 5, 400)
+    assert seq.bucket_width(spark.range(100).selectExpr("'r' as run", "double(id) as t"), ["run"], rows=10) == seq.WEEK_S  # too small to measure
+    rate = 400 / (t[-1] - t[0])
+    assert seq.bucket_width(df, ["run"], rows=100, large=0) == pytest.approx(100 / rate)
+    assert seq.bucket_width(df, ["run"], rows=1000, large=0) > 1e18 and seq.bucket_width(df.limit(0), ["run"], large=0) > 1e18
+
+
+def gate(rows, rate, slack):
+    """Row by row: the last delivered position, and whether a jump is allowed."""
+    last, free, out = None, False, []
+    for t, x, y, allowed in rows:
+        free = free or bool(allowed)
+        ok = last is None or free or np.hypot(x - last[1], y - last[2]) <= rate * max(1e-3, t - last[0]) + slack
+        if ok:
+            last, free = (t, x, y), False
+        out.append(ok)
+    return out
+
+
+def test_teleport_gate(spark):
+    rows = [(0.0, 0, 0, None), (1.0, 10, 0, False), (2.0, 500, 0, False), (3.0, 500, 1, False), (4.0, 30, 0, False), (5.0, 900, 0, False), (9.0, 200, 0, False), (10.0, 800, 0, True), (11.0, 805, 0, False), (12.0, 0, 0, None)]
+    rows = [(t, float(x), float(y), a) for t, x, y, a in rows]
+    want = gate(rows, 35.0, 8.0)
+    # what jumps stays out, however often it comes, until the bound has grown to it or a jump is allowed
+    assert want == [True, True, False, False, True, False, True, True, True, False]
+    df = spark.createDataFrame([(i, "r", *r) for i, r in enumerate(rows)] + [(99, "r", None, 1.0, 1.0, None)], "event_id long, run string, t double, x double, y double, allowed boolean")
+    got = by_id(seq.teleport_gate(df, ["run"], 35.0, 8.0, ("x", "y")), "delivered")
+    assert [got[i] for i in range(len(rows))] == want and 99 not in got
+
+
+def turned(v, axis, angle):
+    """A vector turned about an axis, by quaternion products."""
+    def times(p, q):
+        return np.r_[p[0] * q[0] - p[1:] @ q[1:], p[0] * q[1:] + q[0] * p[1:] + np.cross(p[1:], q[1:])]
+    q = np.r_[np.cos(angle / 2), np.sin(angle / 2) * axis / np.linalg.norm(axis)]
+    return times(times(q, np.r_[0.0, v]), q * [1, -1, -1, -1])[1:]
+
+
+def test_gravity_filter(spark):
+    rng = np.random.default_rng(7)
+    t = np.cumsum(rng.choice([0.005, 0.02, 0.3], 200))
+    rate, force = rng.normal(0, 2, (200, 3)), rng.normal(0, 1, (200, 3)) + [0, 0, 9.8]
+    force[:2] = 0
+    g, last, want = None, None, []
+    for k in range(200):
+        n = np.linalg.norm(force[k])
+        if g is None:
+            g, last = (-force[k] / n, t[k]) if n > 1e-6 else (None, None)
+        else:
+            w = -rate[k] * min(t[k] - last, 0.05)
+            last, g = t[k], turned(g, w, np.linalg.norm(w))
+            g = 0.98 * g - 0.02 * force[k] / n
+            g /= np.linalg.norm(g)
+        want.append([None, None] if g is None else [np.arctan2(g[1], g[2]), -np.arcsin(g[0])])
+    names = "t double, gx double, gy double, gz double, ax double, ay double, az double"
+    df = spark.createDataFrame([(i, "f", float(t[i]), *map(float, rate[i]), *map(float, force[i])) for i in range(200)] + [(999, "f", 1.0, None, *[1.0] * 5)], "event_id long, run string, " + names)
+    out = seq.gravity_filter(df, ["run"])
+    roll, pitch = by_id(out, "roll"), by_id(out, "pitch")
+    assert 999 not in roll and roll[0] is roll[1] is None
+    assert [[roll[i], pitch[i]] for i in range(2, 200)] == [pytest.approx(w, abs=1e-9) for w in want[2:]]
