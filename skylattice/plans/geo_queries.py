@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, rotation, scalars
-from skylattice.operators.sequence import neighbours
+
 from skylattice.operators.tile_paths import tile_of
 from skylattice.plans.common import E, events, r6
 from skylattice.session import load_table
@@ -72,30 +72,10 @@ def tile_pk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile_window(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles around every twentieth place."""
-    return geo.tile_window(places(spark, d).where("id % 20 = 0"), ZOOM, 300.0).select("id", "tx", "ty")
-
-
-def tile_window_all(spark: SparkSession, d: str) -> DataFrame:
     """Tiles around every place."""
     return geo.tile_window(places(spark, d), ZOOM, 300.0).select("id", "tx", "ty")
 
 
-def missing_tiles_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of the rectangle of each zoom's tiles for which there is no file."""
-    have = _tiles(spark, d).where(F.lower(F.trim(F.coalesce("scheme", F.lit("xyz")))) == "xyz").select("z", "x", "y").distinct()
-    box = have.groupBy("z").agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
-    cells = box.select("z", F.explode(F.sequence("lox", "hix")).alias("x"), "loy", "hiy").select("z", "x", F.explode(F.sequence("loy", "hiy")).alias("y"))
-    return cells.join(have, ["z", "x", "y"], "left_anti")
-
-
-def missing_tile_fraction(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the rectangle that is missing, and whether that is worth a warning."""
-    have = _tiles(spark, d).where(F.lower(F.trim(F.coalesce("scheme", F.lit("xyz")))) == "xyz").select("z", "x", "y").distinct()
-    g = have.groupBy("z").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x") + 1).cast("long") * (F.max("y") - F.min("y") + 1)).alias("cells"))
-    return g.select("z", r6(1 - F.col("n") / F.col("cells")).alias("missing"), (1 - F.col("n") / F.col("cells") > 0.02).alias("warn"))
-
-
 def _placed_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Files with the tile ``z, x, y``, counted from the north, that the path names or else the columns."""
     t = load_table(spark, d, "tiles")
@@ -105,66 +85,55 @@ def _placed_tiles(spark: SparkSession, d: str) -> DataFrame:
     return t.select("file_id", "rel_path", "mtime", F.coalesce(tile_of(t.rel_path, t.scheme), told).alias("t")).where("t is not null").select("file_id", "rel_path", "mtime", "t.*")
 
 
-def missing_tiles_anti_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The same by the files' places, of either scheme."""
+def missing_tiles_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles without a file in the rectangle of each zoom's tiles, as the rectangles ``x0..x1, y0..y1`` they make up: gaps
+    within a column of tiles, and whole columns. They are no more than the tiles there are, however sparse a zoom is."""
     have = _placed_tiles(spark, d).select("z", "x", "y").distinct()
-    box = have.groupBy("z").agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
-    cells = box.select("z", F.explode(F.sequence("lox", "hix")).alias("x"), "loy", "hiy").select("z", "x", F.explode(F.sequence("loy", "hiy")).alias("y"))
-    return cells.join(have, ["z", "x", "y"], "left_anti")
+    box = have.groupBy("z").agg(F.min("x").alias("lox"), F.min("y").alias("loy"), F.max("y").alias("hiy"))  # a row a zoom
+    rows = have.join(F.broadcast(box), "z")
+    down, along = Window.partitionBy("z", "x").orderBy("y"), Window.partitionBy("z").orderBy("x")
+    above = rows.select("z", F.col("x").alias("x0"), F.col("x").alias("x1"), (F.coalesce(F.lag("y").over(down), F.col("loy") - 1) + 1).alias("y0"), (F.col("y") - 1).alias("y1"))
+    below = rows.groupBy("z", "x", "hiy").agg(F.max("y").alias("y")).select("z", F.col("x").alias("x0"), F.col("x").alias("x1"), (F.col("y") + 1).alias("y0"), F.col("hiy").alias("y1"))
+    columns = rows.select("z", "x", "lox", "loy", "hiy").distinct()
+    between = columns.select("z", (F.coalesce(F.lag("x").over(along), F.col("lox") - 1) + 1).alias("x0"), (F.col("x") - 1).alias("x1"), F.col("loy").alias("y0"), F.col("hiy").alias("y1"))
+    return above.unionByName(below).unionByName(between).where("x0 <= x1 and y0 <= y1")
 
 
-def missing_tile_fraction_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The same by the files' places, of either scheme."""
+def missing_tile_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each zoom's rectangle that is missing, and whether that is worth a warning."""
     have = _placed_tiles(spark, d).select("z", "x", "y").distinct()
     g = have.groupBy("z").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).alias("cells"))
     return g.select("z", r6(1 - F.col("n") / F.col("cells")).alias("missing"), (1 - F.col("n") / F.col("cells") > 0.02).alias("warn"))
 
 
-def tile_counts_union_bbox_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The same by the files' places, bounds included."""
+def bbox_tiles(spark: SparkSession, d: str, zooms: tuple[int, int] = (-1, -1), half: float = 0.01) -> DataFrame:
+    """Files whose tile meets a box about the middle of all, of zooms from the first to the second (-1: open)."""
     t = _placed_tiles(spark, d)
-    b = t.select("z", *[c.alias(k) for k, c in geo.tile_bounds(t.z, t.x, t.y).items()])
-    return b.groupBy("z").agg(F.count("*").alias("n"), r6(F.max("top_lat"), 7).alias("north"), r6(F.min("left_lon"), 7).alias("west"), r6(F.min("bottom_lat"), 7).alias("south"), r6(F.max("right_lon"), 7).alias("east"))
-
-
-def tile_index_upsert_paths(spark: SparkSession, d: str) -> DataFrame:
-    """One row per place: the newest file. A packed key has no room for every zoom that a path may name."""
-    return _placed_tiles(spark, d).groupBy("z", "x", "y").agg(F.max_by("file_id", F.struct("mtime", "file_id")).alias("file_id"))
-
-
-def tile_extension_choice_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The same by place, the suffix in any case."""
-    ext = F.lower(F.regexp_extract(F.trim("rel_path"), r"\.(\w+)$", 1))
-    rank = F.when(ext == "jpg", 0).when(ext == "png", 1).when(ext == "jpeg", 2)
-    t = _placed_tiles(spark, d).withColumn("r", rank).where("r is not null")
-    return t.groupBy("z", "x", "y").agg(F.min_by("rel_path", F.struct("r", "file_id")).alias("rel_path"))
-
-
-def bbox_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of zooms 16 to 18 that meet a box."""
-    t = _tiles(spark, d).where("z between 16 and 18")
-    box = t.agg(F.percentile("top_left_lat", F.lit(0.5)).alias("a"), F.percentile("top_left_lon", F.lit(0.5)).alias("b"))
-    j = t.join(F.broadcast(box))  # one row
-    hit = (F.col("bottom_right_lat") <= F.col("a") + 0.01) & (F.col("top_left_lat") >= F.col("a") - 0.01) & (F.col("top_left_lon") <= F.col("b") + 0.01) & (F.col("bottom_right_lon") >= F.col("b") - 0.01)
+    low, high = zooms
+    t = t.where((F.col("z") >= low) if low >= 0 else F.lit(True)).where((F.col("z") <= high) if high >= 0 else F.lit(True))
+    t = t.select("file_id", *[c.alias(k) for k, c in geo.tile_bounds(t.z, t.x, t.y).items()])
+    j = t.join(F.broadcast(t.agg(F.avg("top_lat").alias("a"), F.avg("left_lon").alias("b"))))  # one row
+    hit = (F.col("bottom_lat") <= F.col("a") + half) & (F.col("top_lat") >= F.col("a") - half) & (F.col("left_lon") <= F.col("b") + half) & (F.col("right_lon") >= F.col("b") - half)
     return j.where(hit).select("file_id")
 
 
 def tile_counts_union_bbox(spark: SparkSession, d: str) -> DataFrame:
     """Tiles per zoom and their common bounds."""
-    return _tiles(spark, d).groupBy("z").agg(F.count("*").alias("n"), r6(F.max("top_left_lat"), 7).alias("north"), r6(F.min("top_left_lon"), 7).alias("west"), r6(F.min("bottom_right_lat"), 7).alias("south"), r6(F.max("bottom_right_lon"), 7).alias("east"))
+    t = _placed_tiles(spark, d)
+    b = t.select("z", *[c.alias(k) for k, c in geo.tile_bounds(t.z, t.x, t.y).items()])
+    return b.groupBy("z").agg(F.count("*").alias("n"), r6(F.max("top_lat"), 7).alias("north"), r6(F.min("left_lon"), 7).alias("west"), r6(F.min("bottom_lat"), 7).alias("south"), r6(F.max("right_lon"), 7).alias("east"))
 
 
 def tile_index_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """One row per tile key: the newest file."""
-    t = _tiles(spark, d).withColumn("pk", geo.tile_key(F.col("z"), F.col("x"), F.col("y")))
-    return t.groupBy("pk").agg(F.max_by("file_id", F.struct("mtime", "file_id")).alias("file_id"))
+    """One row per tile: the newest file. A packed key has no room for every zoom that a path may name."""
+    return _placed_tiles(spark, d).groupBy("z", "x", "y").agg(F.max_by("file_id", F.struct("mtime", "file_id")).alias("file_id"))
 
 
 def tile_extension_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Of the files of a tile the one whose suffix comes first: jpg, png, jpeg."""
-    ext = F.regexp_extract("rel_path", r"\.(\w+)$", 1)
+    """Of the files of a tile the one whose suffix, in any case, comes first: jpg, png, jpeg."""
+    ext = F.lower(F.regexp_extract(F.trim("rel_path"), r"\.(\w+)$", 1))
     rank = F.when(ext == "jpg", 0).when(ext == "png", 1).when(ext == "jpeg", 2)
-    t = _tiles(spark, d).withColumn("r", rank).where("r is not null")
+    t = _placed_tiles(spark, d).withColumn("r", rank).where("r is not null")
     return t.groupBy("z", "x", "y").agg(F.min_by("rel_path", F.struct("r", "file_id")).alias("rel_path"))
 
 
@@ -304,7 +273,7 @@ def health_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     e = load_table(spark, d, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     h = e.select("event_id", F.to_json(F.struct("k", F.round("value", 2).alias("score"), (F.col("k") % 7).alias("lost"))).alias("js"))
     b = h.select("event_id", F.from_json("js", "k int, score double, lost int").alias("h")).select("event_id", "h.*")
-    state = scalars.health_state((F.col("k") / 15).cast("double"), F.col("lost"), F.col("score") < 50, F.col("score"))
+    state = scalars.health_state(F.col("k"), F.col("score").isNotNull(), F.col("score") < 50, F.col("k") % 5 == 0, F.col("lost"))
     return b.select("event_id", "k", "score", "lost", state.alias("state"))
 
 
@@ -324,13 +293,6 @@ def schedules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def step_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Motion steps classed by plausibility."""
-    s = neighbours(events(spark, d, "click"), ["run"], ["t", "value"])
-    s = s.withColumn("dt", (F.col("t") - F.col("before.t")) / 86400).withColumn("step", F.abs(F.col("value") - F.col("before.value")))
-    return s.select("event_id", scalars.vio_class(F.col("value"), F.pmod("event_id", F.lit(60)).cast("double"), F.col("step"), F.col("step") / 2, F.col("dt")).alias("class"))
-
-
 def position_fixes(spark: SparkSession, d: str) -> DataFrame:
     """Fixes of good quality and finite values, with global pixels moved by the map's offset."""
     v = load_table(spark, d, "vehicle_global_position").where("lat between -85 and 85 and lon between -180 and 180 and not isnan(lat) and not isnan(lon) and eph < 5")
@@ -341,18 +303,24 @@ _TMS = "power(2, z) - 1 - y"
 _BND = """SELECT file_id, round(least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * r / n)))), -85.05112878), 85.05112878), 7) AS top_lat, round(x / n * 360.0 - 180.0, 7) AS left_lon,
 round(least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * (r + 1) / n)))), -85.05112878), 85.05112878), 7) AS bottom_lat, round((x + 1) / n * 360.0 - 180.0, 7) AS right_lon
 FROM (SELECT *, pow(2, z) AS n, {0} AS r FROM tiles WHERE z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND lower(trim(coalesce(scheme, 'xyz'))) = '{1}')"""
-_HAVE = "have AS (SELECT DISTINCT z, x, y FROM tiles WHERE z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND lower(trim(coalesce(scheme, 'xyz'))) = 'xyz')"
+#: Files with the tile their path names, or else the columns, counted from the north.
+_PLACED = r"""plain AS (SELECT *, coalesce(lower(trim(scheme)) = 'tms', false) AS south, trim(replace(regexp_replace(rel_path, '%2[fF]', '/', 'g'), '\', '/')) AS p FROM tiles),
+parts AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(p, '(^|/)(\./)+', '\1', 'g'), '/+', '/', 'g'), '[^/]+/\.\./', '', 'g'), '/') AS s FROM plain),
+named AS (SELECT *, s[-3] AS nz, s[-2] AS nx, regexp_extract(s[-1], '^([0-9]+)\.(png|jpg|jpeg)$', 1, 'i') AS ny FROM parts), told AS (SELECT *, coalesce(regexp_matches(nz, '^[0-9]+$') AND regexp_matches(nx, '^[0-9]+$') AND ny <> '', false) AS ok FROM named),
+num AS (SELECT file_id, rel_path, mtime, south, CASE WHEN ok THEN CAST(nz AS INTEGER) ELSE z END AS z, CASE WHEN ok THEN CAST(nx AS BIGINT) ELSE x END AS x, CASE WHEN ok THEN CAST(ny AS BIGINT) ELSE y END AS y FROM told),
+tile AS (SELECT file_id, rel_path, mtime, z, CAST(x AS BIGINT) AS x, CASE WHEN south THEN (CAST(1 AS BIGINT) << z) - 1 - y ELSE CAST(y AS BIGINT) END AS y FROM num WHERE z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL)"""
+_BOUNDED = f"""{_PLACED}, bounded AS (SELECT file_id, z, least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * y / pow(2, z))))), -85.05112878), 85.05112878) AS top_lat, x / pow(2, z) * 360.0 - 180.0 AS left_lon,
+least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * (y + 1) / pow(2, z))))), -85.05112878), 85.05112878) AS bottom_lat, (x + 1) / pow(2, z) * 360.0 - 180.0 AS right_lon FROM tile)"""
 _T = "t AS (SELECT * FROM tiles WHERE z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL)"
 _PK = "(CAST(z AS BIGINT) << 52) | (CAST(x AS BIGINT) << 26) | CAST(y AS BIGINT)"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        mercator_forward, mercator_inverse, ground_sample, tile_bounds_xyz, tile_bounds_tms, tile_pk, tile_window, tile_window_all, missing_tiles_anti, missing_tile_fraction,
+        mercator_forward, mercator_inverse, ground_sample, tile_bounds_xyz, tile_bounds_tms, tile_pk, tile_window, missing_tiles_anti, missing_tile_fraction,
         bbox_tiles, tile_counts_union_bbox, tile_index_upsert, tile_extension_choice, enu_equirect, map_px_metres, latlon_map_metres, margin_report, wrap_angle,
         quat_yaw, quat_mul_frames, gravity_tilt, compass_yaw_residual, rotate_deltas, footprint_corners, yaw_cal_parse, file_date_parse, waypoint_parse,
-        mission_plan_parse, health_json_roundtrip, schedules, step_classes, position_fixes,
-        missing_tiles_anti_paths, missing_tile_fraction_paths, tile_counts_union_bbox_paths, tile_index_upsert_paths, tile_extension_choice_paths,
+        mission_plan_parse, health_json_roundtrip, schedules, position_fixes,
     )
 }
 _K = "k AS (SELECT event_id, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
@@ -363,19 +331,19 @@ ORACLES = {
     "tile_bounds_xyz": _BND.format("CAST(y AS DOUBLE)", "xyz"),
     "tile_bounds_tms": _BND.format("pow(2, z) - 1 - y", "tms"),
     "tile_pk": f"WITH {_T} SELECT file_id, {_PK} AS tile_pk, concat_ws('/', z, x, y) AS name FROM t",
-    "tile_window": f"""WITH {_PLACES}, c AS (SELECT id, {_MX} AS px, {_MY} AS py FROM places WHERE id % 20 = 0),
+    "tile_window": f"""WITH {_PLACES}, c AS (SELECT id, {_MX} AS px, {_MY} AS py FROM places),
 a AS (SELECT id, py, unnest(generate_series(CAST(floor((px - 300) / 256) AS BIGINT), CAST(floor((px + 300) / 256) AS BIGINT))) AS tx FROM c)
 SELECT id, tx, unnest(generate_series(CAST(floor((py - 300) / 256) AS BIGINT), CAST(floor((py + 300) / 256) AS BIGINT))) AS ty FROM a""",
-    "missing_tiles_anti": f"""WITH {_HAVE}, b AS (SELECT z, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM have GROUP BY z),
-c AS (SELECT z, CAST(unnest(generate_series(lx, hx)) AS INTEGER) AS x, ly, hy FROM b), g AS (SELECT z, x, CAST(unnest(generate_series(ly, hy)) AS INTEGER) AS y FROM c)
-SELECT z, x, y FROM g ANTI JOIN have USING (z, x, y)""",
-    "missing_tile_fraction": f"""WITH {_HAVE}, g AS (SELECT z, count(*) AS n, CAST(max(x) - min(x) + 1 AS BIGINT) * (max(y) - min(y) + 1) AS cells FROM have GROUP BY z)
+    "missing_tiles_anti": f"""WITH {_PLACED}, have AS (SELECT DISTINCT z, x, y FROM tile), b AS (SELECT z, min(x) AS lox, min(y) AS loy, max(y) AS hiy FROM have GROUP BY z), c AS (SELECT DISTINCT z, x FROM have),
+g AS (SELECT z, x AS x0, x AS x1, coalesce(lag(y) OVER (PARTITION BY z, x ORDER BY y), loy - 1) + 1 AS y0, y - 1 AS y1 FROM have JOIN b USING (z) UNION ALL SELECT z, x, x, max(y) + 1, any_value(hiy) FROM have JOIN b USING (z) GROUP BY z, x
+UNION ALL SELECT z, coalesce(lag(x) OVER (PARTITION BY z ORDER BY x), lox - 1) + 1, x - 1, loy, hiy FROM c JOIN b USING (z)) SELECT z, x0, x1, y0, y1 FROM g WHERE x0 <= x1 AND y0 <= y1""",
+    "missing_tile_fraction": f"""WITH {_PLACED}, have AS (SELECT DISTINCT z, x, y FROM tile), g AS (SELECT z, count(*) AS n, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS cells FROM have GROUP BY z)
 SELECT z, round(1 - n / cells, 6) AS missing, 1 - n / cells > 0.02 AS warn FROM g""",
-    "bbox_tiles": f"""WITH {_T}, u AS (SELECT * FROM t WHERE z BETWEEN 16 AND 18), b AS (SELECT quantile_cont(top_left_lat, 0.5) AS a, quantile_cont(top_left_lon, 0.5) AS b FROM u)
-SELECT file_id FROM u, b WHERE bottom_right_lat <= a + 0.01 AND top_left_lat >= a - 0.01 AND top_left_lon <= b + 0.01 AND bottom_right_lon >= b - 0.01""",
-    "tile_counts_union_bbox": f"WITH {_T} SELECT z, count(*) AS n, round(max(top_left_lat), 7) AS north, round(min(top_left_lon), 7) AS west, round(min(bottom_right_lat), 7) AS south, round(max(bottom_right_lon), 7) AS east FROM t GROUP BY z",
-    "tile_index_upsert": f"WITH {_T} SELECT {_PK} AS pk, file_id FROM t QUALIFY row_number() OVER (PARTITION BY {_PK} ORDER BY mtime DESC NULLS LAST, file_id DESC) = 1",
-    "tile_extension_choice": f"""WITH {_T}, r AS (SELECT *, CASE regexp_extract(rel_path, '\\.(\\w+)$', 1) WHEN 'jpg' THEN 0 WHEN 'png' THEN 1 WHEN 'jpeg' THEN 2 END AS r FROM t)
+    "bbox_tiles": f"""WITH {_BOUNDED}, m AS (SELECT avg(top_lat) AS a, avg(left_lon) AS b FROM bounded)
+SELECT file_id FROM bounded, m WHERE bottom_lat <= a + 0.01 AND top_lat >= a - 0.01 AND left_lon <= b + 0.01 AND right_lon >= b - 0.01""",
+    "tile_counts_union_bbox": f"WITH {_BOUNDED} SELECT z, count(*) AS n, round(max(top_lat), 7) AS north, round(min(left_lon), 7) AS west, round(min(bottom_lat), 7) AS south, round(max(right_lon), 7) AS east FROM bounded GROUP BY z",
+    "tile_index_upsert": f"WITH {_PLACED} SELECT z, x, y, file_id FROM tile QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY mtime DESC NULLS LAST, file_id DESC) = 1",
+    "tile_extension_choice": f"""WITH {_PLACED}, r AS (SELECT *, CASE lower(regexp_extract(trim(rel_path), '\\.(\\w+)$', 1)) WHEN 'jpg' THEN 0 WHEN 'png' THEN 1 WHEN 'jpeg' THEN 2 END AS r FROM tile)
 SELECT z, x, y, rel_path FROM r WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY r, file_id) = 1""",
     "enu_equirect": f"WITH {_PLACES}, o AS (SELECT arg_min(lat, id) AS a, arg_min(lon, id) AS b FROM places) SELECT id, round(radians(lon - b) * cos(radians(a)) * 6378137.0, 4) AS east, round(radians(lat - a) * 6378137.0, 4) AS north FROM places, o",
     "map_px_metres": f"WITH {_PLACES}, m AS (SELECT id, id * 1.5 - 800 AS x, id * 0.7 - 300 AS y FROM places) SELECT id, CAST(round(2500.0 + x / 0.5, 6) AS DOUBLE) AS px, CAST(round(2500.0 - y / 0.5, 6) AS DOUBLE) AS py, CAST(round(x, 6) AS DOUBLE) AS x, CAST(round(y, 6) AS DOUBLE) AS y FROM m",
@@ -400,13 +368,10 @@ TRY_CAST(regexp_extract(layer_file, '_(\d{4})(\d{2})\d{2}\.', 1) AS INTEGER) * 1
     "mission_plan_parse": """SELECT event_id, 2 AS seq, 30.1::DOUBLE AS lat, 100.1::DOUBLE AS lon, 60.0::DOUBLE AS alt, CAST(least(8, event_id % 7 + 3) AS DOUBLE) AS speed FROM events WHERE event_type = 'signup'
 UNION ALL SELECT event_id, 3, 30.2::DOUBLE, 100.2::DOUBLE, 50.0::DOUBLE, CAST(least(8, event_id % 7 + 3) AS DOUBLE) FROM events WHERE event_type = 'signup'""",
     "health_json_roundtrip": f"""WITH {_K} SELECT event_id, k, round(value, 2) AS score, k % 7 AS lost,
-CASE WHEN value IS NULL THEN 'init_wait' WHEN k / 15 > 5 THEN 'no_frames' WHEN k % 7 >= 5 THEN 'lost' WHEN k % 7 > 0 THEN 'recovering' WHEN round(value, 2) < 50 THEN 'gated' ELSE 'tracking' END AS state FROM k""",
+CASE WHEN k < 0 OR k IS NULL THEN 'no_frames' WHEN value IS NULL THEN 'init_wait' WHEN round(value, 2) < 50 THEN 'motion_only' WHEN k % 5 = 0 THEN 'recovering' WHEN k % 7 > 0 THEN 'lost' ELSE 'tracking' END AS state FROM k""",
     "schedules": f"""WITH {_K} SELECT event_id, round_even(greatest(24.0, least(96.0, value)) / 4.0, 0) * 4.0 AS coverage, CAST(round(greatest(0.2, 1.0 - 0.4 * k / 50.0), 6) AS DOUBLE) AS anneal, round(value * (1.0 + 2.0 * least(k % 9, 4)), 6) AS widened,
 CAST(round(least(30.0 + k + 0.05 * k * k, 120.0), 6) AS DOUBLE) AS tolerance, CAST(least(20, 10 + ceil(value / 50.0)) AS INTEGER) AS streak,
 round(greatest(4.0, 0.5 * (value / 7) * (value / 7) * greatest(1.0, 1000.0 / (k + 1.0))) + (k / 10.0) * (k / 10.0), 6) AS variance,
 round(least(2000.0, greatest(40.0, 15.0 * k) * pow(1.5, k % 5)), 6) AS radius, round(least(8.0, 0.7 * value), 6) AS speed FROM k""",
-    "step_classes": f"""WITH {E}, c AS (SELECT *, (t - lag(t) OVER w) / 86400 AS dt, abs(value - lag(value) OVER w) AS step FROM e WHERE topic = 'click' WINDOW w AS (PARTITION BY run ORDER BY t)),
-g AS (SELECT *, greatest(0.0, dt - 0.5) AS gap FROM c)
-SELECT event_id, CASE WHEN dt IS NULL THEN 'none' WHEN event_id % 60 > 55 OR value <= 0 OR step > 15 + 15 * gap OR step / 2 > 45 + 90 * gap THEN 'bad' WHEN gap > 0 THEN 'resume' ELSE 'ok' END AS class FROM g""",
     "position_fixes": f"SELECT row_id, round({_MX} - 26000000.0, 3) AS px, round({_MY} - 14000000.0, 3) AS py FROM vehicle_global_position WHERE lat BETWEEN -85 AND 85 AND lon BETWEEN -180 AND 180 AND CAST(lat AS VARCHAR) <> 'nan' AND CAST(lon AS VARCHAR) <> 'nan' AND eph < 5",
 }

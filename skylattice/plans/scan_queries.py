@@ -14,8 +14,6 @@ from skylattice.operators import sequence as seq
 from skylattice.plans.common import E, events, r6, uniform_duck
 from skylattice.session import load_table
 
-Particles = Callable[[SparkSession, str], DataFrame]
-
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
@@ -27,14 +25,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all cells against the first vector as a grid of 25 columns; the label plays the frame."""
-    v = _vectors(spark, d)
-    s = scoring.score_pairs(v.where("id = 0").select("id", "vec"), v, ["label"])
-    return s.select(F.floor(F.col("row_id") / 25).cast("int").alias("i"), F.pmod("row_id", F.lit(25)).cast("int").alias("j"), "label", F.round("score", 9).alias("score"))
-
-
-def _grids(spark: SparkSession, d: str) -> DataFrame:
-    """The same grid for each of the stated queries, ``query_id`` being its key."""
+    """Scores of all cells as a grid of 25 columns for each of the stated queries, ``query_id`` being its key."""
     return _scores(spark, d).select("query_id", F.floor(F.col("row_id") / 25).cast("int").alias("i"), F.pmod("row_id", F.lit(25)).cast("int").alias("j"), F.round("score", 9).alias("score"))
 
 
@@ -91,13 +82,8 @@ def nms_peaks_1m(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_local_maxima(spark: SparkSession, d: str) -> DataFrame:
-    """Cells no lower than their neighbours."""
-    return pk.local_maxima(_grid(spark, d).select("i", "j", "score", F.lit(0).alias("g")), ["g"]).select("i", "j", r6("score").alias("score"))
-
-
-def grid_local_maxima_scans(spark: SparkSession, d: str) -> DataFrame:
-    """The same for the scans of all stated queries."""
-    return pk.local_maxima(_grids(spark, d), ["query_id"]).select("query_id", "i", "j", r6("score").alias("score"))
+    """Cells no lower than their neighbours, in the scan of each stated query."""
+    return pk.local_maxima(_grid(spark, d), ["query_id"]).select("query_id", "i", "j", r6("score").alias("score"))
 
 
 def multi_frame_median_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -108,17 +94,8 @@ def multi_frame_median_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bilinear_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Scores between cells of the whole grid, held at the edges; the points are spread over the grid's rows and a cell beyond."""
-    g = _grid(spark, d).select("i", "j", "score", F.lit(0).alias("g"))
-    extent = g.agg(F.max(F.struct("i", "j")).alias("m")).select((F.col("m.i") + 1).alias("rows"), F.col("m.j").alias("last"))
-    e = events(spark, d, "click").join(F.broadcast(extent))  # one row
-    p = e.select("event_id", F.lit(0).alias("g"), (F.pmod("value", F.col("rows") + 2.0) - 1).alias("r"), (F.pmod(F.col("value") * 3, F.lit(27.0)) - 1).alias("c"), "rows", "last")
-    return pk.bilinear(g, p, ["g"], F.col("rows"), 25, F.col("last")).select("event_id", r6("value").alias("value"))
-
-
-def bilinear_grid_scans(spark: SparkSession, d: str) -> DataFrame:
-    """The same in the grids of all stated queries."""
-    g = _grids(spark, d)
+    """Scores between cells of each stated query's whole grid, held at the edges; the points are spread over its rows and a cell beyond."""
+    g = _grid(spark, d)
     extent = g.groupBy("query_id").agg(F.max(F.struct("i", "j")).alias("m")).select("query_id", (F.col("m.i") + 1).alias("rows"), F.col("m.j").alias("last"))
     e = events(spark, d, "click").crossJoin(F.broadcast(extent))  # one row a stated query
     p = e.select("event_id", "query_id", (F.pmod("value", F.col("rows") + 2.0) - 1).alias("r"), (F.pmod(F.col("value") * 3, F.lit(27.0)) - 1).alias("c"), "rows", "last")
@@ -177,18 +154,7 @@ def black_patch_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rotation_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Two-stage search of a heading: steps of 2 degrees, then half degrees about the best."""
-    s = _vectors(spark, d).where("id % 50 = 0").select("id", F.pmod(F.col("id") * 37, F.lit(720)).cast("double").alias("true2"))
-    score = lambda a: F.cos(F.radians(a - F.col("true2") / 2))
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "a")
-    top = lambda q: q.withColumn("s", F.round(score(F.col("a")), 9)).withColumn("r", F.row_number().over(w)).where("r = 1")
-    coarse = top(s.withColumn("a", F.explode(F.transform(F.sequence(F.lit(0), F.lit(358), F.lit(2)), lambda i: i.cast("double"))))).select("id", "true2", F.col("a").alias("a0"))
-    fine = top(coarse.withColumn("a", F.explode(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.col("a0") + i * 0.5))))
-    return fine.select("id", r6("a").alias("angle"), r6("s").alias("score"))
-
-
-def rotation_sweep_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every vector; both stages choose inside the row, nothing is shuffled."""
+    """Two-stage search of each vector's heading: steps of 2 degrees, then half degrees about the best, both inside the row."""
     s = _vectors(spark, d).select("id", F.pmod(F.col("id") * 37, F.lit(720)).cast("double").alias("true2"))
     # the best score, the smallest angle at equal scores
     best = lambda angles: F.array_max(F.transform(angles, lambda a: F.struct(F.round(F.cos(F.radians(a - F.col("true2") / 2)), 9).alias("s"), (-a).alias("n"))))
@@ -228,14 +194,7 @@ def alignment_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _particles(spark: SparkSession, d: str) -> DataFrame:
-    """Ten runs of particles: the label is the run, scores against the first vector are the likelihoods."""
-    v = _vectors(spark, d)
-    s = scoring.score_pairs(v.where("id = 0").select("id", "vec"), v, ["label"])
-    return _placed(s.select(F.col("label").alias("run"), F.col("row_id").alias("pid"), "score"))
-
-
-def _scan_particles(spark: SparkSession, d: str) -> DataFrame:
-    """The same for the scans of all stated queries: a run is a query and a label."""
+    """Particles of the scans of all stated queries: a run is a query and a label, scores are the likelihoods."""
     return _placed(_scores(spark, d).select(F.struct("query_id", "label").alias("run"), F.col("row_id").alias("pid"), "score"))
 
 
@@ -244,40 +203,40 @@ def _placed(s: DataFrame) -> DataFrame:
     return s.select("run", "pid", "score", (u("x") * 200 - 100).alias("x"), (u("y") * 200 - 100).alias("y"), (u("yaw") * 6 - 3).alias("yaw"), (0.8 + u("s") * 0.4).alias("scale"))
 
 
-def _weighed(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
-    return pf.softmax(particles(spark, d), ["run"], "score", 0.05)
+def _weighed(spark: SparkSession, d: str) -> DataFrame:
+    return pf.softmax(_particles(spark, d), ["run"], "score", 0.05)
 
 
-def softmax_weights(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def softmax_weights(spark: SparkSession, d: str) -> DataFrame:
     """Likelihoods as weights."""
-    return _weighed(spark, d, particles).select("run", "pid", r6("w", 9).alias("w"))
+    return _weighed(spark, d).select("run.query_id", "run.label", "pid", r6("w", 9).alias("w"))
 
 
-def ess_by_run(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def ess_by_run(spark: SparkSession, d: str) -> DataFrame:
     """Effective sample sizes."""
-    return pf.estimate(_weighed(spark, d, particles)).select("run", r6("neff").alias("neff"))
+    return pf.estimate(_weighed(spark, d)).select("run.query_id", "run.label", r6("neff").alias("neff"))
 
 
-def weighted_pose(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def weighted_pose(spark: SparkSession, d: str) -> DataFrame:
     """Weighted positions, headings and spreads."""
-    return pf.estimate(_weighed(spark, d, particles)).select("run", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread")])
+    return pf.estimate(_weighed(spark, d)).select("run.query_id", "run.label", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread")])
 
 
-def systematic_resample(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def systematic_resample(spark: SparkSession, d: str) -> DataFrame:
     """Particles drawn in proportion to their weights."""
-    return pf.resample(_weighed(spark, d, particles), 1.1).select("run", "pid", r6("x").alias("x"), r6("w", 9).alias("w"))
+    return pf.resample(_weighed(spark, d), 1.1).select("run.query_id", "run.label", "pid", r6("x").alias("x"), r6("w", 9).alias("w"))
 
 
-def predict_step(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def predict_step(spark: SparkSession, d: str) -> DataFrame:
     """Particles moved by a body motion, without noise."""
-    p = pf.predict(_weighed(spark, d, particles), F.lit(4.0), F.lit(-1.0), F.lit(0.1), (0.0, 0.0, 0.0))
-    return p.select("run", "pid", r6("x").alias("x"), r6("y").alias("y"), r6("yaw").alias("yaw"))
+    p = pf.predict(_weighed(spark, d), F.lit(4.0), F.lit(-1.0), F.lit(0.1), (0.0, 0.0, 0.0))
+    return p.select("run.query_id", "run.label", "pid", r6("x").alias("x"), r6("y").alias("y"), r6("yaw").alias("yaw"))
 
 
-def roughen_step(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def roughen_step(spark: SparkSession, d: str) -> DataFrame:
     """Particles jittered by hashed normals."""
-    p = pf.roughen(_weighed(spark, d, particles), (2.0, 2.0, 0.05, 0.01), 0.5)
-    return p.select("run", "pid", r6("x").alias("x"), r6("scale").alias("scale"))
+    p = pf.roughen(_weighed(spark, d), (2.0, 2.0, 0.05, 0.01), 0.5)
+    return p.select("run.query_id", "run.label", "pid", r6("x").alias("x"), r6("scale").alias("scale"))
 
 
 def particle_init(spark: SparkSession, d: str) -> DataFrame:
@@ -308,21 +267,12 @@ def dr_filter_peaks(spark: SparkSession, d: str) -> DataFrame:
     return g.select("query_id", F.col("rank").cast("int").alias("rank"), "ok", (F.col("passed") == 0).alias("blocked"))
 
 
-def filter_step_once(spark: SparkSession, d: str, particles: Particles = _particles) -> DataFrame:
+def filter_step_once(spark: SparkSession, d: str) -> DataFrame:
     """A whole step of the filter without noise: the estimate before resampling."""
-    p = particles(spark, d).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("run")))
+    p = _particles(spark, d).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("run")))
     zero = (0.0, 0.0, 0.0)
     _, est = pf.step(p.drop("score"), p.select("run", "pid", "score"), (F.lit(4.0), F.lit(-1.0), F.lit(0.1)), zero, 0.05, 0.3, (2.0, 2.0, 0.05, 0.01), 1.0, "s")
-    return est.select("run", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread", "neff")])
-
-
-def _of_scans(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        df = f(spark, d, _scan_particles)
-        return df.select("run.query_id", "run.label", *[c for c in df.columns if c != "run"])
-
-    run.__name__, run.__doc__ = f"{f.__name__}_scans", f"{f.__doc__} For the scans of all stated queries."
-    return run
+    return est.select("run.query_id", "run.label", *[r6(c).alias(c) for c in ("x", "y", "yaw", "scale", "spread", "neff")])
 
 
 def waypoint_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -337,8 +287,7 @@ def _dot(a: str, b: str) -> str:
 
 _SC = f"""s AS (SELECT q.vec_id AS query_id, q.label AS own, r.vec_id AS row_id, r.label, 1.0 / (1.0 + exp(-5.0 * {_dot('q.embedding', 'r.embedding')})) AS score
 FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0)"""
-_S0 = f"z AS (SELECT r.vec_id AS row_id, r.label, 1.0 / (1.0 + exp(-5.0 * {_dot('q.embedding', 'r.embedding')})) AS score FROM embeddings q, embeddings r WHERE q.vec_id = 0)"
-_GRID = f"{_S0}, g AS (SELECT CAST(row_id // 25 AS INTEGER) AS i, CAST(row_id % 25 AS INTEGER) AS j, label, round(score, 9) AS score FROM z)"
+_GRID = f"{_SC}, g AS (SELECT query_id, CAST(row_id // 25 AS INTEGER) AS i, CAST(row_id % 25 AS INTEGER) AS j, round(score, 9) AS score FROM s)"
 _J = f"{_SC}, j AS (SELECT *, CASE WHEN label = own THEN 'truth' WHEN abs(label - own) = 1 THEN 'near' ELSE 'far' END AS kind FROM s WHERE query_id <> row_id)"
 _PEAKS = f"{_SC}, p AS (SELECT query_id, {{'score': round(score, 9), 'x': (row_id // 25) * 40.0::DOUBLE, 'y': (row_id % 25) * 40.0::DOUBLE, 'yaw': CAST((row_id * 7) % 360 AS DOUBLE)}} AS p FROM s), l AS (SELECT query_id, list_sort(list(p), 'DESC') AS a FROM p GROUP BY query_id)"
 
@@ -350,8 +299,10 @@ u AS (SELECT query_id, unnest(generate_series(1, len(a))) AS i, a FROM k), n AS
 
 _APART = "(o.x - e[1].x) * (o.x - e[1].x) + (o.y - e[1].y) * (o.y - e[1].y) <= {0}"
 _TURN = "abs((o.yaw - e[1].yaw + 180.0) - 360.0 * floor((o.yaw - e[1].yaw + 180.0) / 360.0) - 180.0) <= 30.0"
-_U = {k: uniform_duck(f"concat_ws(':', '{k}', label, row_id)") for k in ("x", "y", "yaw", "s")}
-_PART = f"{_S0}, p AS (SELECT label AS run, row_id AS pid, score, {_U['x']} * 200 - 100 AS x, {_U['y']} * 200 - 100 AS y, {_U['yaw']} * 6 - 3 AS yaw, 0.8 + {_U['s']} * 0.4 AS scale FROM z)"
+#: A run as Spark writes a struct of query and label.
+_RUN = "concat('{', query_id, ', ', label, '}')"
+_U = {k: uniform_duck(f"concat_ws(':', '{k}', {_RUN}, row_id)") for k in ("x", "y", "yaw", "s")}
+_PART = f"{_SC}, p AS (SELECT {_RUN} AS run, row_id AS pid, score, {_U['x']} * 200 - 100 AS x, {_U['y']} * 200 - 100 AS y, {_U['yaw']} * 6 - 3 AS yaw, 0.8 + {_U['s']} * 0.4 AS scale FROM s)"
 _WEIGH = f"{_PART}, v AS (SELECT *, exp((score - max(score) OVER (PARTITION BY run)) / 0.05) AS e FROM p), w AS (SELECT *, e / sum(e) OVER (PARTITION BY run) AS w FROM v)"
 _EST = """m AS (SELECT run, sum(w * x) AS x, sum(w * y) AS y, atan2(sum(w * sin(yaw)), sum(w * cos(yaw))) AS yaw, sum(w * scale) AS scale, 1 / sum(w * w) AS neff FROM w GROUP BY run),
 t AS (SELECT m.*, d.spread FROM m JOIN (SELECT w.run, sqrt(sum(w.w * ((w.x - m.x) * (w.x - m.x) + (w.y - m.y) * (w.y - m.y)))) AS spread FROM w JOIN m ON w.run = m.run GROUP BY w.run) d ON m.run = d.run)"""
@@ -361,15 +312,19 @@ def _norm(seed: str, parts: str) -> str:
     return f"sqrt(-2.0 * ln(greatest({uniform_duck(f'concat_ws({chr(39)}:{chr(39)}, {chr(39)}{seed}a{chr(39)}, {parts})')}, 1e-12))) * cos(2 * pi() * {uniform_duck(f'concat_ws({chr(39)}:{chr(39)}, {chr(39)}{seed}b{chr(39)}, {parts})')})"
 
 
+def _by_run(sql: str) -> str:
+    """The query's rows with the run's parts instead of the run."""
+    return f"SELECT CAST(regexp_extract(run, '([0-9]+),', 1) AS BIGINT) AS query_id, CAST(regexp_extract(run, ', ([0-9]+)', 1) AS INTEGER) AS label, * EXCLUDE (run) FROM ({sql})"
+
+
 _UR = uniform_duck("concat_ws(':', 'resample', run)")
 QUERIES = {
     f.__name__: f
     for f in (
         similarity_topk, embedding_distance, best_per_yaw, nms_peaks_100m, nms_peaks_yaw, nms_peaks_1m, grid_local_maxima, multi_frame_median_grid, bilinear_grid,
-        truth_vs_false_gate, cross_flight_gate, profile_groups, bce_rank_accuracy, black_patch_gate, rotation_sweep, rotation_sweep_all, consensus_motion, linspace_frames, alignment_vote,
+        truth_vs_false_gate, cross_flight_gate, profile_groups, bce_rank_accuracy, black_patch_gate, rotation_sweep, consensus_motion, linspace_frames, alignment_vote,
         softmax_weights, ess_by_run, weighted_pose, systematic_resample, predict_step, roughen_step, particle_init, mixture_init, refined_union, dr_filter_peaks,
-        filter_step_once, waypoint_progress, grid_local_maxima_scans, bilinear_grid_scans,
-        *map(_of_scans, (softmax_weights, ess_by_run, weighted_pose, systematic_resample, predict_step, roughen_step, filter_step_once)),
+        filter_step_once, waypoint_progress,
     )
 }
 ORACLES = {
@@ -381,12 +336,14 @@ SELECT query_id, round(avg(CASE WHEN label = own THEN dist END), 5) AS same, rou
     "nms_peaks_100m": f"WITH {_nms(8, _APART.format(10000))} SELECT query_id, rank, round(score, 6) AS score, x, y, yaw FROM n",
     "nms_peaks_yaw": f"WITH {_nms(3, _APART.format(6400) + ' AND ' + _TURN)} SELECT query_id, rank, round(score, 6) AS score, x, y, yaw FROM n",
     "nms_peaks_1m": f"WITH {_nms(3, _APART.format(1))} SELECT query_id, rank, round(score, 6) AS score, x, y, yaw FROM n",
-    "grid_local_maxima": f"WITH {_GRID}, m AS (SELECT a.i, a.j, any_value(a.score) AS score, max(b.score) AS best FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY a.i, a.j) SELECT i, j, round(score, 6) AS score FROM m WHERE score = best",
+    "grid_local_maxima": f"WITH {_GRID}, m AS (SELECT a.i, a.j, any_value(a.score) AS score, max(b.score) AS best, a.query_id FROM g a JOIN g b ON a.query_id = b.query_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY a.query_id, a.i, a.j) SELECT query_id, i, j, round(score, 6) AS score FROM m WHERE score = best",
     "multi_frame_median_grid": f"WITH {_SC}, b AS (SELECT CAST(row_id // 25 AS INTEGER) AS cell, query_id, max(score) AS s FROM s GROUP BY ALL) SELECT cell, round(quantile_cont(s, 0.5), 6) AS median FROM b GROUP BY cell",
-    "bilinear_grid": f"""WITH {E}, {_GRID}, p AS (SELECT event_id, value - 22.0 * floor(value / 22.0) - 1 AS r, value * 3 - 27.0 * floor(value * 3 / 27.0) - 1 AS c FROM e WHERE topic = 'click'),
-f AS (SELECT *, CAST(least(greatest(floor(r), 0), 19) AS INTEGER) AS r0, CAST(least(greatest(floor(c), 0), 24) AS INTEGER) AS c0 FROM p), h AS (SELECT *, least(greatest(r - r0, 0.0), 1.0) AS fr, least(greatest(c - c0, 0.0), 1.0) AS fc FROM f)
-SELECT event_id, round(a.score * (1 - fr) * (1 - fc) + b.score * (1 - fr) * fc + x.score * fr * (1 - fc) + y.score * fr * fc, 6) AS value FROM h JOIN g a ON a.i = r0 AND a.j = c0 JOIN g b ON b.i = r0 AND b.j = least(c0 + 1, 24)
-JOIN g x ON x.i = least(r0 + 1, 19) AND x.j = c0 JOIN g y ON y.i = least(r0 + 1, 19) AND y.j = least(c0 + 1, 24)""",
+    "bilinear_grid": f"""WITH {E}, {_GRID}, x AS (SELECT query_id, max(i) AS top, arg_max(j, i * 25 + j) AS tail FROM g GROUP BY query_id),
+p AS (SELECT event_id, query_id, top, tail, value - (top + 3.0) * floor(value / (top + 3.0)) - 1 AS r, value * 3 - 27.0 * floor(value * 3 / 27.0) - 1 AS c FROM e, x WHERE topic = 'click'),
+f AS (SELECT *, CAST(least(greatest(floor(r), 0), top) AS INTEGER) AS r0, CAST(least(greatest(floor(c), 0), 24) AS INTEGER) AS c0 FROM p), h AS (SELECT *, least(greatest(r - r0, 0.0), 1.0) AS fr, least(greatest(c - c0, 0.0), 1.0) AS fc, least(r0 + 1, top) AS r1, least(c0 + 1, 24) AS c1 FROM f),
+k AS (SELECT *, CASE WHEN r0 = top THEN least(c0, tail) ELSE c0 END AS a0, CASE WHEN r0 = top THEN least(c1, tail) ELSE c1 END AS a1, CASE WHEN r1 = top THEN least(c0, tail) ELSE c0 END AS b0, CASE WHEN r1 = top THEN least(c1, tail) ELSE c1 END AS b1 FROM h)
+SELECT k.query_id, event_id, round(a.score * (1 - fr) * (1 - fc) + b.score * (1 - fr) * fc + u.score * fr * (1 - fc) + v.score * fr * fc, 6) AS value FROM k JOIN g a ON a.query_id = k.query_id AND a.i = r0 AND a.j = a0
+JOIN g b ON b.query_id = k.query_id AND b.i = r0 AND b.j = a1 JOIN g u ON u.query_id = k.query_id AND u.i = r1 AND u.j = b0 JOIN g v ON v.query_id = k.query_id AND v.i = r1 AND v.j = b1""",
     "truth_vs_false_gate": f"""WITH {_J}, b AS (SELECT query_id, max(CASE WHEN kind = 'truth' THEN score END) AS truth, max(CASE WHEN kind = 'near' THEN score END) AS near, max(CASE WHEN kind = 'far' THEN score END) AS far FROM j GROUP BY query_id), m AS (SELECT *, truth - greatest(near, far) AS margin FROM b)
 SELECT count(*) AS frames, round(avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS win, round(avg(CASE WHEN truth > 0.5 THEN CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END END), 6) AS win_given_hit, round(quantile_cont(margin, 0.5), 6) AS margin_median, round(quantile_cont(truth, 0.1), 6) AS truth_p10 FROM m""",
     "cross_flight_gate": f"""WITH {_J}, b AS (SELECT own, query_id, max(CASE WHEN kind = 'truth' THEN score END) AS t, max(CASE WHEN kind <> 'truth' THEN score END) AS f FROM j GROUP BY ALL), g AS (SELECT own, count(*) AS frames, quantile_cont(t, 0.5) AS t, avg(CASE WHEN t > f THEN 1.0 ELSE 0.0 END) AS win FROM b GROUP BY own)
@@ -397,7 +354,7 @@ SELECT grp, count(*) AS n, round(avg(t), 6) AS truth, round(avg(f), 6) AS false_
     "bce_rank_accuracy": f"""WITH {_J}, l AS (SELECT query_id, kind = 'truth' AS y, score, least(greatest(score, 1e-7), 1 - 1e-7) AS p FROM j), a AS (SELECT round(avg(CASE WHEN y THEN -ln(p) ELSE -ln(1 - p) END), 6) AS bce, round(avg(CASE WHEN y THEN score END), 6) AS mean_pos, round(avg(CASE WHEN NOT y THEN score END), 6) AS mean_neg FROM l),
 q AS (SELECT avg(CASE WHEN y THEN score END) AS a, avg(CASE WHEN NOT y THEN score END) AS b FROM l GROUP BY query_id) SELECT a.*, round((SELECT avg(CASE WHEN a > b THEN 1.0 ELSE 0.0 END) FROM q), 6) AS accuracy FROM a""",
     "black_patch_gate": f"WITH {E} SELECT event_id, CASE WHEN value < 5 THEN 0.0::DOUBLE ELSE value END AS particles, CASE WHEN value < 5 THEN -1.0::DOUBLE ELSE value END AS steered, value AS coarse, value < 88 AS motion_only FROM e WHERE topic = 'click'",
-    "rotation_sweep": """WITH v AS (SELECT vec_id AS id, CAST((vec_id * 37) % 720 AS DOUBLE) AS t2 FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT id, t2, CAST(g.a AS DOUBLE) AS a0, round(cos(radians(g.a - t2 / 2)), 9) AS sc FROM v, generate_series(0, 358, 2) AS g(a) QUALIFY row_number() OVER (PARTITION BY id ORDER BY sc DESC, a0) = 1),
+    "rotation_sweep": """WITH v AS (SELECT vec_id AS id, CAST((vec_id * 37) % 720 AS DOUBLE) AS t2 FROM embeddings), c AS (SELECT id, t2, CAST(g.a AS DOUBLE) AS a0, round(cos(radians(g.a - t2 / 2)), 9) AS sc FROM v, generate_series(0, 358, 2) AS g(a) QUALIFY row_number() OVER (PARTITION BY id ORDER BY sc DESC, a0) = 1),
 f AS (SELECT id, a0 + h.k * 0.5::DOUBLE AS ang, round(cos(radians(a0 + h.k * 0.5::DOUBLE - t2 / 2)), 9) AS sc FROM c, generate_series(-8, 8) AS h(k)) SELECT id, round(ang, 6) AS angle, round(sc, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY sc DESC, ang) = 1""",
     "consensus_motion": f"""WITH {E}, v AS (SELECT *, cos(value / 30) * 5 AS dx, sin(value / 30) * 5 AS dy FROM e WHERE topic = 'view'), w AS (SELECT event_id, count(*) OVER w AS n, round(sqrt(pow(avg(dx) OVER w, 2) + pow(avg(dy) OVER w, 2)) / avg(sqrt(dx * dx + dy * dy)) OVER w, 9) AS agree, quantile_cont(dx, 0.5) OVER w AS mx, quantile_cont(dy, 0.5) OVER w AS my FROM v WINDOW w AS (PARTITION BY run ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
 SELECT event_id, round(agree, 6) AS agree, round(mx, 6) AS dx, round(my, 6) AS dy FROM w WHERE n >= 4 AND agree >= 0.6""",
@@ -405,18 +362,18 @@ SELECT event_id, round(agree, 6) AS agree, round(mx, 6) AS dx, round(my, 6) AS d
 SELECT event_id, run FROM f WHERE list_contains(list_transform(generate_series(0, 8), lambda i: CAST(round_even(i * (n - 1) / 8.0, 0) AS BIGINT)), k)""",
     "alignment_vote": f"""WITH {E}, m AS (SELECT run, event_id, value - 20.0 * floor(value / 20.0) AS dx, value * 3 - 20.0 * floor(value * 3 / 20.0) AS dy FROM e WHERE topic = 'view'), v AS (SELECT a.run, a.event_id, count(*) AS n, avg(b.dx) AS mx, avg(b.dy) AS my FROM m a JOIN m b ON a.run = b.run AND (a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy) < 4 GROUP BY ALL)
 SELECT run, n AS inliers, round(mx, 6) AS dx, round(my, 6) AS dy FROM v QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC, event_id) = 1""",
-    "softmax_weights": f"WITH {_WEIGH} SELECT run, pid, round(w, 9) AS w FROM w",
-    "ess_by_run": f"WITH {_WEIGH} SELECT run, round(1 / sum(w * w), 6) AS neff FROM w GROUP BY run",
-    "weighted_pose": f"WITH {_WEIGH}, {_EST} SELECT run, round(x, 6) AS x, round(y, 6) AS y, round(yaw, 6) AS yaw, round(scale, 6) AS scale, round(spread, 6) AS spread FROM t",
-    "systematic_resample": f"""WITH {_WEIGH}, c AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, CASE WHEN pid = max(pid) OVER (PARTITION BY run) THEN 1.0 ELSE sum(w) OVER (PARTITION BY run ORDER BY pid) END AS hi FROM w), h AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY run ORDER BY pid), 0.0) AS lo FROM c),
-g AS (SELECT DISTINCT run, n, unnest(generate_series(0, n - 1)) AS i, {_UR} AS u FROM h) SELECT g.run, g.i AS pid, round(h.x, 6) AS x, round(1.0 / g.n, 9) AS w FROM g JOIN h ON g.run = h.run AND (g.i + g.u) / g.n > h.lo AND (g.i + g.u) / g.n <= h.hi""",
-    "predict_step": f"WITH {_PART} SELECT run, pid, round(x + 4.0 * cos(yaw) + sin(yaw), 6) AS x, round(y + 4.0 * sin(yaw) - cos(yaw), 6) AS y, round(yaw + 0.1, 6) AS yaw FROM p",
-    "roughen_step": f"WITH {_PART} SELECT run, pid, round(x + 0.5 * 2.0 * {_norm('roughen:x', 'run, pid')}, 6) AS x, round(least(greatest(scale + 0.5 * 0.01 * {_norm('roughen:scale', 'run, pid')}, 0.7), 1.3), 6) AS scale FROM p",
+    "softmax_weights": _by_run(f"WITH {_WEIGH} SELECT run, pid, round(w, 9) AS w FROM w"),
+    "ess_by_run": _by_run(f"WITH {_WEIGH} SELECT run, round(1 / sum(w * w), 6) AS neff FROM w GROUP BY run"),
+    "weighted_pose": _by_run(f"WITH {_WEIGH}, {_EST} SELECT run, round(x, 6) AS x, round(y, 6) AS y, round(yaw, 6) AS yaw, round(scale, 6) AS scale, round(spread, 6) AS spread FROM t"),
+    "systematic_resample": _by_run(f"""WITH {_WEIGH}, c AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, CASE WHEN pid = max(pid) OVER (PARTITION BY run) THEN 1.0 ELSE sum(w) OVER (PARTITION BY run ORDER BY pid) END AS hi FROM w), h AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY run ORDER BY pid), 0.0) AS lo FROM c),
+g AS (SELECT DISTINCT run, n, unnest(generate_series(0, n - 1)) AS i, {_UR} AS u FROM h) SELECT g.run, g.i AS pid, round(h.x, 6) AS x, round(1.0 / g.n, 9) AS w FROM g JOIN h ON g.run = h.run AND (g.i + g.u) / g.n > h.lo AND (g.i + g.u) / g.n <= h.hi"""),
+    "predict_step": _by_run(f"WITH {_PART} SELECT run, pid, round(x + 4.0 * cos(yaw) + sin(yaw), 6) AS x, round(y + 4.0 * sin(yaw) - cos(yaw), 6) AS y, round(yaw + 0.1, 6) AS yaw FROM p"),
+    "roughen_step": _by_run(f"WITH {_PART} SELECT run, pid, round(x + 0.5 * 2.0 * {_norm('roughen:x', 'run, pid')}, 6) AS x, round(least(greatest(scale + 0.5 * 0.01 * {_norm('roughen:scale', 'run, pid')}, 0.7), 1.3), 6) AS scale FROM p"),
     "particle_init": f"WITH r AS (SELECT DISTINCT label AS run FROM embeddings), p AS (SELECT run, CAST(pid AS INTEGER) AS pid FROM r, generate_series(0, 99) AS g(pid)) SELECT run, pid, round(run * 10.0 + 25.0 * {_norm('init:x', 'run, pid')}, 6) AS x, 0.01::DOUBLE AS w FROM p",
     "mixture_init": f"WITH {_nms(4, _APART.format(10000))}, c AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM n) SELECT query_id, rank, 100 // n AS n, round((100 // n) / (n * (100 // n)), 6) AS w, x, y FROM c",
     "refined_union": f"WITH {_nms(6, _APART.format(10000))} SELECT query_id, rank, x + CASE WHEN rank < 2 THEN 8.0 ELSE 0.0 END AS x, y, CASE WHEN rank < 2 THEN 'refined' ELSE 'nominee' END AS kind FROM n",
     "dr_filter_peaks": f"WITH {_nms(6, _APART.format(10000))}, o AS (SELECT *, sqrt((x - 400.0) * (x - 400.0) + (y - 500.0) * (y - 500.0)) <= 300.0 AS ok FROM n) SELECT query_id, rank, ok, NOT bool_or(ok) OVER (PARTITION BY query_id) AS blocked FROM o",
-    "filter_step_once": f"""WITH {_PART}, q AS (SELECT run, pid, score, x + 4.0 * cos(yaw) + sin(yaw) AS x, y + 4.0 * sin(yaw) - cos(yaw) AS y, yaw + 0.1 AS yaw, scale FROM p), v AS (SELECT *, exp((score - max(score) OVER (PARTITION BY run)) / 0.05) AS e FROM q), w AS (SELECT *, e / sum(e) OVER (PARTITION BY run) AS w FROM v), {_EST}
-SELECT run, round(x, 6) AS x, round(y, 6) AS y, round(yaw, 6) AS yaw, round(scale, 6) AS scale, round(spread, 6) AS spread, round(neff, 6) AS neff FROM t""",
+    "filter_step_once": _by_run(f"""WITH {_PART}, q AS (SELECT run, pid, score, x + 4.0 * cos(yaw) + sin(yaw) AS x, y + 4.0 * sin(yaw) - cos(yaw) AS y, yaw + 0.1 AS yaw, scale FROM p), v AS (SELECT *, exp((score - max(score) OVER (PARTITION BY run)) / 0.05) AS e FROM q), w AS (SELECT *, e / sum(e) OVER (PARTITION BY run) AS w FROM v), {_EST}
+SELECT run, round(x, 6) AS x, round(y, 6) AS y, round(yaw, 6) AS yaw, round(scale, 6) AS scale, round(spread, 6) AS spread, round(neff, 6) AS neff FROM t"""),
     "waypoint_progress": f"WITH {E} SELECT event_id, CAST(max(floor(value / 25)) OVER (PARTITION BY run ORDER BY t) AS INTEGER) AS wp FROM e WHERE topic = 'view'",
 }

@@ -106,7 +106,7 @@ def test_rounding_is_half_to_even(spark):
 
 
 def test_window_of_every_place(spark, data):
-    from skylattice.plans.geo_queries import tile_window_all
+    from skylattice.plans.geo_queries import tile_window
 
     ids = [r[0] for r in spark.read.parquet(f"{data}/customer.parquet").select("c_custkey").collect()]
     want, world = set(), 256.0 * 2**17
@@ -115,7 +115,7 @@ def test_window_of_every_place(spark, data):
         px, py = (lon + 180.0) / 360.0 * world, (1.0 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2.0 * world
         span = lambda c: range(math.floor((c - 300) / 256), math.floor((c + 300) / 256) + 1)
         want |= {(i, x, y) for x in span(px) for y in span(py)}
-    got = [tuple(r) for r in tile_window_all(spark, data).collect()]
+    got = [tuple(r) for r in tile_window(spark, data).collect()]
     assert set(got) == want and len(got) == len(want) and {g[0] for g in got} == set(ids)
 
 
@@ -128,11 +128,12 @@ def test_tiles_are_placed_by_their_paths(spark, tmp_path):
     ]
     df = spark.createDataFrame(rows, "file_id long, z int, x int, y int, scheme string, rel_path string, m int").selectExpr("*", "timestamp_seconds(m) AS mtime")
     df.drop("m").write.parquet(f"{tmp_path}/tiles.parquet")
-    run = lambda name: {tuple(r) for r in QUERIES[f"{name}_paths"](spark, str(tmp_path)).collect()}
+    run = lambda name: {tuple(r) for r in QUERIES[f"{name}"](spark, str(tmp_path)).collect()}
     assert run("tile_index_upsert") == {(3, 2, 1, 2), (3, 4, 2, 3), (3, 4, 6, 4), (3, 2, 6, 5), (3, 4, 0, 7), (30, 10**9, 3, 8)}
     assert run("tile_extension_choice") == {(3, 2, 1, "a/3%2F2/1.JPG "), (3, 4, 2, "3/4/2.PNG"), (3, 4, 6, "3/4/1.jpeg"), (3, 2, 6, "3/2/1.png"), (30, 10**9, 3, "30/1000000000/3.png")}
     have = {(2, 1), (4, 2), (4, 6), (2, 6), (4, 0)}
-    assert run("missing_tiles_anti") == {(3, x, y) for x in range(2, 5) for y in range(7) if (x, y) not in have}
+    cells = [(z, x, y) for z, x0, x1, y0, y1 in run("missing_tiles_anti") for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+    assert set(cells) == {(3, x, y) for x in range(2, 5) for y in range(7) if (x, y) not in have} and len(cells) == len(set(cells))
     assert run("missing_tile_fraction") == {(3, round(1 - 5 / 21, 6), True), (30, 0.0, False)}
     counts = {r[0]: r for r in run("tile_counts_union_bbox")}
     assert counts[3][1] == 6 and counts[30][1] == 1 and counts[3][2] == pytest.approx(85.0511288) and counts[3][3] == -90.0 and counts[3][5] == 45.0
