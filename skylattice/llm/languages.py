@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import regex
 
 #: Abbreviations that end no sentence whatever follows (titles, "for example" and the like), by language.
 ALWAYS = {
@@ -59,7 +58,6 @@ def _table(values: dict[str, str]) -> dict[str, frozenset[str]]:
 _ALWAYS, _BEFORE_NUMBER, _NAMED, _ORDINAL, _FUNCTION = map(_table, (ALWAYS, BEFORE_NUMBER, NAMED_BY_LETTER, BEFORE_ORDINAL, FUNCTION_WORDS))
 #: Code points of the longest abbreviation: a longer word is none.
 LONGEST = max(len(w) for t in (_ALWAYS, _BEFORE_NUMBER) for words in t.values() for w in words)
-_WORDS = regex.compile(r"[^\W\d_]+")
 
 
 def language_of(label: str | None) -> str | None:
@@ -72,7 +70,7 @@ def language_of(label: str | None) -> str | None:
 def detect(text: str, label: str | None = None) -> tuple[str, ...]:
     """Languages in Latin script whose function words a text has: those with two or more different ones, else the one with
     most. For the language of its label one is enough."""
-    words = set(_WORDS.findall(text.lower()))
+    words = set(text.lower().split())
     counts = {k: len(words & v) + (k == label and not words.isdisjoint(v)) for k, v in _FUNCTION.items()}
     most = min(2, max(counts.values()))
     return tuple(k for k, n in counts.items() if n >= most) if most else ()

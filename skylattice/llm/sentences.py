@@ -41,8 +41,8 @@ _MARK = regex.compile(r"\s*(?:[-*+•‣▪◦–]|\[[ xX✓✗]?\]|☐|☑)\s+(
 _NUMBER = regex.compile(r"\s*\(?(\d{1,4})[.)]\s+(?=\S)")
 _HASH = regex.compile(r"\s*#{1,6}\s")
 _TERM = r"[\p{SB=STerm}\p{SB=ATerm}…‥;\u037e]"
-#: A run of terminators, then what closes after it.
-_CANDIDATE = regex.compile(_TERM + "+")
+#: A run of terminators. A full stop right before a digit (SB6) or a small letter (SB8) is passed over at once.
+_CANDIDATE = regex.compile(rf"(?!\.[0-9a-z]){_TERM}+")
 _SPACE_END = regex.compile(r"(?<=\S)\s+(?=\S)")
 _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _OPENS_WORD = frozenset("([{\"“„«»”「『（")
@@ -374,6 +374,12 @@ def _block(x: _Context, begin: int, end: int) -> list[tuple[int, int]]:
     segments: list[list] = []  # [begin, end, whole]
     number = None
     for i, (a, b) in enumerate(lines):
+        if text[a].isalpha():  # neither a log line, a heading's mark nor a list's
+            if not segments or segments[-1][2]:
+                segments.append([a, b, False])
+            else:
+                segments[-1][1] = b
+            continue
         if _LOG.match(text, a, b) or _HASH.match(text, a, b):
             segments.append([a, b, True])
             number = None
@@ -397,7 +403,7 @@ def _block(x: _Context, begin: int, end: int) -> list[tuple[int, int]]:
                 b -= 1
             out.append((a, b))
             continue
-        mark = _MARK.match(text, a, b) or _NUMBER.match(text, a, b)
+        mark = None if text[a].isalpha() else _MARK.match(text, a, b) or _NUMBER.match(text, a, b)
         skip = mark.end() if mark else a
         parts = _split_run(x, skip, b, len(lines) == 1 and not mark and _title(text[a:b]))
         if mark and parts:
