@@ -54,21 +54,24 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    single machine) is a local one made and set.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+def _shared_base(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``. Only a local session that names none gets one of its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skylattice-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder. Raises on a cluster whose session names none."""
+    ensure_checkpoint_dir(spark)
+    return f"{_shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the cluster's folder, or a local one where none is named."""
+    """Make ``DataFrame.checkpoint`` usable in the shared folder. Raises on a cluster whose session names none."""
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="skylattice-"))
+        spark.sparkContext.setCheckpointDir(_shared_base(spark))
