@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Duplicate = Callable[[Column, Column], Column]
+from skylattice.operators.sequence import ordered_fold
+
+
+@dataclass(frozen=True)
+class Duplicate:
+    """When two peaks are one: no farther apart than ``radius`` along ``axes`` and, if ``degrees`` is given, headings no
+    farther apart than that."""
+
+    radius: float
+    axes: tuple[str, ...]
+    degrees: float | None = None
+
+    def of(self, kept: pd.Series | dict, new: pd.DataFrame) -> np.ndarray:
+        """Which of the new peaks are the same as a kept one."""
+        near = sum((new[a].to_numpy(float) - kept[a]) ** 2 for a in self.axes) <= self.radius * self.radius
+        if self.degrees is None:
+            return near
+        return near & (np.abs((kept["yaw"] - new["yaw"].to_numpy(float) + 180.0) % 360.0 - 180.0) <= self.degrees)
 
 
 def within(radius: float, *axes: str) -> Duplicate:
     """Two peaks are one if they are no farther apart than the radius."""
-    return lambda kept, new: sum(((kept[a] - new[a]) * (kept[a] - new[a]) for a in axes), F.lit(0.0)) <= radius * radius
+    return Duplicate(radius, axes)
 
 
 def within_and_yaw(radius: float, degrees: float) -> Duplicate:
     """The same, but only if their headings are also close."""
-    turn = lambda a, b: F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
-    near = within(radius, "x", "y")
-    return lambda kept, new: near(kept, new) & (turn(kept["yaw"], new["yaw"]) <= degrees)
+    return Duplicate(radius, ("x", "y"), degrees)
 
 
-def suppress(peaks: DataFrame, keys: list[str], k: int, same: Duplicate, columns: tuple[str, ...] = ("score", "x", "y", "yaw"), most: int = 100_000) -> DataFrame:
+def suppress(peaks: DataFrame, keys: list[str], k: int, same: Duplicate, columns: tuple[str, ...] = ("score", "x", "y", "yaw")) -> DataFrame:
     """Greedy choice of up to ``k`` peaks per scan, best first (ties by the next columns, descending), no two the same.
 
-    A scan's grid is bounded by the map; a scan of more than ``most`` peaks raises instead of growing in one task.
+    Peaks come sorted within partitions, batch by batch; only those kept are held, and what follows the last of them is
+    passed over, so a scan may have any number of peaks. Peaks without a score are left out.
     """
-    p = peaks.select(*keys, F.struct(*columns).alias("p"))
-    lists = p.groupBy(*keys).agg(F.sort_array(F.collect_list("p"), asc=False).alias("all"))
-    guarded = F.when(F.size("all") <= most, F.col("all")).otherwise(F.raise_error(F.lit("a scan has more peaks than a grid may have")))
-    kind = lists.schema["all"].dataType.simpleString()
-    kept = F.aggregate(guarded, F.array().cast(kind), lambda acc, e: F.when((F.size(acc) < k) & ~F.exists(acc, lambda a: same(a, e)), F.concat(acc, F.array(e))).otherwise(acc))
-    return lists.select(*keys, F.posexplode(kept).alias("rank", "p")).select(*keys, "rank", "p.*")
+    types = dict(peaks.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "rank int", *(f"{c} {types[c]}" for c in columns)])
+
+    def step(kept: list[dict], rows: pd.DataFrame) -> tuple[list[dict], pd.DataFrame]:
+        begin = len(kept)
+        if begin < k:
+            free = np.ones(len(rows), bool)
+            for o in kept:
+                free &= ~same.of(o, rows)
+            while len(kept) < k and free.any():
+                new = rows.iloc[int(free.argmax())].to_dict()
+                kept.append(new)
+                free &= ~same.of(new, rows)
+        out = pd.DataFrame(kept[begin:], columns=rows.columns).assign(rank=range(begin, len(kept)))
+        return kept, out[[*keys, "rank", *columns]]
+
+    return ordered_fold(peaks.select(*keys, *columns).where(F.col(columns[0]).isNotNull()), keys, [F.desc(c) for c in columns], list, step, schema)
 
 
 def local_maxima(grid: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("problems", "temporal_queries", "geo_queries", "sequence_queries", "filter_queries", "flight_queries", "scan_queries", "dataset_queries", "state_queries")
+MODULES = ("problems", "temporal_queries", "geo_queries", "sequence_queries", "filter_queries", "flight_queries", "scan_queries", "search_queries", "dataset_queries", "state_queries")
 
 
 def collect(modules: tuple[str, ...] = MODULES) -> tuple[dict, dict]:
