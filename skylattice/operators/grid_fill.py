@@ -113,19 +113,41 @@ def _first_of_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def slot_readings(messages: DataFrame, topics: DataFrame) -> DataFrame:
+def _decode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads as what either kind of message would hold: ``imu`` and ``pose``, null where it can't be that kind."""
+    for b in batches:
+        columns, seen = [], np.zeros(b.num_rows, bool)
+        for read, width in ((imu_vectors, 6), (pose_vectors, 3)):
+            v, ok = read(b.column("data"))
+            v = np.where(ok[:, None], v[:, :width], 0.0)
+            seen |= ok
+            size = np.r_[0, np.cumsum(np.where(ok, width, 0))].astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(size), pa.array(v[ok].ravel()), mask=pa.array(~ok)))
+        at = pa.array(np.flatnonzero(seen))
+        names = ["flight", "topic_id", "timestamp", "msg_id"]
+        yield pa.RecordBatch.from_arrays([x.take(at) for x in (*(b.column(c) for c in names), *columns)], names=[*names, "imu", "pose"])
+
+
+def slot_readings(messages: DataFrame, topics: DataFrame, most_sources: int = 100_000) -> DataFrame:
     """One row per source and slot with a usable reading: the slot's first reading, its time, and the slot's last time.
 
     ``messages`` needs ``msg_id, flight, topic_id, timestamp, data``; other columns are ignored. Rows with a null
     flight or topic, a time that is null or 0, or an unusable payload are left out; a null id comes last among equals.
+    Up to ``most_sources`` sources are sent to the messages and only theirs decoded; were there more, all payloads would
+    be shuffled to meet them, so then all are decoded first, and the few numbers are shuffled.
     """
     kind = F.when(F.col("name").endswith("/imu0"), 0).when(F.col("name").endswith("/local_position/pose"), 1)
     sources = topics.select("flight", F.col("id").alias("topic_id"), kind.alias("kind")).where("kind is not null").dropDuplicates(["flight", "topic_id"])
     rows = messages.select(F.coalesce("msg_id", F.lit(2**63 - 1)).alias("msg_id"), "flight", "topic_id", "timestamp", "data").where("timestamp is not null and timestamp <> 0 and data is not null")
-    decoded = rows.join(sources, ["flight", "topic_id"]).select("flight", "topic_id", "kind", "timestamp", "msg_id", "data")
-    schema = "flight string, topic_id int, kind int, slot long, first_ts long, msg_id long, last_ts long, vals array<double>"
-    cells = decoded.mapInArrow(_first_of_slot, schema)
     best = F.min(F.struct("first_ts", "msg_id", "vals"))
+    if sources.limit(most_sources + 1).count() <= most_sources:
+        decoded = rows.join(F.broadcast(sources), ["flight", "topic_id"]).select("flight", "topic_id", "kind", "timestamp", "msg_id", "data")
+        cells = decoded.mapInArrow(_first_of_slot, "flight string, topic_id int, kind int, slot long, first_ts long, msg_id long, last_ts long, vals array<double>")
+    else:
+        both = rows.mapInArrow(_decode_all, "flight string, topic_id int, timestamp long, msg_id long, imu array<double>, pose array<double>")
+        vals = F.when(F.col("kind") == 0, F.col("imu")).otherwise(F.concat("pose", F.array(*[F.lit(float("nan"))] * 3)))
+        cells = both.join(sources, ["flight", "topic_id"]).withColumn("vals", vals).where("vals is not null")
+        cells = cells.select("flight", "topic_id", "kind", F.floor(F.col("timestamp") / SLOT_NS).alias("slot"), F.col("timestamp").alias("first_ts"), "msg_id", F.col("timestamp").alias("last_ts"), "vals")
     return cells.groupBy("flight", "topic_id", "kind", "slot").agg(best.alias("b"), F.max("last_ts").alias("last_ts")).select("flight", "topic_id", "kind", "slot", "b.first_ts", "last_ts", "b.vals")
 
 
@@ -137,8 +159,12 @@ def regular_series(messages: DataFrame, topics: DataFrame, window: int = 512, ra
     values x, y, z. A silence longer than 10 s is a stop of the recorder: the series ends there and starts anew. Empty
     tables give an empty result; repeated deliveries count once.
     """
+    return fill_cells(slot_readings(messages, topics), window, rank, lags)
+
+
+def fill_cells(cells: DataFrame, window: int = 512, rank: int = 4, lags: int = 4) -> DataFrame:
+    """The series of ``slot_readings``; see ``regular_series``."""
     halo = MAX_GAP_NS // SLOT_NS + 1
-    cells = slot_readings(messages, topics)
     bucket = F.floor(F.col("slot") / window)
     at = F.col("slot") - bucket * window
     near = F.array(bucket, F.when(at < halo, bucket - 1), F.when(at >= window - lags, bucket + 1))
@@ -188,3 +214,20 @@ def regular_series(messages: DataFrame, topics: DataFrame, window: int = 512, ra
 def missing_slots(series: DataFrame) -> DataFrame:
     """The slots of a regular series that held no usable reading."""
     return series.where("status <> 'observed'").select("flight", "topic_id", "slot")
+
+
+def fill_errors(cells: DataFrame, every: int = 15) -> DataFrame:
+    """How well the factorisation fills: ``kind, hidden, filled, error, mean_error``.
+
+    One reading in ``every``, drawn by hash, is hidden and filled; ``error`` is the root mean square of the difference in
+    standard deviations of its source's channel, ``mean_error`` that of putting the channel's mean there instead.
+    """
+    hide = F.pmod(F.xxhash64("flight", "topic_id", "slot"), F.lit(every)) == 0
+    key = ["flight", "topic_id"]
+    values = cells.select(*key, "kind", "slot", F.posexplode("vals").alias("channel", "x")).where("not isnan(x)")
+    usual = values.where(~hide).groupBy(*key, "channel").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    hidden = values.where(hide)
+    filled = fill_cells(cells.where(~hide)).where("status = 'filled'").select(*key, "slot", F.posexplode("vals").alias("channel", "y"))
+    j = hidden.join(usual.where("s > 0"), [*key, "channel"]).join(filled, [*key, "slot", "channel"], "left")
+    rms = lambda c: F.sqrt(F.avg(F.when(F.col("y").isNotNull(), ((F.col("x") - F.col(c)) / F.col("s")) ** 2)))
+    return j.groupBy(F.when(F.col("kind") == 0, "imu").otherwise("pose").alias("kind")).agg(F.count("*").alias("hidden"), F.count("y").alias("filled"), rms("y").alias("error"), rms("m").alias("mean_error"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.operators.grid_fill import missing_slots, regular_series
+from skylattice.operators.grid_fill import fill_errors, missing_slots, regular_series, slot_readings
 from skylattice.operators.outliers import flag_implausible
 from skylattice.session import load_table, shared_dir
 from skylattice.streaming.compaction import compact_tiles, copies
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return missing_slots(p1_series(spark, d))
 
 
+def p1_fill_errors(spark: SparkSession, d: str) -> DataFrame:
+    """How far hidden readings are filled off, against their source's mean."""
+    return fill_errors(slot_readings(load_table(spark, d, "messages"), load_table(spark, d, "topics")))
+
+
 def p2_flags(spark: SparkSession, d: str) -> DataFrame:
     """Implausible values and why."""
     return flag_implausible(load_table(spark, d, "vehicle_global_position"))
@@ -59,7 +64,7 @@ WITH plain AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_flags, p4_found, p4_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_series, p1_fill_errors, p2_found, p2_flags, p4_found, p4_records)}
 ORACLES = {
     "p4_found": _TILES + "SELECT a.file_id AS file_a, b.file_id AS file_b FROM tile a JOIN tile b ON a.z = b.z AND a.x = b.x AND a.y = b.y AND a.data = b.data AND a.file_id < b.file_id",
     "p4_records": _TILES + "SELECT z, x, y, sha256(data) AS digest, min(file_id) AS file_id, CAST(octet_length(any_value(data)) AS BIGINT) AS size FROM tile GROUP BY z, x, y, sha256(data)",

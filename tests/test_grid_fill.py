@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from skylattice.operators.grid_fill import als_complete, complete_series, missing_slots, regular_series
+from skylattice.operators.grid_fill import als_complete, complete_series, fill_errors, missing_slots, regular_series, slot_readings
 
 S = 500_000_000
 MSG = "msg_id long, flight string, topic_id int, timestamp long, data binary, slot int"
@@ -103,6 +103,23 @@ def test_null_ids_and_names_still_count(spark):
     assert len(out) == 40 and [r.slot - 9000 for r in out if r.status != "observed"] == [20]
 
 
+def test_many_sources_give_the_same_readings(spark):
+    rng = np.random.default_rng(11)
+    rows = [("f", int(rng.integers(1, 4)), int(s) * S // 3, [imu(rng.normal(size=6)), pose(rng.normal(size=3)), b"x" * 60, None, imu([np.nan] * 6), b""][int(rng.integers(0, 6))]) for s in rng.integers(1, 400, 500)]
+    m, t = build(spark, rows)
+    few, many = (sorted(map(repr, slot_readings(m, t, n).collect())) for n in (100, 0))
+    assert few == many and len(few) > 50
+
+
+def test_fill_errors(spark):
+    track = lambda s: [10 * np.sin(s / 20), 0.5 * s, 30.0]
+    rows = [("f", 2, (1000 + s) * S + 3, pose(track(s))) for s in range(600)]
+    (r,) = fill_errors(slot_readings(*build(spark, rows))).collect()
+    assert r.kind == "pose" and r.hidden % 2 == 0 and r.hidden > 40 and r.filled == r.hidden
+    assert r.error < 0.2 < r.mean_error  # the channel that never changes isn't scored
+    assert fill_errors(slot_readings(*build(spark, []))).count() == 0
+
+
 def test_empty_tables(spark):
     assert regular_series(*build(spark, [])).count() == 0
     assert regular_series(*build(spark, [("f", 2, S, pose([1, 2, 3]))], topics=())).count() == 0
