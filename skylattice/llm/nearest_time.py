@@ -70,12 +70,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, bucket: i
     id counts. At equal distance the earlier right row is taken; of right rows of several topics at one time, that of
     the smallest topic. A left row with no right row within ``tolerance`` has no pair. Empty sides give no pairs.
     """
+    side = lambda df, right: df.select("entity", "t", "topic", "id", F.lit(right).alias("right"))
+    return nearest_of_sides(side(left, False).unionByName(side(right, True)), tolerance, bucket)
+
+
+def nearest_of_sides(rows: DataFrame, tolerance: int, bucket: int | None = None) -> DataFrame:
+    """The same of rows of both sides in one table, read once: ``right`` says which side a row is on; null, neither."""
     width = bucket or max(400 * tolerance, 4)
     offset = F.pmod("t", F.lit(width))
     b = F.expr(f"(t - pmod(t, {width}L)) div {width}L")  # whole numbers: nanoseconds don't fit a double
-    ok = "id is not null and entity is not null and t is not null"
-    lrows = left.where(ok).select("entity", b.alias("bucket"), "t", F.coalesce("topic", F.lit(-1)).alias("topic"), "id", F.lit(False).alias("right"))
-    spread = F.filter(F.array(b, F.when(offset <= tolerance, b - 1), F.when(offset >= width - tolerance, b + 1)), lambda x: x.isNotNull())
-    rrows = right.where(ok).select("entity", F.explode(spread).alias("bucket"), "t", F.coalesce("topic", F.lit(-1)).alias("topic"), "id", F.lit(True).alias("right"))
-    rows = lrows.unionByName(rrows).repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "t", F.desc("right"), "topic", "id")
-    return rows.mapInArrow(_merge(tolerance), _OUT)
+    edges = F.when(F.col("right"), F.array(F.when(offset <= tolerance, b - 1), F.when(offset >= width - tolerance, b + 1))).otherwise(F.array())
+    at = F.filter(F.concat(F.array(b), edges), lambda x: x.isNotNull())
+    rows = rows.where("id is not null and entity is not null and t is not null and right is not null")
+    rows = rows.select("entity", F.explode(at).alias("bucket"), "t", F.coalesce("topic", F.lit(-1)).alias("topic"), "id", "right")
+    return rows.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "t", F.desc("right"), "topic", "id").mapInArrow(_merge(tolerance), _OUT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm.encoding import encode_corpus
-from skylattice.llm.nearest_time import nearest_in_time
+from skylattice.llm.nearest_time import nearest_of_sides
 from skylattice.llm.packing import pack, token_sizes
 from skylattice.llm.sentences import split_sentences
 from skylattice.llm.splits import assign_splits, leaking_areas
@@ -25,15 +25,24 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(*(load_table(spark, d, t) for t in ("bank_meta", "real_pairs", "split_targets")))
 
 
-def _topic_rows(spark: SparkSession, d: str, ending: str) -> DataFrame:
-    topics = load_table(spark, d, "topics").where(F.col("name").endswith(ending)).select("flight", F.col("id").alias("topic_id")).distinct()
-    rows = load_table(spark, d, "messages").select("msg_id", "flight", "topic_id", "timestamp").where("timestamp is not null and timestamp <> 0")
-    return rows.join(topics, ["flight", "topic_id"]).select(F.col("msg_id").alias("id"), F.col("flight").alias("entity"), F.col("topic_id").alias("topic"), F.col("timestamp").alias("t"))
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each split's share of the records, wanted and got, and how many of its groups have records in another split."""
+    groups = p3_splits(spark, d).groupBy("component").agg(F.count("*").alias("n"), F.min("split").alias("split"), (F.min("split") != F.max("split")).alias("torn"))
+    got = groups.groupBy("split").agg(F.sum("n").alias("n"), F.count_if("torn").alias("torn"))
+    everything = got.agg(F.sum("n").alias("all"))
+    wanted = load_table(spark, d, "split_targets").where("split is not null and share > 0")
+    total = wanted.agg(F.sum("share").alias("whole"))
+    j = wanted.join(got, "split", "left").join(F.broadcast(everything)).join(F.broadcast(total))  # one row each
+    return j.select("split", F.round(F.col("share") / F.col("whole"), 6).alias("wanted"), F.round(F.coalesce(F.col("n"), F.lit(0)) / F.col("all"), 6).alias("got"), F.coalesce("torn", F.lit(0)).alias("torn"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every camera frame with the nearest pose of its flight and their distance in time."""
-    return nearest_in_time(_topic_rows(spark, d, "/cam0/image_raw"), _topic_rows(spark, d, "/local_position/pose"), TOLERANCE_NS)
+    right = F.when(F.col("name").endswith("/cam0/image_raw"), False).when(F.col("name").endswith("/local_position/pose"), True)
+    topics = load_table(spark, d, "topics").select("flight", F.col("id").alias("topic_id"), right.alias("right")).where("right is not null").distinct()
+    rows = load_table(spark, d, "messages").select("msg_id", "flight", "topic_id", "timestamp").where("timestamp is not null and timestamp <> 0")
+    sides = rows.join(topics, ["flight", "topic_id"]).select(F.col("msg_id").alias("id"), F.col("flight").alias("entity"), F.col("topic_id").alias("topic"), F.col("timestamp").alias("t"), "right")
+    return nearest_of_sides(sides, TOLERANCE_NS)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +88,7 @@ b AS (SELECT id, CASE WHEN zt IS NULL OR t - pt <= zt - t THEN pid ELSE zid END
 SELECT {columns} FROM b WHERE gap <= 150000000
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p5_found, p5_pairs, p6_ids, p6_offsets, p7_pack, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_shares, p5_found, p5_pairs, p6_ids, p6_offsets, p7_pack, p8_found, p8_sentences)}
 ORACLES = {
     "p5_found": _P5.format(columns="least(id, other) AS msg_a, greatest(id, other) AS msg_b"),
     "p5_pairs": _P5.format(columns="id AS left_id, other AS right_id, gap"),
