@@ -1,7 +1,9 @@
-"""Similarity of feature vectors: a pluggable scorer over Arrow batches, and exact search.
+"""Similarity of feature vectors: a pluggable scorer over blocks, and exact search.
 
-A stated set of queries is taken in blocks of bounded size; a block is sent to all tasks, each of which multiplies it
-with its batches of rows and keeps what the caller wants of the products. Nothing is paired by a join.
+Both sides are packed into blocks of a few thousand vectors, one row each, where they lie; every block of rows meets
+every block of the stated queries, on the executors, and a task multiplies two blocks and keeps what the caller wants of
+the product. The queries' blocks are sent to all tasks only while they are known to be few; beyond that Spark pairs the
+blocks by partitions. Nothing is collected and no rows are paired by a join.
 """
 
 from __future__ import annotations
@@ -10,10 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Most stated queries that are sent to every task: at 1,000 numbers a vector these are 400 MB.
+MOST_SENT = 50_000
 
 
 def logistic_score(queries: np.ndarray, rows: np.ndarray, scale: float = 5.0) -> np.ndarray:
@@ -21,72 +26,71 @@ def logistic_score(queries: np.ndarray, rows: np.ndarray, scale: float = 5.0) ->
     return 1.0 / (1.0 + np.exp(-scale * (rows @ queries.T)))
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    for k in range(parts):
-        rows = dealt.where(F.col("_b") == k).orderBy("id").select("id", "vec").collect()  # about ``block`` rows
-        if rows:
-            yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+def _packed(df: DataFrame, extra: list[str], name: str, block: int) -> DataFrame:
+    """One row for each ``block`` vectors: ``{name}_ids``, ``{name}_vecs`` (their numbers in one binary), and the extra columns as arrays."""
+    types = dict(df.dtypes)
+    schema = f"{name}_ids array<long>, {name}_vecs binary" + "".join(f", {name}_{c} array<{types[c]}>" for c in extra)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, block):
+                part = b.slice(lo, block)
+                n = part.num_rows
+                one = lambda v, n=n: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), v)
+                numbers = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                columns = [one(part.column(0)), pa.array([numbers.tobytes()], pa.binary()), *(one(part.column(2 + k)) for k in range(len(extra)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"{name}_ids", f"{name}_vecs", *(f"{name}_{c}" for c in extra)])
 
-def score_pairs(queries: DataFrame, rows: DataFrame, extra: list[str], scorer: Callable[[np.ndarray, np.ndarray], np.ndarray] = logistic_score, block: int = BLOCK) -> DataFrame:
+    return df.where("id is not null and vec is not null and size(vec) > 0").select("id", "vec", *extra).mapInArrow(run, schema)
+
+
+def _met(queries: DataFrame, rows: DataFrame, extra: list[str], block: int, most_sent: int) -> DataFrame:
+    """Blocks of rows beside blocks of queries."""
+    stated = queries.where("vec is not null").select("id", "vec")
+    few = stated.limit(most_sent + 1).count() <= most_sent
+    parts = _packed(stated.coalesce(1) if few else stated, [], "q", block)
+    return _packed(rows, extra, "r", block).crossJoin(F.broadcast(parts) if few else parts)
+
+
+def _matrices(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    q, r = np.asarray(row["q_ids"]), np.asarray(row["r_ids"])
+    return q, np.frombuffer(row["q_vecs"]).reshape(len(q), -1), r, np.frombuffer(row["r_vecs"]).reshape(len(r), -1)
+
+
+def score_pairs(queries: DataFrame, rows: DataFrame, extra: list[str], scorer: Callable[[np.ndarray, np.ndarray], np.ndarray] = logistic_score, block: int = BLOCK, most_sent: int = MOST_SENT) -> DataFrame:
     """Scores of every row against the stated queries: ``query_id, row_id, score`` and the rows' ``extra`` columns.
 
-    Both sides have ``id`` and ``vec``; rows with a null vector are left out. Queries are those stated by the caller.
+    Both sides have ``id`` and ``vec``; rows with a null id or vector are left out. Queries are those stated by the caller.
     """
-    spark = rows.sparkSession
-    rows = rows.where("vec is not null").select("id", "vec", *extra)
     types = dict(rows.dtypes)
     schema = "query_id long, row_id long, score double" + "".join(f", {c} {types[c]}" for c in extra)
-    out = None
-    for ids, vecs in _blocks(queries.where("vec is not null"), block):
-        sent = spark.sparkContext.broadcast((ids, vecs))  # at most a few ``block`` vectors
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q, v = sent.value
-            for b in batches:
-                if b.empty:
-                    continue
-                s = scorer(v, np.stack(b["vec"].to_numpy()).astype(np.float64))
-                res = {"query_id": np.tile(q, len(b)), "row_id": np.repeat(b["id"].to_numpy(), len(q)), "score": s.ravel()}
-                yield pd.DataFrame(res | {c: np.repeat(b[c].to_numpy(), len(q)) for c in extra})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                q, v, r, m = _matrices(row)
+                res = {"query_id": np.tile(q, len(r)), "row_id": np.repeat(r, len(q)), "score": scorer(v, m).ravel()}
+                yield pd.DataFrame(res | {c: np.repeat(np.asarray(row[f"r_{c}"]), len(q)) for c in extra})
 
-        part = rows.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return _met(queries, rows, extra, block, most_sent).mapInPandas(run, schema)
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, most_sent: int = MOST_SENT) -> DataFrame:
     """The ``k`` rows most similar to each stated query by dot product: ``query_id, row_id, score, rank``; ties by id.
 
-    Every task keeps ``k`` candidates per query and batch, so what is shuffled doesn't grow with the number of rows times
+    Every pair of blocks keeps ``k`` candidates a query, so what is shuffled doesn't grow with the number of rows times
     that of queries.
     """
-    spark = rows.sparkSession
-    rows = rows.where("vec is not null").select("id", "vec")
-    schema = "query_id long, row_id long, score double"
-    out = None
-    for ids, vecs in _blocks(queries.where("vec is not null"), block):
-        sent = spark.sparkContext.broadcast((ids, vecs))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q, v = sent.value
-            for b in batches:
-                if b.empty:
-                    continue
-                row = b["id"].to_numpy()
-                s = (np.stack(b["vec"].to_numpy()).astype(np.float64) @ v.T).T
-                order = np.lexsort((np.broadcast_to(row, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q, order.shape[1]), "row_id": row[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        part = rows.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    # the final choice as a bounded heap per query: the best k of arrays already cut to k by partial aggregation
-    from pyspark.sql import Window
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                q, v, r, m = _matrices(row)
+                s = v @ m.T
+                order = np.lexsort((np.broadcast_to(r, s.shape), -s), axis=1)[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(q, order.shape[1]), "row_id": r[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    out = _met(queries, rows, [], block, most_sent).mapInPandas(run, "query_id long, row_id long, score double")
+    # the best k of arrays already cut to k: Spark's group limit cuts them again before the shuffle
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
