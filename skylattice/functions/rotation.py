@@ -58,6 +58,24 @@ def gravity_tilt(gx: Column, gy: Column, gz: Column) -> tuple[Column, Column]:
     return F.when(ok, F.atan2(gy, gz)), F.when(ok, F.atan2(-gx, F.sqrt(gy * gy + gz * gz)))
 
 
+def camera_tilt(q: Quat) -> tuple[Column, Column]:
+    """(roll, pitch) of a downward camera from its attitude in the world: where gravity lies in its axes."""
+    down = [-c for c in quat_matrix(q)[2]]
+    return F.atan2(down[1], down[2]), -F.asin(F.least(F.greatest(down[0], F.lit(-1.0)), F.lit(1.0)))
+
+
+def level_axes(q: Quat) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """A camera's image axes with tilt taken out, as unit vectors of the horizontal plane: to the right, and down the image.
+
+    The right one is the camera's own laid flat; if that stands upright, it is the one square to the image's other axis.
+    """
+    r = quat_matrix(q)
+    n, m = F.hypot(r[0][0], r[1][0]), F.greatest(F.hypot(r[0][1], r[1][1]), F.lit(1e-9))
+    x = F.when(n < 1e-6, -r[1][1] / m).otherwise(r[0][0] / n)
+    y = F.when(n < 1e-6, r[0][1] / m).otherwise(r[1][0] / n)
+    return (x, y), (y, -x)
+
+
 def mat_vec(m: list[list[float]], v: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
     """A fixed matrix times a vector."""
     return tuple(sum((F.lit(float(k)) * c for k, c in zip(row[1:], v[1:])), F.lit(float(row[0])) * v[0]) for row in m)

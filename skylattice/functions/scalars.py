@@ -69,6 +69,18 @@ def health_state(k: Column, ready: Column, gated: Column, recovering: Column, lo
     )
 
 
+def source_pixels(coverage: Column, gsd: float) -> Column:
+    """Map pixels that a patch of so many metres takes."""
+    return coverage / gsd
+
+
+def homeward(x: Column, y: Column, speed: float) -> tuple[Column, Column, Column]:
+    """(north, east, heading) of a velocity towards the map's centre; null without a position."""
+    d = F.greatest(F.hypot(x, y), F.lit(1e-3))
+    north, east = -speed * y / d, -speed * x / d
+    return north, east, F.atan2(east, north)
+
+
 def planned_speed(distance: Column, cap: float, gain: float = 0.7) -> Column:
     """Speed of a proportional controller."""
     return F.least(F.lit(cap), gain * distance)

@@ -74,7 +74,43 @@ def health_states(spark: SparkSession, d: str) -> DataFrame:
     return bits.select("row_id", scalars.health_state(*[F.col(c) for c in ("k", "ready", "gated", "recovering", "lost")]).alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (odometry_classes, motion_source, teleport_gate, gravity_tilt_filter, health_states)}
+def _attitudes(spark: SparkSession, d: str) -> DataFrame:
+    """Fixes with a unit quaternion made of their angles."""
+    f = fixes(spark, d)
+    n = F.sqrt(F.col("roll") ** 2 + F.col("pitch") ** 2 + F.col("yaw") ** 2 + 3600.0)
+    return f.select("*", (F.col("roll") / n).alias("qx"), (F.col("pitch") / n).alias("qy"), (F.col("yaw") / n).alias("qz"), (60.0 / n).alias("qw"))
+
+
+def camera_tilt_world(spark: SparkSession, d: str) -> DataFrame:
+    """Roll and pitch of a downward camera, and its image axes laid flat, from its attitude in the world."""
+    q = tuple(F.col(c) for c in ("qx", "qy", "qz", "qw"))
+    (roll, pitch), (right, down) = rotation.camera_tilt(q), rotation.level_axes(q)
+    return _attitudes(spark, d).select("row_id", r6(roll).alias("roll"), r6(pitch).alias("pitch"), r6(right[0]).alias("right_x"), r6(right[1]).alias("right_y"), r6(down[0]).alias("down_x"), r6(down[1]).alias("down_y"))
+
+
+def return_velocity(spark: SparkSession, d: str) -> DataFrame:
+    """Velocity towards the map's centre at each fix, and the map pixels a patch of its height takes."""
+    north, east, heading = scalars.homeward(F.col("x"), F.col("y"), 8.0)
+    return fixes(spark, d).select("row_id", r6(north).alias("north"), r6(east).alias("east"), r6(heading).alias("heading"), r6(scalars.source_pixels(F.col("alt"), 0.3)).alias("pixels"))
+
+
+def trajectory_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per flight the error of the last frame, the mean of all and that of the later half; the error is how far off 300 m it flies."""
+    f = fixes(spark, d).where("alt is not null and not isnan(alt)").withColumn("err", F.abs(F.col("alt") - 300.0))
+    k = seq.index_in_order(f, ["flight"], "k", ("t", "row_id"), SPAN_S)
+    n = k.groupBy("flight").agg(F.count("*").alias("n"))
+    warm = F.when(F.col("k") >= F.floor(F.col("n") / 2), F.col("err"))
+    g = k.join(n, "flight").groupBy("flight").agg(F.max_by("err", "k").alias("last"), F.avg("err").alias("mean"), F.avg(warm).alias("warm"))
+    return g.select("flight", *[r6(c, 3).alias(c) for c in ("last", "mean", "warm")])
+
+
+def altitude_floor(spark: SparkSession, d: str, floor: float = 30.0) -> DataFrame:
+    """Frames of each flight kept and skipped for being too near the ground."""
+    low = F.coalesce(F.col("alt") < floor, F.lit(True))
+    return fixes(spark, d).groupBy("flight").agg(F.count_if(~low).alias("kept"), F.count_if(low).alias("skipped"))
+
+
+QUERIES = {f.__name__: f for f in (odometry_classes, motion_source, teleport_gate, gravity_tilt_filter, health_states, camera_tilt_world, return_velocity, trajectory_report, altitude_floor)}
 _FIXES = """f AS (SELECT row_id, flight, t_us / 1e6 AS t, radians(lon - 100.0) * 5523628.670 AS x, radians(lat - 30.0) * 6378137.0 AS y, CAST(alt AS DOUBLE) AS alt,
   (row_id * 7) % 113 - 56.0 AS roll, (row_id * 11) % 110 - 54.0 AS pitch, CAST((row_id * 13) % 71 AS DOUBLE) AS yaw FROM vehicle_global_position WHERE t_us IS NOT NULL AND CAST(lat AS VARCHAR) <> 'nan' AND CAST(lon AS VARCHAR) <> 'nan')"""
 #: Written from what the states mean: a sane attitude within grown limits is ok, beyond them an anchor, all else is bad.
@@ -89,4 +125,13 @@ ORACLES = {
 CASE WHEN u THEN 1.5::DOUBLE ELSE 0.6::DOUBLE END AS noise, class <> 'bad' AS anchor FROM (SELECT *, class = 'ok' AND dt IS NOT NULL AS u FROM c)""",
     "health_states": f"""WITH {_FIXES} SELECT row_id, CASE WHEN row_id % 50 = 0 THEN 'no_frames' WHEN row_id % 13 = 0 THEN 'init_wait' WHEN alt < 100 THEN 'motion_only' WHEN row_id % 5 = 0 THEN 'recovering'
 WHEN row_id % 3 > 0 THEN 'lost' ELSE 'tracking' END AS state FROM f""",
+    "camera_tilt_world": f"""WITH {_FIXES}, n AS (SELECT row_id, roll / l AS x, pitch / l AS y, yaw / l AS z, 60.0 / l AS w FROM (SELECT *, sqrt(roll * roll + pitch * pitch + yaw * yaw + 3600.0) AS l FROM f)),
+r AS (SELECT row_id, 1 - 2 * (y * y + z * z) AS a, 2 * (x * y + z * w) AS b, 2 * (x * y - z * w) AS c, 1 - 2 * (x * x + z * z) AS d, 2 * (x * z - y * w) AS g0, 2 * (y * z + x * w) AS g1, 1 - 2 * (x * x + y * y) AS g2 FROM n),
+h AS (SELECT *, sqrt(a * a + b * b) AS hn, greatest(sqrt(c * c + d * d), 1e-9) AS hm FROM r), k AS (SELECT *, CASE WHEN hn < 1e-6 THEN -d / hm ELSE a / hn END AS rx, CASE WHEN hn < 1e-6 THEN c / hm ELSE b / hn END AS ry FROM h)
+SELECT row_id, round(atan2(-g1, -g2), 6) AS roll, round(asin(least(greatest(g0, -1.0), 1.0)), 6) AS pitch, round(rx, 6) AS right_x, round(ry, 6) AS right_y, round(ry, 6) AS down_x, round(-rx, 6) AS down_y FROM k""",
+    "return_velocity": f"""WITH {_FIXES}, v AS (SELECT row_id, alt, -8.0 * y / greatest(sqrt(x * x + y * y), 1e-3) AS n, -8.0 * x / greatest(sqrt(x * x + y * y), 1e-3) AS e FROM f)
+SELECT row_id, round(n, 6) AS north, round(e, 6) AS east, round(atan2(e, n), 6) AS heading, round(alt / 0.3, 6) AS pixels FROM v""",
+    "trajectory_report": f"""WITH {_FIXES}, o AS (SELECT flight, abs(alt - 300.0) AS err, row_number() OVER (PARTITION BY flight ORDER BY t, row_id) - 1 AS k, count(*) OVER (PARTITION BY flight) AS n FROM f WHERE CAST(alt AS VARCHAR) <> 'nan')
+SELECT flight, round(arg_max(err, k), 3) AS last, round(avg(err), 3) AS mean, round(avg(CASE WHEN k >= n // 2 THEN err END), 3) AS warm FROM o GROUP BY flight""",
+    "altitude_floor": f"WITH {_FIXES} SELECT flight, count(*) FILTER (NOT coalesce(alt < 30.0, true)) AS kept, count(*) FILTER (coalesce(alt < 30.0, true)) AS skipped FROM f GROUP BY flight",
 }

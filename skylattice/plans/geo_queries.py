@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, rotation, scalars
-
 from skylattice.operators.tile_paths import tile_of
 from skylattice.plans.common import E, events, r6
 from skylattice.session import load_table

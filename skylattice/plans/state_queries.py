@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.functions import rotation
+from skylattice.operators.images import ground_patches
+from skylattice.operators.temporal import bracket_join, nearest
 from skylattice.plans.common import E, events, r6
 from skylattice.session import load_table
 from skylattice.sources import decoders
@@ -40,6 +45,20 @@ def decode_health(spark: SparkSession, d: str) -> DataFrame:
     return decoders.health(*_messages(spark, d))
 
 
+def camera_patches(spark: SparkSession, d: str) -> DataFrame:
+    """The ground under each camera frame, at the height and tilt of the nearest pose within 150 ms."""
+    m, t = _messages(spark, d)
+    timed = "timestamp is not null and timestamp <> 0"
+    frames = decoders.of_topic(m, t, "/cam0/image_raw").where(timed)
+    poses = decoders.poses(m, t).where(f"ok and {timed}").select("flight", (F.col("timestamp") / 1e9).alias("t"), "z", "qx", "qy", "qz", "qw")
+    at = bracket_join(frames.select("msg_id", "flight", (F.col("timestamp") / 1e9).alias("t")), poses, ["flight"], ["z", "qx", "qy", "qz", "qw"], 600.0)
+    p = at.select("msg_id", nearest(tolerance=0.15).alias("p")).where("p is not null").groupBy("msg_id").agg(F.first("p").alias("p"))
+    roll, pitch = rotation.camera_tilt(tuple(F.col(f"p.{c}") for c in ("qx", "qy", "qz", "qw")))
+    placed = frames.select("msg_id", "data").join(p.select("msg_id", F.col("p.z").alias("altitude"), (roll - math.pi * F.signum(roll)).alias("roll"), pitch.alias("pitch")), "msg_id")
+    out = ground_patches(placed, size_m=24.0)
+    return out.select("msg_id", "coverage", r6("centre_x").alias("centre_x"), r6("centre_y").alias("centre_y"), "shifted", F.octet_length("patch").alias("pixels"), F.sha2("patch", 256).alias("digest"), "error")
+
+
 def topic_rates(spark: SparkSession, d: str) -> DataFrame:
     """Messages, span and mean rate of each topic, without payloads."""
     m, t = _messages(spark, d)
@@ -87,7 +106,7 @@ def drop_oldest_stream(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (decode_imu, decode_pose, decode_frames, decode_health, topic_rates, tracker_machine_batch, tracker_machine_stream, health_stream, interval_join_stream, drop_oldest_stream)
+    for f in (decode_imu, decode_pose, decode_frames, decode_health, camera_patches, topic_rates, tracker_machine_batch, tracker_machine_stream, health_stream, interval_join_stream, drop_oldest_stream)
 }
 ORACLES = {
     "topic_rates": """WITH g AS (SELECT flight, topic_id, count(*) AS n, max("timestamp") - min("timestamp") AS span FROM messages WHERE "timestamp" IS NOT NULL AND "timestamp" <> 0 GROUP BY ALL)
