@@ -194,15 +194,43 @@ def _smooth(x: np.ndarray, last: float | None, alpha: float, block: int = 128) -
     return out
 
 
-def ema(df: DataFrame, keys: list[str], alpha: float, order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
-    """Adds ``ema`` of ``value``: seeded with the first value. Null values are left out."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ema double"
-
-    def step(last: float | None, rows: pd.DataFrame) -> tuple[float, pd.DataFrame]:
-        y = _smooth(rows["value"].to_numpy(float), last, alpha)
-        return float(y[-1]), rows.assign(ema=y)
+def ema(df: DataFrame, keys: list[str], alpha: float, order: tuple[str, ...] = ("t", "event_id"), width: float | None = None) -> DataFrame:
+    """Adds ``ema`` of ``value``: seeded with the first value. Null values are left out.
 
-    return ordered_fold(df.where("value is not null"), keys, list(order), lambda: None, step, schema)
+    A step is an affine map of the last output, and so is a whole bucket of them: buckets of time are smoothed side by
+    side as if nothing came before, one row a bucket carries what does, and it is added with its decay. ``width`` is a
+    bucket's; where nothing is said a small input is one fold a key, a large one is divided by the densest key's rate.
+    """
+    rows = df.where("value is not null")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ema double"
+    given, width = width is not None, width or bucket_width(df, keys, order[0])
+
+    def step(last: float | None, b: pd.DataFrame) -> tuple[float, pd.DataFrame]:
+        y = _smooth(b["value"].to_numpy(float), last, alpha)
+        return float(y[-1]), b.assign(ema=y)
+
+    if not given and width in (WEEK_S, float(1 << 62)):  # no key is worth dividing
+        return ordered_fold(rows, keys, list(order), lambda: None, step, schema)
+
+    def own(state: tuple[float, int], b: pd.DataFrame) -> tuple[tuple[float, int], pd.DataFrame]:
+        y = _smooth(b["value"].to_numpy(float), state[0], alpha)
+        return (float(y[-1]), state[1] + len(b)), b.assign(_y=y, _n=np.arange(state[1] + 1, state[1] + len(b) + 1))
+
+    def carry(last: float | None, b: pd.DataFrame) -> tuple[float, pd.DataFrame]:
+        before = np.empty(len(b))
+        for k, (y, n, x) in enumerate(zip(b["_last"].to_numpy(float), b["_size"].to_numpy(float), b["_first"].to_numpy(float))):
+            before[k] = x if last is None else last  # the first value of all stands for itself
+            last = y + (1 - alpha) ** n * before[k]
+        return last, b[[*keys, "_b"]].assign(_before=before)
+
+    types = dict(df.dtypes)
+    key = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    apart = ordered_fold(rows.withColumn("_b", F.floor(F.col(order[0]) / width)), [*keys, "_b"], list(order), lambda: (0.0, 0), own, f"{base}, _b long, _y double, _n long")
+    ends = apart.groupBy(*keys, "_b").agg(F.max_by("_y", "_n").alias("_last"), F.max("_n").alias("_size"), F.min_by("value", "_n").alias("_first"))
+    starts = ordered_fold(ends, keys, ["_b"], lambda: None, carry, f"{key}, _b long, _before double")
+    out = apart.join(starts, [*keys, "_b"])
+    return out.select(*df.columns, (F.col("_y") + F.pow(F.lit(1 - alpha), F.col("_n")) * F.col("_before")).alias("ema"))
 
 
 def lowpass_wrap(df: DataFrame, keys: list[str], alpha: float, order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:

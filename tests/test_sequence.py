@@ -72,6 +72,14 @@ def test_fold_over_small_batches(spark):
     assert [got[i] for i in range(len(t))] == pytest.approx(list(seq._smooth(v, None, 0.1)))
 
 
+@pytest.mark.parametrize("width", [40.0, 500.0, 1e9])
+def test_smoothing_in_buckets(spark, width):
+    t, v, df = data(spark, 8)
+    got = by_id(seq.ema(df, ["run"], 0.1, width=width), "ema")
+    assert [got[i] for i in range(len(t))] == pytest.approx(list(seq._smooth(v, None, 0.1))) and got[1000] == 2.0
+    assert seq.ema(df.limit(0), ["run"], 0.1, width=width).count() == 0
+
+
 def test_persistence_and_streaks(spark):
     rows = [(i, "r", float(t), float(f)) for i, (t, f) in enumerate(zip([0, 1, 2, 5, 6, 7, 8], [1, 1, 0, 1, 1, 1, 1]))]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("f", F.col("value") > 0)
