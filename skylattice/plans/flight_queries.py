@@ -128,7 +128,7 @@ WHEN row_id % 3 > 0 THEN 'lost' ELSE 'tracking' END AS state FROM f""",
     "camera_tilt_world": f"""WITH {_FIXES}, n AS (SELECT row_id, roll / l AS x, pitch / l AS y, yaw / l AS z, 60.0 / l AS w FROM (SELECT *, sqrt(roll * roll + pitch * pitch + yaw * yaw + 3600.0) AS l FROM f)),
 r AS (SELECT row_id, 1 - 2 * (y * y + z * z) AS a, 2 * (x * y + z * w) AS b, 2 * (x * y - z * w) AS c, 1 - 2 * (x * x + z * z) AS d, 2 * (x * z - y * w) AS g0, 2 * (y * z + x * w) AS g1, 1 - 2 * (x * x + y * y) AS g2 FROM n),
 h AS (SELECT *, sqrt(a * a + b * b) AS hn, greatest(sqrt(c * c + d * d), 1e-9) AS hm FROM r), k AS (SELECT *, CASE WHEN hn < 1e-6 THEN -d / hm ELSE a / hn END AS rx, CASE WHEN hn < 1e-6 THEN c / hm ELSE b / hn END AS ry FROM h)
-SELECT row_id, round(atan2(-g1, -g2), 6) AS roll, round(asin(least(greatest(g0, -1.0), 1.0)), 6) AS pitch, round(rx, 6) AS right_x, round(ry, 6) AS right_y, round(ry, 6) AS down_x, round(-rx, 6) AS down_y FROM k""",
+SELECT row_id, round(atan2(0.0 - g1, 0.0 - g2), 6) AS roll, round(asin(least(greatest(g0, -1.0), 1.0)), 6) AS pitch, round(rx, 6) AS right_x, round(ry, 6) AS right_y, round(ry, 6) AS down_x, round(-rx, 6) AS down_y FROM k""",
     "return_velocity": f"""WITH {_FIXES}, v AS (SELECT row_id, alt, -8.0 * y / greatest(sqrt(x * x + y * y), 1e-3) AS n, -8.0 * x / greatest(sqrt(x * x + y * y), 1e-3) AS e FROM f)
 SELECT row_id, round(n, 6) AS north, round(e, 6) AS east, round(atan2(e, n), 6) AS heading, round(alt / 0.3, 6) AS pixels FROM v""",
     "trajectory_report": f"""WITH {_FIXES}, o AS (SELECT flight, abs(alt - 300.0) AS err, row_number() OVER (PARTITION BY flight ORDER BY t, row_id) - 1 AS k, count(*) OVER (PARTITION BY flight) AS n FROM f WHERE CAST(alt AS VARCHAR) <> 'nan')

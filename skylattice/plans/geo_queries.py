@@ -104,12 +104,13 @@ def missing_tile_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bbox_tiles(spark: SparkSession, d: str, zooms: tuple[int, int] = (-1, -1), half: float = 0.01) -> DataFrame:
-    """Files whose tile meets a box about the middle of all, of zooms from the first to the second (-1: open)."""
+    """Files whose tile meets a box about a corner of the last tile of the deepest zoom, of zooms from the first to the second (-1: open)."""
     t = _placed_tiles(spark, d)
     low, high = zooms
     t = t.where((F.col("z") >= low) if low >= 0 else F.lit(True)).where((F.col("z") <= high) if high >= 0 else F.lit(True))
-    t = t.select("file_id", *[c.alias(k) for k, c in geo.tile_bounds(t.z, t.x, t.y).items()])
-    j = t.join(F.broadcast(t.agg(F.avg("top_lat").alias("a"), F.avg("left_lon").alias("b"))))  # one row
+    t = t.select("file_id", "z", "x", "y", *[c.alias(k) for k, c in geo.tile_bounds(t.z, t.x, t.y).items()])
+    last = t.agg(F.max(F.struct("z", "x", "y", "top_lat", "left_lon")).alias("m")).select(F.col("m.top_lat").alias("a"), F.col("m.left_lon").alias("b"))
+    j = t.join(F.broadcast(last))  # one row
     hit = (F.col("bottom_lat") <= F.col("a") + half) & (F.col("top_lat") >= F.col("a") - half) & (F.col("left_lon") <= F.col("b") + half) & (F.col("right_lon") >= F.col("b") - half)
     return j.where(hit).select("file_id")
 
@@ -306,7 +307,7 @@ parts AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(p,
 named AS (SELECT *, s[-3] AS nz, s[-2] AS nx, regexp_extract(s[-1], '^([0-9]+)\.(png|jpg|jpeg)$', 1, 'i') AS ny FROM parts), told AS (SELECT *, coalesce(regexp_matches(nz, '^[0-9]+$') AND regexp_matches(nx, '^[0-9]+$') AND ny <> '', false) AS ok FROM named),
 num AS (SELECT file_id, rel_path, mtime, south, CASE WHEN ok THEN CAST(nz AS INTEGER) ELSE z END AS z, CASE WHEN ok THEN CAST(nx AS BIGINT) ELSE x END AS x, CASE WHEN ok THEN CAST(ny AS BIGINT) ELSE y END AS y FROM told),
 tile AS (SELECT file_id, rel_path, mtime, z, CAST(x AS BIGINT) AS x, CASE WHEN south THEN (CAST(1 AS BIGINT) << z) - 1 - y ELSE CAST(y AS BIGINT) END AS y FROM num WHERE z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL)"""
-_BOUNDED = f"""{_PLACED}, bounded AS (SELECT file_id, z, least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * y / pow(2, z))))), -85.05112878), 85.05112878) AS top_lat, x / pow(2, z) * 360.0 - 180.0 AS left_lon,
+_BOUNDED = f"""{_PLACED}, bounded AS (SELECT file_id, z, x, y, least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * y / pow(2, z))))), -85.05112878), 85.05112878) AS top_lat, x / pow(2, z) * 360.0 - 180.0 AS left_lon,
 least(greatest(degrees(atan(sinh(pi() * (1.0 - 2.0 * (y + 1) / pow(2, z))))), -85.05112878), 85.05112878) AS bottom_lat, (x + 1) / pow(2, z) * 360.0 - 180.0 AS right_lon FROM tile)"""
 _T = "t AS (SELECT * FROM tiles WHERE z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL)"
 _PK = "(CAST(z AS BIGINT) << 52) | (CAST(x AS BIGINT) << 26) | CAST(y AS BIGINT)"
@@ -336,7 +337,7 @@ g AS (SELECT z, x AS x0, x AS x1, coalesce(lag(y) OVER (PARTITION BY z, x ORDER
 UNION ALL SELECT z, coalesce(lag(x) OVER (PARTITION BY z ORDER BY x), lox - 1) + 1, x - 1, loy, hiy FROM c JOIN b USING (z)) SELECT z, x0, x1, y0, y1 FROM g WHERE x0 <= x1 AND y0 <= y1""",
     "missing_tile_fraction": f"""WITH {_PLACED}, have AS (SELECT DISTINCT z, x, y FROM tile), g AS (SELECT z, count(*) AS n, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS cells FROM have GROUP BY z)
 SELECT z, round(1 - n / cells, 6) AS missing, 1 - n / cells > 0.02 AS warn FROM g""",
-    "bbox_tiles": f"""WITH {_BOUNDED}, m AS (SELECT avg(top_lat) AS a, avg(left_lon) AS b FROM bounded)
+    "bbox_tiles": f"""WITH {_BOUNDED}, m AS (SELECT top_lat AS a, left_lon AS b FROM bounded ORDER BY z DESC, x DESC, y DESC LIMIT 1)
 SELECT file_id FROM bounded, m WHERE bottom_lat <= a + 0.01 AND top_lat >= a - 0.01 AND left_lon <= b + 0.01 AND right_lon >= b - 0.01""",
     "tile_counts_union_bbox": f"WITH {_BOUNDED} SELECT z, count(*) AS n, round(max(top_lat), 7) AS north, round(min(left_lon), 7) AS west, round(min(bottom_lat), 7) AS south, round(max(right_lon), 7) AS east FROM bounded GROUP BY z",
     "tile_index_upsert": f"WITH {_PLACED} SELECT z, x, y, file_id FROM tile QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY mtime DESC NULLS LAST, file_id DESC) = 1",
